@@ -9,6 +9,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import small_batches, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_components
+
+    small_batches(spark)
+    found = near_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack, token_pieces
+
+    small_batches(spark)
+    return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
@@ -22,6 +39,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    small_batches(spark)
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -31,7 +55,7 @@ FROM n JOIN g ON n.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_url_filter, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op7_exact_dedup, op8_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
