@@ -32,6 +32,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, learn, score
+
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    grammar = learn(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    found = score(docs, grammar)
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", F.size("clauses").alias("n_clauses"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -46,6 +56,15 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, train
+
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -55,7 +74,7 @@ FROM n JOIN g ON n.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op7_exact_dedup, op8_licenses)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op5_toxicity, op7_exact_dedup, op8_licenses, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
