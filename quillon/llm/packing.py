@@ -179,7 +179,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, max_docs: int | None = None, max
     steps = spark.createDataFrame(plan, "length long, __lo long, __hi long, __bin long, __each long, __at long")
     before = per.select("length", "__shard", (F.sum("__n").over(Window.partitionBy("length").orderBy("__shard")) - F.col("__n")).alias("__before"))
     ranked = items.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__shard").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "__shard"])  # limit x shards rows at most
+    ranked = ranked.join(before, ["length", "__shard"])  # both are already dealt by these keys
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__before", "__shard")
     here = (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi"))
     placed = ranked.join(F.broadcast(steps.withColumnRenamed("length", "__length")), (F.col("length") == F.col("__length")) & here)

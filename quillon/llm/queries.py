@@ -26,6 +26,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_fst import round_trip
+
+    small_batches(spark)
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
@@ -42,6 +51,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", F.size("clauses").alias("n_clauses"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    small_batches(spark)
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -56,6 +72,17 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import edited, first_difference, likeness, shown, tree
+
+    rows = edited(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("own", tree(F.col("text"))).withColumn("new", tree(F.col("edited")))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("new")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next_tree")).alias("near_next"), first_difference(F.col("text"), F.col("edited")).alias("first_edited_paragraph"),
+    )
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, identify, train
 
@@ -74,7 +101,7 @@ FROM n JOIN g ON n.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_url_filter, op5_toxicity, op7_exact_dedup, op8_licenses, op10_language)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_html_text, op7_exact_dedup, op8_licenses, op9_fingerprints, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
