@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of an Arrow batch handed to Python.  Documents are long, so batches are short.
@@ -21,18 +22,35 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the reliable checkpoint folder the session names and reads it from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none, as in tests on one machine.
+    One of our own is set only where the session names none, as in tests on one machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes df to the reliable checkpoint folder and reads it from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def kept_rows(docs: DataFrame, text_col: str, make_test) -> DataFrame:
+    """The rows whose text (null: None) passes; make_test() gives the test on the executor.  No column is touched."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        test = make_test()
+        for b in batches:
+            yield b.filter(pa.array([test(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns can't clash any more."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

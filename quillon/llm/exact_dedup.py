@@ -64,6 +64,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text an earlier doc_id has; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
+    """docs without the rows whose text an earlier doc_id has; all columns stay.
+
+    Rows that repeat a doc_id stay together if one of them stays; a null doc_id always stays.
+    """
+    return without(docs, exact_groups(docs, id_col, text_col).select("doc_id", "kept"), id_col)
+
+
+def without(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the ids none of whose rows in marked (doc_id, kept) is kept."""
+    gone = marked.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.max("kept").alias("__kept")).filter(~F.col("__kept")).select("__gone_id")
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left_anti")

@@ -22,13 +22,14 @@ language that sorts first.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import kept_rows
+
 PER_LANGUAGE = 400
 TRAIN_CHARS = 20_000
 BUCKETS = 1 << 16
@@ -178,3 +179,14 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     return fit(training_rows(docs, ~held_out(F.col(id_col)), per_language, lang_col, text_col))
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the rows of no language (`und`); all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make_test():
+        m = shared.value
+        return lambda text: m.predict(text)[0] != "und"
+
+    return kept_rows(docs, text_col, make_test)

@@ -92,6 +92,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -101,7 +107,7 @@ FROM n JOIN g ON n.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_html_text, op7_exact_dedup, op8_licenses, op9_fingerprints, op10_language)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sentencepiece, op4_url_filter, op5_toxicity, op6_html_text, op7_exact_dedup, op8_licenses, op9_fingerprints, op10_language, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed
+from .common import checkpointed, kept_rows
 
 SAMPLE = 20_000
 LEXICON = 400
@@ -242,3 +242,14 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, clauses array<struct<start:long,end:long,weight:double>>")
+
+
+def keep_clean(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
+    """docs without the rows predicted to be toxic; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+
+    def make_test():
+        g = shared.value
+        return lambda text: g.score(text or "", g.clauses(text or "")) < PREDICT
+
+    return kept_rows(docs, text_col, make_test)
