@@ -195,7 +195,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     share = int(min(1.0, SAMPLE / n) * (1 << 30))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    sample = texts.join(known, "doc_id").select("text", "toxic")
+    # About SAMPLE rows at most: labels are sent to the texts, and the texts are written once for three passes.
+    sample = checkpointed(texts.join(F.broadcast(known), "doc_id").select("text", "toxic"))
     counts = sample.mapInArrow(_count, "entry string, stem boolean, toxic long, all long").groupBy("entry", "stem").agg(F.sum("toxic").alias("t"), F.sum("all").alias("n"))
     counts = checkpointed(counts.filter((F.col("t") >= LEAST_TOXIC) | (F.col("entry") == "")))
     total = counts.filter("entry = ''").first()
