@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Each of these ends a line, so a CR LF pair ends two.
@@ -11,6 +13,16 @@ _BLANKS = "\t \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008
 _SPACE = r"[\s\u0085\p{Z}]"
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """body(*values), with each value evaluated once however often the body uses it.
+
+    A column that a lambda uses would be evaluated for each element; a lambda over an array of one
+    struct binds the values instead.
+    """
+    bound = F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)])
+    return F.get(F.transform(F.array(bound), lambda r: body(*[r[f"v{k}"] for k in range(len(values))])), 0)
+
+
 def split_lines(text: Column) -> Column:
     return F.split(text, NEWLINES, -1)
 

@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from .lines import let
+
 FENCED = r"```[a-zA-Z0-9]*\n[\s\S]*?```"
 INLINE_CODE = r"`[^`\n]+`"
 CODE = f"{FENCED}|{INLINE_CODE}"
@@ -30,7 +32,7 @@ DOI_OR_DECIMAL = r"(?i:(?:doi:\s*)?10\.\d{4,}/[^\s]+)|\b\d+\.\d+\b"
 
 def protecting(text: Column, protected: str, change: Callable[[Column], Column]) -> Column:
     """change applied to what lies between the matches of a pattern."""
-    plain = F.transform(F.split(text, f"(?:{protected})", -1), change)
+    plain = F.transform(F.split(text, f"(?:{protected})", -1), lambda x: change(x))
     kept = F.regexp_extract_all(text, F.lit(f"({protected})"), F.lit(0))
     return F.array_join(F.zip_with(plain, kept, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
@@ -63,10 +65,14 @@ def table_blocks(lines: Column) -> Column:
 
 def code_ranges(lines: Column) -> Column:
     """Structs (start, end) between ``` lines; one that isn't closed reaches to the last line."""
-    fences = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x).startswith("```"), i)), lambda i: i.isNotNull())
-    return F.transform(
-        F.filter(F.transform(fences, lambda i, k: F.struct(i.alias("i"), k.alias("k"))), lambda f: f["k"] % 2 == 0),
-        lambda f: F.struct(f["i"].alias("start"), F.coalesce(F.get(fences, f["k"] + 1), F.size(lines) - 1).alias("end")),
+    found = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x).startswith("```"), i)), lambda i: i.isNotNull())
+    return let(
+        lambda fences, n: F.transform(
+            F.filter(F.transform(fences, lambda i, k: F.struct(i.alias("i"), k.alias("k"))), lambda f: f["k"] % 2 == 0),
+            lambda f: F.struct(f["i"].alias("start"), F.coalesce(F.get(fences, f["k"] + 1), n - 1).alias("end")),
+        ),
+        found,
+        F.size(lines),
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed
-from ..functions.lines import floor_share, trim, window_of, with_index
+from ..functions.lines import floor_share, let, trim, window_of, with_index
 
 LEAST_LINES, LEAST_CONFIDENCE, EVIDENCE_LINES = 50, 0.6, 50
 SECTION = "array<struct<type:string,start:int,end:int,confidence:double,entries:int>>"
@@ -145,11 +145,18 @@ def _count(lines: Column, test: Callable[[Column], Column]) -> Column:
 
 def back_matter(lines: Column) -> Column:
     """The first back-matter heading in the second half; more headings add to the confidence."""
+    return let(_back_matter, lines)
+
+
+def _back_matter(lines: Column) -> Column:
     n = F.size(lines)
-    hits = _first_of(lines, floor_share(n, 0.5), n, lambda x: _weight(x, fixed.BACK_HEADINGS, fixed.BACK_PLAIN, True), "double")
-    c = _plus(F.get(hits, 0)["k"], F.size(hits), ((3, 0.15), (2, 0.1)))
-    c = F.when(F.get(hits, 0)["i"] / n < 0.55, c * 0.9).otherwise(c)
-    return _enough(lines, F.when(F.size(hits) > 0, _found(F.get(hits, 0)["i"], c)))
+
+    def judged(hits):
+        c = _plus(F.get(hits, 0)["k"], F.size(hits), ((3, 0.15), (2, 0.1)))
+        c = F.when(F.get(hits, 0)["i"] / n < 0.55, c * 0.9).otherwise(c)
+        return F.when(F.size(hits) > 0, _found(F.get(hits, 0)["i"], c))
+
+    return _enough(lines, let(judged, _first_of(lines, floor_share(n, 0.5), n, lambda x: _weight(x, fixed.BACK_HEADINGS, fixed.BACK_PLAIN, True), "double")))
 
 
 def _is_index_entry(x: Column) -> Column:
@@ -158,16 +165,30 @@ def _is_index_entry(x: Column) -> Column:
 
 def index_start(lines: Column) -> Column:
     """An index heading in the last 30 percent with entries and letters below it, or a run of 30 entries."""
+    return let(_index_start, lines)
+
+
+def _index_start(lines: Column) -> Column:
     n = F.size(lines)
     low = floor_share(n, 0.7)
+
+    def judged(first, weight, entries, letters):
+        c = _plus(_plus(weight, entries, ((20, 0.2), (10, 0.15), (5, 0.1))), letters, ((5, 0.1), (1, 0.05)))
+        return F.when((weight >= 1.0) | (entries >= 5), _found(first, c))
+
+    def headed(hits):
+        first = F.get(hits, 0)["i"]
+        below = window_of(lines, first, EVIDENCE_LINES)
+        return let(judged, first, F.get(hits, 0)["k"], _count(below, _is_index_entry), _count(below, _holding(fixed.LETTER_DIVIDER)))
+
+    dense = lambda run: F.when(run["n"] >= 30, _found(run["start"], F.least(F.lit(0.8), F.lit(0.5) + run["n"] / 100.0)))
+    without = let(dense, _longest_run(_marks(lines, low, n, _is_index_entry), None))
     hits = _first_of(lines, low, n, lambda x: _weight(x, fixed.INDEX_HEADINGS, fixed.INDEX_PLAIN, False), "double")
-    first, weight = F.get(hits, 0)["i"], F.get(hits, 0)["k"]
-    below = window_of(lines, first, EVIDENCE_LINES)
-    entries, letters = _count(below, _is_index_entry), _count(below, lambda x: x.rlike(fixed.LETTER_DIVIDER))
-    c = _plus(_plus(weight, entries, ((20, 0.2), (10, 0.15), (5, 0.1))), letters, ((5, 0.1), (1, 0.05)))
-    run = _longest_run(_marks(lines, low, n, _is_index_entry), None)
-    without = F.when(run["n"] >= 30, _found(run["start"], F.least(F.lit(0.8), F.lit(0.5) + run["n"] / 100.0)))
-    return _enough(lines, F.when(F.size(hits) > 0, F.when((weight >= 1.0) | (entries >= 5), _found(first, c))).otherwise(without))
+    return _enough(lines, let(lambda h: F.when(F.size(h) > 0, headed(h)).otherwise(without), hits))
+
+
+def _holding(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: x.rlike(pattern)
 
 
 def _indicator(x: Column) -> Column:
@@ -180,38 +201,43 @@ def indicator_kinds(lines: Column, last: Column) -> Column:
     part = F.slice(lines, 1, F.greatest(last + 1, F.lit(0)))
     total = F.lit(0)
     for p, _ in fixed.FRONT_INDICATORS:
-        total = total + F.exists(part, lambda x, p=p: x.rlike(f"(?iu){p}")).cast("int")
+        total = total + F.exists(part, _holding(f"(?iu){p}")).cast("int")
     return total
 
 
 def front_matter_end(lines: Column) -> Column:
     """The line before the main content within the first 30 percent, else the end of the copyright lines."""
+    return let(_front_matter_end, lines)
+
+
+def _front_matter_end(lines: Column) -> Column:
     n = F.size(lines)
     high = floor_share(n, 0.3)
-    main = _by_order(lines, high, fixed.MAIN_STARTS)
-    end = main["i"] - 1
-    c = _plus(_weight_at(main["p"], fixed.MAIN_STARTS), indicator_kinds(lines, end), ((3, 0.15), (1, 0.1)))
-    by_main = F.when(main.isNotNull() & (end >= 3), F.struct(end.cast("int").alias("line"), c.alias("confidence")))
-
-    marks = F.filter(F.transform(with_index(F.slice(lines, 1, F.greatest(high, F.lit(0)))), lambda m: F.struct(m["i"].alias("i"), F.filter(_indicator(m["x"]), lambda w: w.isNotNull()).alias("w"))), lambda m: F.size(m["w"]) > 0)
-    hits = F.aggregate(marks, F.lit(0), lambda acc, m: acc + F.size(m["w"]))
-    last = F.try_element_at(marks, F.lit(-1))["i"]
-    limit = F.least(last + 20, high, n)
-    after = F.filter(with_index(lines), lambda m: (m["i"] > last) & (m["i"] < limit))
-    stop = F.get(F.filter(after, lambda m: (trim(m["x"]) == "") | trim(m["x"]).startswith("#")), 0)
-    following = F.get(F.filter(with_index(lines), lambda m: (m["i"] > stop["i"]) & (m["i"] < F.least(stop["i"] + 5, n)) & (trim(m["x"]) != "")), 0)
-    heading = trim(following["x"]).startswith("#") | F.upper(trim(following["x"])).startswith("CHAPTER")
-    boundary = (
-        F.when(stop.isNull(), last)
-        .when(trim(stop["x"]).startswith("#"), stop["i"] - 1)
-        .when(following.isNull(), last)
-        .when(heading, following["i"] - 1)
-        .otherwise(stop["i"])
-    )
-    c2 = F.when(hits >= 4, 0.85).when(hits >= 3, 0.75).otherwise(0.6)
-    c2 = F.when(F.exists(marks, lambda m: F.array_max(m["w"]) >= 1.0), _bounded(c2 + 0.1)).otherwise(c2)
-    by_marks = F.when(hits >= 2, F.struct(boundary.cast("int").alias("line"), c2.alias("confidence")))
-    return _enough(lines, F.coalesce(by_main, by_marks))
+
+    def by_main(main):
+        end = main["i"] - 1
+        c = _plus(_weight_at(main["p"], fixed.MAIN_STARTS), indicator_kinds(lines, end), ((3, 0.15), (1, 0.1)))
+        return F.when(main.isNotNull() & (end >= 3), F.struct(end.cast("int").alias("line"), c.alias("confidence")))
+
+    def ended(marks, hits, last, stop, following):
+        blank = trim(stop["x"]) == ""
+        heading = trim(following["x"]).startswith("#") | F.upper(trim(following["x"])).startswith("CHAPTER")
+        boundary = F.when(stop.isNull(), last).when(~blank, stop["i"] - 1).when(following.isNull(), last).when(heading, following["i"] - 1).otherwise(stop["i"])
+        c = F.when(hits >= 4, 0.85).when(hits >= 3, 0.75).otherwise(0.6)
+        c = F.when(F.exists(marks, lambda m: F.array_max(m["w"]) >= 1.0), _bounded(c + 0.1)).otherwise(c)
+        return F.when(hits >= 2, F.struct(boundary.cast("int").alias("line"), c.alias("confidence")))
+
+    def by_marks(marks):
+        last = F.try_element_at(marks, F.lit(-1))["i"]
+        after = F.filter(with_index(lines), lambda m: (m["i"] > last) & (m["i"] < F.least(last + 20, high, n)))
+        stop = F.get(F.filter(after, lambda m: (trim(m["x"]) == "") | trim(m["x"]).startswith("#")), 0)
+        hits = F.aggregate(marks, F.lit(0), lambda acc, m: acc + F.size(m["w"]))
+        following = lambda s: F.get(F.filter(with_index(lines), lambda m: (m["i"] > s["i"]) & (m["i"] < F.least(s["i"] + 5, n)) & (trim(m["x"]) != "")), 0)
+        return let(lambda h, e, s: let(lambda f: ended(marks, h, e, s, f), following(s)), hits, last, stop)
+
+    kinds = lambda m: F.struct(m["i"].alias("i"), F.filter(_indicator(m["x"]), lambda w: w.isNotNull()).alias("w"))
+    marks = F.filter(F.transform(with_index(F.slice(lines, 1, F.greatest(high, F.lit(0)))), kinds), lambda m: F.size(m["w"]) > 0)
+    return _enough(lines, F.coalesce(let(by_main, _by_order(lines, high, fixed.MAIN_STARTS)), let(by_marks, marks)))
 
 
 def _is_toc_entry(x: Column) -> Column:
@@ -220,18 +246,26 @@ def _is_toc_entry(x: Column) -> Column:
 
 def toc_start(lines: Column) -> Column:
     """A contents heading in the first 30 percent with entries below it, or a run of eight entries."""
+    return let(_toc_start, lines)
+
+
+def _toc_start(lines: Column) -> Column:
     n = F.size(lines)
     high = floor_share(n, 0.3)
-    head = _by_order(lines, high, fixed.TOC_HEADERS)
-    below = window_of(lines, head["i"] + 1, EVIDENCE_LINES)
-    chapter = F.array_min(F.filter(F.transform(below, lambda x, i: F.when(trim(x).rlike(r"^##? Chapter") | F.upper(trim(x)).startswith("CHAPTER 1"), i)), lambda i: i.isNotNull()))
-    entries = _count(F.slice(below, 1, F.coalesce(chapter, F.size(below))), lambda x: (trim(x) != "") & _is_toc_entry(x))
-    weight = _weight_at(head["p"], fixed.TOC_HEADERS)
-    c = _plus(weight, entries, ((10, 0.2), (5, 0.15), (3, 0.1)), 0.7)
-    run = _longest_run(_marks(lines, F.lit(0), high, _is_toc_entry), 3)
-    without = F.when(run["n"] >= 8, _found(run["start"], F.least(F.lit(0.75), F.lit(0.5) + run["n"] / 50.0)))
-    headed = head.isNotNull() & ((weight >= 1.0) | (entries >= 3))
-    return _enough(lines, F.when(headed, _found(head["i"], c)).otherwise(without))
+
+    def judged(head, weight, entries):
+        c = _plus(weight, entries, ((10, 0.2), (5, 0.15), (3, 0.1)), 0.7)
+        return F.struct((head.isNotNull() & ((weight >= 1.0) | (entries >= 3))).alias("ok"), _found(head["i"], c).alias("found"))
+
+    def headed(head):
+        below = window_of(lines, head["i"] + 1, EVIDENCE_LINES)
+        chapter = F.array_min(F.filter(F.transform(below, lambda x, i: F.when(trim(x).rlike(r"^##? Chapter") | F.upper(trim(x)).startswith("CHAPTER 1"), i)), lambda i: i.isNotNull()))
+        entries = _count(F.slice(below, 1, F.coalesce(chapter, F.size(below))), lambda x: (trim(x) != "") & _is_toc_entry(x))
+        return let(lambda k: judged(head, _weight_at(head["p"], fixed.TOC_HEADERS), k), entries)
+
+    dense = lambda run: F.when(run["n"] >= 8, _found(run["start"], F.least(F.lit(0.75), F.lit(0.5) + run["n"] / 50.0)))
+    without = let(dense, _longest_run(_marks(lines, F.lit(0), high, _is_toc_entry), 3))
+    return _enough(lines, let(lambda j: F.when(F.coalesce(j["ok"], F.lit(False)), j["found"]).otherwise(without), let(headed, _by_order(lines, high, fixed.TOC_HEADERS))))
 
 
 def toc_end(lines: Column, start: Column) -> Column:

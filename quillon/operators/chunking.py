@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.lines import count_words, split_lines, trim_all
+from ..functions.lines import count_words, let, split_lines, trim_all
 
 CHUNK = "struct<id:int,content:string,start_line:int,end_line:int,overlap:string>"
 PAGE_BREAK = "\n\n---\n\n"
@@ -37,13 +37,18 @@ def word_chunks(text: Column, target: int = 2500, overlap: int = 200) -> Column:
         return F.aggregate(F.reverse(group), zero_, take, lambda acc: F.array_join(F.transform(acc["kept"], lambda p: p["p"]), "\n\n"))
 
     content = lambda group: F.array_join(F.transform(group, lambda p: p["p"]), "\n\n")
-    made = F.transform(groups_, lambda g, i: F.struct(i.alias("id"), content(g).alias("content"), F.when(i > 0, tail(F.get(groups_, i - 1))).alias("overlap")))
-    lines_before = lambda i: F.aggregate(F.slice(groups_, 1, i), F.lit(0), lambda acc, g: acc + _line_ends(content(g)) + 1)
-    placed = F.transform(
-        made, lambda c, i: F.struct(c["id"].alias("id"), c["content"].alias("content"), lines_before(i).alias("start_line"), (lines_before(i) + _line_ends(c["content"]) - 1).alias("end_line"), c["overlap"].alias("overlap"))
-    )
+
+    def placed(groups, texts):
+        sizes = F.transform(texts, _line_ends)
+        before = lambda lines, i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda acc, n: acc + n + 1)
+        chunk = lambda lines, t, i: F.struct(
+            i.alias("id"), t.alias("content"), before(lines, i).alias("start_line"), (before(lines, i) + F.get(lines, i) - 1).alias("end_line"), F.when(i > 0, tail(F.get(groups, i - 1))).alias("overlap")
+        )
+        return let(lambda lines: F.transform(texts, lambda t, i: chunk(lines, t, i)), sizes)
+
+    made = let(lambda gs: let(lambda ts: placed(gs, ts), F.transform(gs, content)), groups_)
     whole = F.array(F.struct(F.lit(0).alias("id"), text.alias("content"), F.lit(0).alias("start_line"), (_line_ends(text) - 1).alias("end_line"), F.lit(None).cast("string").alias("overlap")))
-    return F.when(count_words(text) <= target, whole).otherwise(placed)
+    return F.when(count_words(text) <= target, whole).otherwise(made)
 
 
 def merge_chunks(contents: Column) -> Column:

@@ -60,6 +60,10 @@ def drop_running(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "line
     return joined.withColumn(lines_col, kept).drop("__running", "__id")
 
 
+def _holding(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
 def _votes(kind: str) -> tuple[int, float, float]:
     return {"page_number": (3, 20.0, 0.95), "citation": (2, 30.0, 0.9), "footnote": (2, 20.0, 0.85)}[kind]
 
@@ -70,7 +74,7 @@ def pattern_vote(text: Column, lines: Column, kind: str) -> Column:
     structs = []
     for k, (name, p) in enumerate(fixed.VOTES[kind]):
         if kind == "page_number":
-            hits = F.filter(F.transform(lines, trim), lambda x, p=p: x.rlike(p))
+            hits = F.filter(F.transform(lines, trim), _holding(p))
         else:
             hits = F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(0))
         structs.append(F.struct(F.size(hits).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name"), F.lit(p).alias("pattern"), F.slice(hits, 1, 5).alias("samples")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed
-from ..functions.lines import count_words, join_lines, trim, trim_all, with_index, words
+from ..functions.lines import count_words, join_lines, let, trim, trim_all, with_index, words
 from ..functions.metadata import formatted, title_header
 from ..functions.segments import code_ranges, in_any
 
@@ -53,8 +53,8 @@ def parts(lines: Column) -> Column:
 
 def chapters_in_parts(chapters_: Column, parts_: Column) -> Column:
     """Chapters with the title of the last part at or before their line (an as-of join within the row)."""
-    part_of = lambda c: F.try_element_at(F.filter(parts_, lambda p: p["line"] <= c["line"]), F.lit(-1))["title"]
-    return F.transform(chapters_, lambda c: F.struct(c["line"].alias("line"), c["title"].alias("title"), part_of(c).alias("part")))
+    part_of = lambda ps, c: F.try_element_at(F.filter(ps, lambda p: p["line"] <= c["line"]), F.lit(-1))["title"]
+    return let(lambda cs, ps: F.transform(cs, lambda c: F.struct(c["line"].alias("line"), c["title"].alias("title"), part_of(ps, c).alias("part"))), chapters_, parts_)
 
 
 def chapter_marker(style: str, title: Column, part: Column | None = None) -> Column:
@@ -93,16 +93,18 @@ def mark_chapters(lines: Column, style: str) -> Column:
     """
     if style == "none":
         return lines
-    found, code = chapters(lines), code_ranges(lines)
-    in_parts, parts_ = chapters_in_parts(found, parts(lines)), parts(lines)
 
-    def line(x, i):
-        part = F.get(F.filter(parts_, lambda p: p["line"] == i), 0)
-        chapter = F.get(F.filter(in_parts, lambda c: c["line"] == i), 0)
-        marker = F.when(part.isNotNull(), part_marker(style, part["title"])).when(chapter.isNotNull(), chapter_marker(style, chapter["title"], chapter["part"]))
-        return F.when(marker.isNotNull() & ~in_any(code, i), F.array(marker, F.lit(""), x)).otherwise(F.array(x))
+    def marked(lines, in_parts, parts_, code):
+        def line(x, i):
+            part = F.get(F.filter(parts_, lambda p: p["line"] == i), 0)
+            chapter = F.get(F.filter(in_parts, lambda c: c["line"] == i), 0)
+            marker = F.when(part.isNotNull(), part_marker(style, part["title"])).when(chapter.isNotNull(), chapter_marker(style, chapter["title"], chapter["part"]))
+            return F.when(trim(x).startswith("#") & marker.isNotNull() & ~in_any(code, i), F.array(marker, F.lit(""), x)).otherwise(F.array(x))
 
-    return F.when(F.size(found) > 0, F.flatten(F.transform(lines, line))).otherwise(lines)
+        return F.when(F.size(in_parts) > 0, F.flatten(F.transform(lines, line))).otherwise(lines)
+
+    found = lambda x: let(lambda c, p: F.struct(chapters_in_parts(c, p).alias("c"), p.alias("p")), chapters(x), parts(x))
+    return let(lambda x: let(lambda f, code: marked(x, f["c"], f["p"], code), found(x), code_ranges(x)), lines)
 
 
 def assemble(text: Column, meta: Column, metadata_format: str = "yaml", chapter_style: str = "html_comments", end_style: str = "standard") -> Column:
@@ -132,13 +134,16 @@ def reflow(text: Column) -> Column:
     """A struct (text, breaks): each paragraph's lines joined by spaces but in verse; breaks that ended no sentence are counted."""
 
     def paragraph(p):
-        lines = F.filter(F.transform(F.split(p, "\n", -1), trim), lambda x: x != "")
+        return let(lambda lines: joined(p, lines), F.filter(F.transform(F.split(p, "\n", -1), trim), lambda x: x != ""))
+
+    def joined(p, lines):
         open_ = F.size(F.filter(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~x.rlike(r"[.!?\"']$")))
         verse = is_poetry(p)
         return F.struct(F.when(verse, p).otherwise(F.array_join(lines, " ")).alias("text"), F.when(verse, 0).otherwise(open_).alias("n"))
 
-    done = F.transform(F.split(text, "\n\n", -1), paragraph)
-    return F.struct(F.array_join(F.transform(done, lambda d: d["text"]), "\n\n").alias("text"), F.aggregate(done, F.lit(0), lambda acc, d: acc + d["n"]).alias("breaks"))
+    made = lambda done: F.struct(
+        F.array_join(F.transform(done, lambda d: d["text"]), "\n\n").alias("text"), F.aggregate(done, F.lit(0), lambda acc, d: acc + d["n"]).alias("breaks"))
+    return let(made, F.transform(F.split(text, "\n\n", -1), paragraph))
 
 
 def count_paragraphs(text: Column) -> Column:
@@ -186,7 +191,10 @@ def has_code(text: Column) -> Column:
 def existing_metadata(text: Column) -> Column:
     """The length of a metadata block at the beginning of a trimmed text: one between --- lines, or a title with
     key: value lines below it; 0 if there is none."""
-    lines = F.split(text, "\n", -1)
+    return let(_metadata_length, text, F.split(text, "\n", -1))
+
+
+def _metadata_length(text: Column, lines: Column) -> Column:
     chars = lambda last: F.aggregate(F.slice(lines, 1, last + 1), F.lit(0), lambda acc, x: acc + F.length(x) + 1) - 1
     close = F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: trim(x) == "---"), True)
     zero = F.struct(F.lit(0).alias("end"), F.lit(False).alias("done"))
@@ -202,7 +210,5 @@ def existing_metadata(text: Column) -> Column:
 
 
 def strip_metadata(text: Column) -> Column:
-    t = trim_all(text)
-    n = existing_metadata(t)
-    rest = trim_all(F.substring(t, n + 1, F.length(t)))
-    return F.when(n > 0, F.regexp_replace(rest, r"^---\s*\n", "")).otherwise(text)
+    rest = lambda t, n: F.regexp_replace(trim_all(F.substring(t, n + 1, F.length(t))), r"^---\s*\n", "")
+    return let(lambda whole, t: let(lambda n: F.when(n > 0, rest(t, n)).otherwise(whole), existing_metadata(t)), text, trim_all(text))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed
-from ..functions.lines import count_words, join_lines, trim, window_of
+from ..functions.lines import count_words, join_lines, let, trim, window_of
 
 # Of each kind of section, how early it may begin, how late it may end, the greatest share of lines,
 # the least confidence, the fewest lines, and what must be known.
@@ -68,8 +68,11 @@ def _headers(lines: Column, first: int | None, names: tuple[str, ...], strict: b
     if strict:
         plain = F.transform(part, lambda x: F.upper(F.regexp_replace(trim(x), r"^#{1,6}\s*", "")))
         return F.filter(F.array(*[F.lit(x.upper()) for x in names]), lambda h: F.array_contains(plain, h))
-    text = F.upper(join_lines(part))
-    return F.filter(F.array(*[F.lit(x.upper()) for x in names]), lambda h: F.contains(text, h))
+    return let(lambda text: F.filter(F.array(*[F.lit(x.upper()) for x in names]), lambda h: F.contains(text, h)), F.upper(join_lines(part)))
+
+
+def _holding(pattern: str):
+    return lambda x: x.rlike(pattern)
 
 
 def _any(lines: Column, patterns: tuple[str, ...], flags: str = "") -> Column:
@@ -78,12 +81,12 @@ def _any(lines: Column, patterns: tuple[str, ...], flags: str = "") -> Column:
 
 def _how_many(lines: Column, patterns: tuple[str, ...], flags: str = "") -> Column:
     """How many of the patterns occur."""
-    return reduce(lambda a, b: a + b, [F.exists(lines, lambda x, p=p: x.rlike(flags + p)).cast("int") for p in patterns])
+    return reduce(lambda a, b: a + b, [F.exists(lines, _holding(flags + p)).cast("int") for p in patterns])
 
 
 def _lines(lines: Column, patterns: tuple[str, ...], flags: str = "") -> Column:
     """How many matches the patterns have, a line counting once for each."""
-    return reduce(lambda a, b: a + b, [F.size(F.filter(lines, lambda x, p=p: x.rlike(flags + p))) for p in patterns])
+    return reduce(lambda a, b: a + b, [F.size(F.filter(lines, _holding(flags + p))) for p in patterns])
 
 
 def _verdict(reason: Column, confidence: Column) -> Column:
@@ -110,7 +113,7 @@ def _confirm_index(part: Column, strict: bool) -> Column:
 
 def _confirm_front(part: Column, whole: Column) -> Column:
     text = join_lines(part)
-    count = F.size(F.filter(F.array(*[F.lit(x) for x in fixed.CONFIRM_FRONT]), lambda h: F.contains(text, h)))
+    count = let(lambda t: F.size(F.filter(F.array(*[F.lit(x) for x in fixed.CONFIRM_FRONT]), lambda h: F.contains(t, h))), text)
     copyright_ = text.contains("©") | F.lower(text).contains("copyright") | F.lower(text).contains("all rights reserved")
     reason = F.when(_any(whole, fixed.CHAPTERS, "(?iu)"), "chapter_content")
     return _verdict(reason, F.when(copyright_ & text.contains("ISBN"), 0.9).when(copyright_ | (count >= 3), 0.8).when(count >= 1, 0.6).otherwise(0.4))
@@ -155,14 +158,13 @@ def verify_content(section: str, lines: Column, start: Column, end: Column | Non
     n = F.size(lines)
     last = F.least(n - 1 if end is None else F.coalesce(end, n - 1), n - 1)
     whole = window_of(lines, start, last - start + 1)
-    part = F.slice(whole, 1, examined)
     checks = {
-        "backMatter": lambda: _confirm_back(part, strict_headers), "index": lambda: _confirm_index(part, strict_headers), "frontMatter": lambda: _confirm_front(part, whole),
-        "tableOfContents": lambda: _confirm_toc(part, strict_headers), "auxiliaryLists": lambda: _confirm_list(part, strict_headers), "footnotesEndnotes": lambda: _confirm_notes(part, strict_headers),
+        "backMatter": lambda part, _: _confirm_back(part, strict_headers), "index": lambda part, _: _confirm_index(part, strict_headers), "frontMatter": _confirm_front,
+        "tableOfContents": lambda part, _: _confirm_toc(part, strict_headers), "auxiliaryLists": lambda part, _: _confirm_list(part, strict_headers), "footnotesEndnotes": lambda part, _: _confirm_notes(part, strict_headers),
     }
     fits = (start >= 0) & (start < n) & (last - start + 1 >= 5)
     fail = F.struct(F.lit(False).alias("valid"), F.lit(0.0).alias("confidence"), F.lit("insufficient_content").alias("reason"))
-    checked = checks[section]() if section in checks else F.struct(F.lit(True).alias("valid"), F.lit(1.0).alias("confidence"), F.lit("not_applicable").alias("reason"))
+    checked = let(checks[section], F.slice(whole, 1, examined), whole) if section in checks else F.struct(F.lit(True).alias("valid"), F.lit(1.0).alias("confidence"), F.lit("not_applicable").alias("reason"))
     return F.when(F.coalesce(fits, F.lit(False)), checked).otherwise(fail)
 
 
