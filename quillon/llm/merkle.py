@@ -99,9 +99,10 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
-    rows = text_of(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
-    chain = checkpointed(next_ids(rows.select("key"), parts))
-    asked = rows.groupBy("key").agg(F.max(F.floor(F.length("text") / 3)).alias("third")).join(chain, "key")
+    keyed = text_of(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
+    chain = checkpointed(next_ids(keyed.select("key"), parts))
+    rows = keyed.repartition(parts, "key")  # the one exchange of whole texts, which both sides below share
+    asked = keyed.groupBy("key").agg(F.max(F.floor(F.length("text") / 3)).alias("third")).join(chain, "key")
     giving = rows.select("key", "text").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("text")))).filter("nth = 1")
     sent = giving.join(asked.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), "third"), "key")
     sent = sent.select(F.col("asker").alias("key"), F.expr("substring(text, 1, cast(third as int))").alias("begins"), tree(F.col("text")).alias("next_tree"))
