@@ -54,3 +54,20 @@ def kept_rows(docs: DataFrame, text_col: str, make_test) -> DataFrame:
 def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns can't clash any more."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+#: A class that holds at least one row in so many is hot; there can't be more hot classes than this.
+HOT_SHARE = 1000
+
+
+def to_members(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with the (checkpointed) classes on key, whatever share of the rows a class holds.
+
+    Hot classes, by their definition HOT_SHARE at most, are broadcast; their rows stay where they
+    are, and only the others are dealt by key.
+    """
+    total = classes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    least = max(2, -(-total // HOT_SHARE))
+    hot, rest = classes.filter(F.col(size) >= least), classes.filter(F.col(size) < least)
+    cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cool)

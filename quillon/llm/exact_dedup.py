@@ -9,7 +9,7 @@ most `salts` rows.
 
 Membership goes back to the rows through the digest.  A digest that stands for two different
 texts (a collision) is told apart by joining on the text too.  Groups that hold at least one row
-in `HOT_SHARE` are joined by broadcast: by that definition there are at most `HOT_SHARE` of them,
+in `common.HOT_SHARE` are joined by broadcast: by that definition there are at most so many,
 whatever the size of the table.
 
 Defined results: a null text counts as empty; the smallest doc_id of a group stays; rows that
@@ -24,10 +24,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, text_of
+from .common import checkpointed, text_of, to_members
 
 SALTS = 16
-HOT_SHARE = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -47,13 +46,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Of each digest: one text as a rule.  The texts of colliding digests are carried on, others are dropped here.
     found = checkpointed(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")))
     plain, collided = found.filter("texts = 1").drop("texts"), found.filter("texts > 1").select("digest")
-    total = plain.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    least = max(2, -(-total // HOT_SHARE))
-    hot, rest = plain.filter(F.col("group_size") >= least), plain.filter(F.col("group_size") < least)
     ids = rows.select("doc_id", "digest")
-    parts = [ids.join(F.broadcast(hot), "digest")]
-    cool = ids.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    parts.append(cool.join(rest, "digest"))
+    parts = [to_members(ids, plain, "digest", "group_size")]
     if collided.take(1):
         wide = groups.join(collided, "digest", "left_semi")
         parts.append(rows.join(collided, "digest", "left_semi").join(wide, ["digest", "norm"]).select(*parts[0].columns))

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, text_of
+from .common import checkpointed, text_of, to_members
 
 BITS = 3
 LONG_LIST = 64
@@ -172,11 +172,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_components(docs: DataFrame, size: int = 3, bits: int = BITS, long_list: int = LONG_LIST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id, links (of its fingerprint to other fingerprints)."""
     prints = checkpointed(fingerprints(docs, size, id_col, text_col))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")))
     edges = checkpointed(links(classes.select("fp"), bits, long_list))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     roots = components(edges)
-    own = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    own = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", "size", F.coalesce("root", "fp").alias("root"))
     best = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = own.join(best, "root").join(degree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "links")
+    labels = own.join(best, "root").join(degree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return to_members(prints, checkpointed(labels), "fp", "size").select("doc_id", "fp", "component_id", "links")
