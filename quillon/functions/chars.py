@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .lines import join_lines, split_lines, trim
+from .lines import join_lines, let, split_lines, trim
 from .segments import CODE, protecting
 
 
@@ -20,16 +21,20 @@ def _sub(text: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), pairs, text)
 
 
+def _where(text: Column, test: str, change) -> Column:
+    """change where a pattern occurs; the text is evaluated once."""
+    return let(lambda t: F.when(t.rlike(test), change(t)).otherwise(t), text)
+
+
 def fix_mojibake(text: Column) -> Column:
     """Broken encodings repaired, the longest first, so that none hides another."""
-    broken = "[" + "".join(sorted({k[0] for k in fixed.MOJIBAKE})) + "]"
-    done = _replaced(text, sorted(fixed.MOJIBAKE.items(), key=lambda p: (-len(p[0]), p[0])))
-    return F.when(text.rlike(broken), done).otherwise(text)
+    broken = "|".join(sorted({re.escape(k[:2]) for k in fixed.MOJIBAKE}))
+    return _where(text, broken, lambda t: _replaced(t, sorted(fixed.MOJIBAKE.items(), key=lambda p: (-len(p[0]), p[0]))))
 
 
 def expand_ligatures(text: Column) -> Column:
     found = "[" + "".join(fixed.LIGATURES) + "]"
-    return F.when(text.rlike(found), _replaced(text, fixed.LIGATURES.items())).otherwise(text)
+    return _where(text, found, lambda t: _replaced(t, fixed.LIGATURES.items()))
 
 
 def remove_invisible(text: Column) -> Column:
@@ -40,7 +45,8 @@ def fix_ocr_digits(text: Column) -> Column:
     """O between digits becomes 0, from left to right, and l between digits or before one at a word's start becomes 1."""
     zero = r"(?:(?<=[\p{N}.,])|\G(?<=O))O(?=[O\p{N}.,]|\s|$|[\p{P}&&[^.,]])"
     one = r"(?<=[\p{N}.,])l(?=[\p{N}.,])|(?:(?<=\s)|^)l(?=\p{N})"
-    return _sub(text, (zero, "0"), (one, "1"))
+    zeros = _where(text, r"[\p{N}.,]O", lambda t: F.regexp_replace(t, zero, "0"))
+    return _where(zeros, r"[\p{N}.,\s]l[\p{N}.,]|^l\p{N}", lambda t: F.regexp_replace(t, one, "1"))
 
 
 def _dash_remnants(line: Column) -> Column:
@@ -60,7 +66,7 @@ def normalize_dashes(lines: Column) -> Column:
 def remove_decorative_dashes(lines: Column) -> Column:
     """Without lines of long dashes, page numbers between them, and runs of them inside lines."""
     bare = F.filter(lines, lambda x: ~(trim(x).rlike(r"^[—\s]+$") | x.rlike(r"^\s*—\s*[\divxlcdmIVXLCDM]+\s*—\s*$")))
-    return F.transform(bare, lambda x: F.regexp_replace(x, r"(?:—\s*){2,}", ""))
+    return F.transform(bare, lambda x: F.when(x.contains("—"), F.regexp_replace(x, r"(?:—\s*){2,}", "")).otherwise(x))
 
 
 def normalize_quotes(text: Column) -> Column:
@@ -68,7 +74,8 @@ def normalize_quotes(text: Column) -> Column:
 
 
 def remove_emphasis(text: Column) -> Column:
-    return _sub(text, (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"(?<![*\n])\*([^*\n]+)\*(?!\*)", "$1"), (r"(?<![_\n])_([^_\n]+)_(?!_)", "$1"))
+    pairs = (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"(?<![*\n])\*([^*\n]+)\*(?!\*)", "$1"), (r"(?<![_\n])_([^_\n]+)_(?!_)", "$1")
+    return _where(text, "[*_]", lambda t: _sub(t, *pairs))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -81,9 +88,10 @@ def clean_characters(text: Column, removed: Sequence[str] = fixed.REMOVED_CHARAC
     def plain(t):
         t = fix_ocr_digits(remove_invisible(expand_ligatures(fix_mojibake(t))))
         t = join_lines(remove_decorative_dashes(normalize_dashes(split_lines(t))))
-        t = F.regexp_replace(remove_emphasis(normalize_quotes(t)), r"!\[.*?\]\(.*?\)", "")
+        t = remove_emphasis(normalize_quotes(t))
+        t = _where(t, r"!\[", lambda x: F.regexp_replace(x, r"!\[.*?\]\(.*?\)", ""))
         t = F.translate(t, "[]", "()")
         t = _replaced(t, [(c, "") for c in removed if c not in ("[", "]", "—")])
-        return _sub(t, ("  +", " "), (r"\(\s*\)", ""))
+        return _where(_where(t, "  ", lambda x: F.regexp_replace(x, "  +", " ")), r"\(\s*\)", lambda x: F.regexp_replace(x, r"\(\s*\)", ""))
 
-    return protecting(text, CODE, plain)
+    return protecting(text, CODE, plain, "`")

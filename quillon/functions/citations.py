@@ -8,22 +8,25 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .lines import count_changes, join_lines, split_lines, trim
+from .lines import count_changes, join_lines, let, split_lines, trim
 from .segments import DOI_OR_DECIMAL, protecting
 
 
 def remove_patterns(text: Column, patterns: Sequence[str]) -> Column:
     """A struct of the text without the patterns' matches, one after the other, and their number."""
-    state = (text, F.lit(0))
-    for p in patterns:
-        state = (F.regexp_replace(state[0], p, ""), state[1] + F.regexp_count(state[0], F.lit(p)))
-    changed = state[1] > 0
-    return F.struct(F.when(changed, F.regexp_replace(state[0], "  +", " ")).otherwise(text).alias("text"), state[1].alias("n"))
+
+    def step(t, n, rest):
+        if not rest:
+            return F.struct(t.alias("text"), n.alias("n"))
+        return let(lambda x, k: step(x, k, rest[1:]), F.regexp_replace(t, rest[0], ""), n + F.regexp_count(t, F.lit(rest[0])))
+
+    done = step(text, F.lit(0), list(patterns))
+    return let(lambda r: F.struct(F.when(r["n"] > 0, F.regexp_replace(r["text"], "  +", " ")).otherwise(r["text"]).alias("text"), r["n"].alias("n")), done)
 
 
 def _without(text: Column, patterns: Sequence[str]) -> Column:
-    out = reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, text)
-    return F.when(out != text, F.regexp_replace(out, "  +", " ")).otherwise(text)
+    removed = lambda t: reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, t)
+    return let(lambda t, out: F.when(out != t, F.regexp_replace(out, "  +", " ")).otherwise(t), text, removed(text))
 
 
 def is_bibliography(line: Column) -> Column:
@@ -43,8 +46,7 @@ def _one_line(line: Column, patterns: Sequence[str]) -> Column:
     change = lambda ps: protecting(line, DOI_OR_DECIMAL, lambda t: _without(t, ps))
     if not patterns:
         return change(fixed.CITATIONS)
-    own = change(patterns)
-    return F.when(own != line, own).otherwise(change(fixed.CITATIONS))
+    return let(lambda own: F.when(own != line, own).otherwise(change(fixed.CITATIONS)), change(patterns))
 
 
 def remove_citations(text: Column, patterns: Sequence[str] = ()) -> Column:
@@ -56,8 +58,7 @@ def remove_citations(text: Column, patterns: Sequence[str] = ()) -> Column:
     might = r"[(\[]|[²³¹⁰-⁹]|(?i:ibid|op\.?\s*cit|loc\.?\s*cit)"
     lines = F.transform(split_lines(text), lambda x: F.when(is_bibliography(x) | ~x.rlike(might) if not patterns else is_bibliography(x), x).otherwise(_one_line(x, patterns)))
     out = F.regexp_replace(F.regexp_replace(join_lines(lines), r"\(\s*\)", ""), r"\[\s*\]", "")
-    out = clean_orphans(out)
-    return F.struct(out.alias("text"), count_changes(text, out).alias("n"))
+    return let(lambda t, done: F.struct(done.alias("text"), count_changes(t, done).alias("n")), text, clean_orphans(out))
 
 
 def remove_footnote_markers(text: Column, pattern: str | None = None) -> Column:

@@ -30,11 +30,20 @@ MATH = "|".join(
 DOI_OR_DECIMAL = r"(?i:(?:doi:\s*)?10\.\d{4,}/[^\s]+)|\b\d+\.\d+\b"
 
 
-def protecting(text: Column, protected: str, change: Callable[[Column], Column]) -> Column:
-    """change applied to what lies between the matches of a pattern."""
+#: Without one of these characters a text has no table, code or formula.
+TRIGGER = rf"[|`{_SUPER}{_SUB}{_GREEK}]"
+
+
+def protecting(text: Column, protected: str, change: Callable[[Column], Column], trigger: str | None = None) -> Column:
+    """change applied to what lies between the matches of a pattern; a text without a trigger has none."""
+    return let(lambda t: _protecting(t, protected, change, trigger), text)
+
+
+def _protecting(text: Column, protected: str, change: Callable[[Column], Column], trigger: str | None) -> Column:
     plain = F.transform(F.split(text, f"(?:{protected})", -1), lambda x: change(x))
     kept = F.regexp_extract_all(text, F.lit(f"({protected})"), F.lit(0))
-    return F.array_join(F.zip_with(plain, kept, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    done = F.array_join(F.zip_with(plain, kept, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(trigger), done).otherwise(change(text)) if trigger else done
 
 
 def extracted(text: Column, protected: str) -> Column:

@@ -37,7 +37,7 @@ def running_lines(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lin
     Of documents of over 50 lines: at least three times, over 30 percent of the document or more, each gap
     between 0.3 and 2.5 times the (whole) mean gap.  One shuffle by document and line.
     """
-    view = line_view(docs.filter(F.size(lines_col) > 50), id_col, lines_col).filter((F.col("trimmed") != "") & could_run(F.col("trimmed")))
+    view = line_view(docs, id_col, lines_col).filter((F.col("trimmed") != "") & could_run(F.col("trimmed")))
     w = Window.partitionBy("doc_id", "trimmed").orderBy("line_no")
     gaps = view.withColumn("gap", F.col("line_no") - F.lag("line_no").over(w))
     found = gaps.groupBy("doc_id", "trimmed").agg(
@@ -45,7 +45,7 @@ def running_lines(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lin
     )
     mean = F.floor(F.col("total") / (F.col("n") - 1))
     even = (F.col("low") >= mean * 0.3) & (F.col("high") <= mean * 2.5)
-    found = found.filter((F.col("n") >= least) & ((F.col("last_line") - F.col("first_line")) / F.col("n_lines") >= 0.3) & even)
+    found = found.filter((F.col("n_lines") > 50) & (F.col("n") >= least) & ((F.col("last_line") - F.col("first_line")) / F.col("n_lines") >= 0.3) & even)
     line = F.col("trimmed")
     capitals = (line == F.upper(line)) & line.contains(" ")
     header = capitals & ((F.length(line) > 10) | ~line.contains(" & "))

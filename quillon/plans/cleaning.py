@@ -22,7 +22,7 @@ from ..functions.estimates import reduction, tokens
 from ..functions.lines import join_lines, split_lines
 from ..functions.markdown import count_semantic_words
 from ..functions.metadata import blank
-from ..functions.segments import protecting, shield
+from ..functions.segments import TRIGGER, protecting, shield
 from ..operators import boundaries as b
 from ..operators.mining import drop_running
 from ..operators.removal import drop_matching, remove_range, remove_range_except, remove_ranges, strict_page_numbers
@@ -120,20 +120,20 @@ def _on_text(df: DataFrame, step: int, change: Callable[[Column], Column], confi
 
 
 def citations(df: DataFrame, s: Settings) -> DataFrame:
-    return _on_text(df, 10, lambda t: protecting(t, shield(), lambda x: remove_citations(x)["text"]))
+    return _on_text(df, 10, lambda t: protecting(t, shield(), lambda x: remove_citations(x)["text"], TRIGGER))
 
 
 def footnotes(df: DataFrame, s: Settings) -> DataFrame:
-    df = _on_text(df, 11, lambda t: protecting(t, shield(), lambda x: remove_footnote_markers(x)["text"]))
+    df = _on_text(df, 11, lambda t: protecting(t, shield(), lambda x: remove_footnote_markers(x)["text"], TRIGGER))
     return df.withColumn("lines", remove_ranges(F.col("lines"), b.notes_sections(F.col("lines"))))
 
 
 def characters(df: DataFrame, s: Settings) -> DataFrame:
-    return _on_text(df, 12, lambda t: protecting(t, shield(code=False), clean_characters))
+    return _on_text(df, 12, lambda t: protecting(t, shield(code=False), clean_characters, TRIGGER))
 
 
 def reflowed(df: DataFrame, s: Settings) -> DataFrame:
-    return _on_text(df, 13, lambda t: protecting(t, shield(math=False), lambda x: reflow(x)["text"]), 0.9)
+    return _on_text(df, 13, lambda t: protecting(t, shield(math=False), lambda x: reflow(x)["text"], "[|`]"), 0.9)
 
 
 def paragraph_length(df: DataFrame, s: Settings) -> DataFrame:

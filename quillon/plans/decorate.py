@@ -49,5 +49,8 @@ decorated AS (SELECT doc_id, lang, doc_id % 8 AS variant, {DUCK} AS lines FROM p
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "lang", "split(coalesce(text, ''), '\\n', -1) AS own")
+    cores = spark.sparkContext.defaultParallelism
+    if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores:  # a small table's single file would keep one core busy
+        docs = docs.repartition(cores, "doc_id")
     padded = docs.selectExpr("doc_id", "lang", "greatest(60, size(own)) AS m", "slice(flatten(array_repeat(own, cast(ceil(60 / size(own)) as int))), 1, greatest(60, size(own))) AS b")
     return padded.selectExpr("doc_id", "lang", "doc_id % 8 AS variant", f"{SPARK} AS lines")

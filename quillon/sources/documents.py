@@ -50,7 +50,10 @@ def pdf_pages(content: Column) -> Column:
 
 
 def load_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, name, mime, size, pages, pathway, error, text): a bad file is a row with an error."""
+    """Rows (path, name, mime, size, pages, pathway, error, text): a bad file is a row with an error.
+
+    Spark's reader lists no empty files, so `empty` arises only for tables of sizes from elsewhere.
+    """
     raw = spark.read.format("binaryFile").load(path)
     mime = mime_type(F.col("path"))
     rows = raw.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), mime.alias("mime"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
