@@ -15,7 +15,7 @@ in which two texts differ.
 Defined results: null counts as empty; the empty text has one empty paragraph and no leaves, and
 is like only itself; rows that repeat a doc_id have the same next document (the next smaller id;
 of several with that id, the greatest text); after the smallest id comes the largest; a null
-doc_id sorts as the smallest.
+doc_id sorts as the smallest, and the smallest long counts as null.
 """
 
 from __future__ import annotations
@@ -99,7 +99,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
-    keyed = text_of(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
+    # Both sides need the same two columns of the texts, or they couldn't share the exchange.
+    keyed = text_of(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), "text")
     chain = checkpointed(next_ids(keyed.select("key"), parts))
     rows = keyed.repartition(parts, "key")  # the one exchange of whole texts, which both sides below share
     asked = keyed.groupBy("key").agg(F.max(F.floor(F.length("text") / 3)).alias("third")).join(chain, "key")
@@ -108,4 +109,4 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sent = sent.select(F.col("asker").alias("key"), F.expr("substring(text, 1, cast(third as int))").alias("begins"), tree(F.col("text")).alias("next_tree"))
     met = rows.join(sent, "key")
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    return met.select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("begins"), F.lit(1), third)).alias("edited"), "next_tree")
+    return met.select(F.when(F.col("key") != LOWEST, F.col("key")).alias("doc_id"), "text", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("begins"), F.lit(1), third)).alias("edited"), "next_tree")
