@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in SQL functions only.
 
 A text's paragraphs are its lines.  Leaves are the runs of words within a paragraph, cut by their
-own content (after a word that ends in one of `CUTS`), so an edit moves no cut outside of it.  A
+own content (`CUTS`: by a word's last character), so an edit moves no cut outside of it.  A
 paragraph's digest covers its text; a section ends after each paragraph whose digest is divisible
 by four, so sections too move only near edits; a section's digest covers its paragraphs' digests,
 and the root's covers the sections'.
@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import checkpointed, text_of
 
 LEAVES = 128
-# Fixed value: a run of words ends after a word that ends in one of these, or before a line's end.
-CUTS = r"(?<=[aehnst.,!?;:|&$%#*\-])\s+"
+#: A run of words ends after a word that ends in anything but one of these letters, in any script.
+CUTS = r"(?<=[^bcdfgijklmopqruvwxyzà-ÿ\s])\s+"
 LOWEST = -(1 << 63)
 
 
