@@ -133,7 +133,9 @@ def characters(df: DataFrame, s: Settings) -> DataFrame:
 
 
 def reflowed(df: DataFrame, s: Settings) -> DataFrame:
-    return _on_text(df, 13, lambda t: protecting(t, shield(math=False), lambda x: reflow(x)["text"], "[|`]"), 0.9)
+    """Headings become paragraphs of their own first, as joined to their text they'd be lost to step 15."""
+    apart = lambda x: F.regexp_replace(x, r"(?m)^(#{1,6}\s.*)$", "\n$1\n")
+    return _on_text(df, 13, lambda t: protecting(t, shield(math=False), lambda x: reflow(apart(x))["text"], "[|`]"), 0.9)
 
 
 def paragraph_length(df: DataFrame, s: Settings) -> DataFrame:
