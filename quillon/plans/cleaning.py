@@ -174,7 +174,7 @@ def clean(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
 def audit_rows(cleaned: DataFrame) -> DataFrame:
     """doc_id, step, name, changes, lines, confidence, anomaly."""
     names = F.create_map(*[F.lit(x) for p in STEPS.items() for x in p])
-    rows = cleaned.select("doc_id", F.explode("audit").alias("a"))
+    rows = cleaned.select("doc_id", F.explode_outer("audit").alias("a")).filter(F.col("a").isNotNull())  # outer: see line_view
     return rows.select("doc_id", "a.step", names[F.col("a.step")].alias("name"), "a.changes", "a.lines", "a.confidence", "a.anomaly")
 
 
