@@ -309,6 +309,20 @@ def test_near_groups_against_all_pairs(spark, long_list):
     assert {x["doc_id"] for x in near_groups.keep_one(table(spark, rows)).collect()} == set(brute_near(rows).values())
 
 
+def test_near_groups_of_many_variants_without_their_base(spark):
+    r = random.Random(12)
+    base = [r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(120)]
+    rows = []
+    for k in range(130):  # two texts of 0.8 and more, beside others that are less alike
+        w = list(base)
+        for n, at in enumerate(r.sample(range(5, 115), 2)):
+            w[at] = f"changed{k}x{n}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, f"more{k}"]))]
+    want = brute_near(rows)
+    got = {x["doc_id"]: x["group_id"] for x in near_groups.near_groups(table(spark, rows), long_list=20).collect()}
+    assert 50 < len(set(want.values())) and got == want
+
+
 def test_near_groups_of_odd_tables(spark, odd, empty):
     assert near_groups.near_groups(odd).count() == len(ODD) and near_groups.keep_one(empty).count() == 0 and near_groups.keep_one(odd).columns == odd.columns
 
