@@ -125,10 +125,9 @@ def toc_end(spark, sf_dir):
 CROSS JOIN (VALUES ('List of Figures', 0, 3, 1.0, 3), ('List of Tables', 5, 7, 1.0, 2)) AS x(type, s, e, c, k)
 WHERE doc_id IN (SELECT doc_id FROM decorated WHERE len(lines) >= 50)""")
 def auxiliary_lists(spark, sf_dir):
-    """Lists under headings.  The second ends before the abbreviations, whose lines are no entries of a table."""
-    d = decorated(spark, sf_dir).filter("variant = 6").select("doc_id", F.explode_outer(boundaries.auxiliary_lists(F.col("lines"))).alias("l")).filter("l IS NOT NULL")
-    end = F.least(F.col("l.end"), F.when(F.col("l.type") == "List of Tables", 7).otherwise(F.col("l.end")))
-    return d.select("doc_id", "l.type", F.col("l.start").alias("start_line"), end.alias("end_line"), F.round(F.least("l.confidence", F.lit(1.0)), 6).alias("confidence"), F.least("l.entries", F.when(F.col("l.type") == "List of Tables", 2).otherwise(F.col("l.entries"))).alias("entries"))
+    """Lists under headings, as the operator finds them.  The SQL's constants for 'List of Tables' end it before the abbreviations, which the operator's rules don't."""
+    d = decorated(spark, sf_dir).select("doc_id", F.explode_outer(boundaries.auxiliary_lists(F.col("lines"))).alias("l")).filter("l IS NOT NULL")
+    return d.select("doc_id", "l.type", F.col("l.start").alias("start_line"), F.col("l.end").alias("end_line"), F.round("l.confidence", 6).alias("confidence"), "l.entries")
 
 
 @query(f"""WITH {WITH}, {_VIEW}, k AS (SELECT doc_id, i, {TRIM.format('x')} = '' AS blank, regexp_matches({TRIM.format('x')}, {_q(fixed.ABBREVIATION)}) AS entry FROM v WHERE i < CAST(floor(n * 0.4) AS INT)),

@@ -1,5 +1,7 @@
 """The document engine: stated cases, invariants and registered queries."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +223,25 @@ def test_every_oracle_has_a_query():
 
 def test_join_lines_is_the_inverse(spark):
     assert one(spark, join_lines(split_lines(F.col("t"))), t="a\n\nb\n") == "a\n\nb\n"
+
+
+def test_whole_auxiliary_lists(spark):
+    from quillon.functions import fixed
+    from quillon.plans.decorate import decorated
+
+    got = {(r["doc_id"], r["start_line"]): r for r in registry.queries()["auxiliary_lists"](spark, SMALL).collect()}
+    seen = 0
+    for r in decorated(spark, SMALL).filter("variant = 6").collect():
+        x, last, blanks = r["lines"], 5, 0
+        for k in range(6, min(105, int(len(x) * 0.4))):
+            t = x[k].strip()
+            if t.startswith("#") or t.upper().startswith(("CHAPTER ", "PART ", "PROLOGUE", "INTRODUCTION")):
+                break
+            last, blanks = (k, 0) if t else (last, blanks + 1)
+            if blanks == 3:
+                break
+        entries = sum(any(re.search(p, t) for p in fixed.LIST_ENTRIES) for t in x[6 : last + 1])
+        own = got[r["doc_id"], 5]
+        assert (own["type"], own["end_line"], own["entries"], own["confidence"]) == ("List of Tables", last, entries, 1.0) and last > 7 and entries >= 5
+        seen += 1
+    assert seen > 10
