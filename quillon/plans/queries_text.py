@@ -149,6 +149,13 @@ def export_strip(spark, sf_dir):
     return d.select("doc_id", markdown.strip_markdown(F.concat(F.lit("# "), F.substring("text", 1, 30), F.lit(" **b** *i*"))).alias("stripped"))
 
 
+@query()
+def export_strip_whole(spark, sf_dir):
+    """K5, X32 over whole texts, every document; tests compare it with brute force."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", markdown.strip_markdown(F.col("text")).alias("stripped"))
+
+
 @query(f"""WITH {WITH}, v AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS i FROM decorated)
 SELECT doc_id, i AS place, length(regexp_extract(x, '^(#+) ', 1)) AS level, regexp_replace(x, '^#{{1,4}} ', '') AS heading FROM v WHERE regexp_matches(x, '^#{{1,4}} ')""")
 def heading_list(spark, sf_dir):

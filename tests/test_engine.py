@@ -245,3 +245,16 @@ def test_whole_auxiliary_lists(spark):
         assert (own["type"], own["end_line"], own["entries"], own["confidence"]) == ("List of Tables", last, entries, 1.0) and last > 7 and entries >= 5
         seen += 1
     assert seen > 10
+
+
+def test_whole_export_strip(spark, tmp_path):
+    texts = ["## Title\n# not first", "x" * 40 + " **b** and *i* [l](http://a.b) _u_ __w__", "*a*", None, "", "two **lines\nhere** stay"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["stripped"] for r in registry.queries()["export_strip_whole"](spark, str(tmp_path)).collect()}
+
+    def brute(t):
+        for p, to in ((r"\A#{1,6}\s*", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), (r"__(.+?)__", r"\1"), (r"_(.+?)_", r"\1"), (r"\[(.+?)\]\(.+?\)", r"\1")):
+            t = re.sub(p, to, t)
+        return t
+
+    assert got == {k: t if t is None else brute(t) for k, t in enumerate(texts)} and got[1] == "x" * 40 + " b and i l u w"
