@@ -204,11 +204,16 @@ def line_chunks(spark, sf_dir):
     return chunking.line_chunks(d, target=40, overlap=5, snap=5).select("doc_id", "chunk_id", "start_line", "end_line", F.length("content").alias("n_chars"))
 
 
+def in_three_pages(lines):
+    """All lines as three pages of about as many each."""
+    third = F.floor(F.size(lines) / 3).cast("int")
+    return F.concat_ws(chunking.PAGE_BREAK, join_lines(F.slice(lines, F.lit(1), third)), join_lines(F.slice(lines, third + 1, third)), join_lines(F.slice(lines, 2 * third + 1, F.size(lines) - 2 * third)))
+
+
 @query(f"""WITH {WITH} SELECT doc_id, 3 AS pages, true AS same FROM decorated""")
 def page_split_and_join(spark, sf_dir):
     """C5, G5."""
-    text = F.concat_ws(chunking.PAGE_BREAK, join_lines(F.slice("lines", 1, 5)), join_lines(F.slice("lines", 6, 5)), join_lines(F.slice("lines", 11, 5)))
-    d = decorated(spark, sf_dir).withColumn("lines", F.filter("lines", lambda x: trim(x) != "---")).select("doc_id", text.alias("t"))
+    d = decorated(spark, sf_dir).select("doc_id", in_three_pages(F.col("lines")).alias("t"))
     p = chunking.split_pages(F.col("t"))
     return d.select("doc_id", F.size(p).alias("pages"), (chunking.join_pages(p) == F.col("t")).alias("same"))
 
@@ -223,6 +228,13 @@ def text_distance(spark, sf_dir):
     return d.select("conv_id", "turn", F.levenshtein(a, b).alias("distance"), F.greatest(F.length(a), F.length(b)).alias("longest"))
 
 
+@query()
+def text_distance_whole(spark, sf_dir):
+    """Q13 over whole turns, in code points; tests compare it with brute force."""
+    d, b = spark.read.parquet(f"{sf_dir}/conversations.parquet"), F.reverse("text")
+    return d.select("conv_id", "turn", F.levenshtein("text", b).alias("distance"), F.length("text").alias("longest"))
+
+
 _RANGE_ROWS = [(k, a, b, c, d) for k, (a, b, c, d) in enumerate([(0, 5, 3, 8), (0, 5, 6, 8), (2, 2, 2, 2), (7, 9, 0, 7), (4, 10, 5, 6)])]
 
 

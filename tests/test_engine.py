@@ -258,3 +258,24 @@ def test_whole_export_strip(spark, tmp_path):
         return t
 
     assert got == {k: t if t is None else brute(t) for k, t in enumerate(texts)} and got[1] == "x" * 40 + " b and i l u w"
+
+
+def test_whole_text_distance_and_pages(spark, tmp_path):
+    from quillon.plans.queries_lines import in_three_pages
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    texts = ["a" * 40 + "bcd" * 30, "héllo wörld " * 9, "", None, "abcba"]
+    spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: (r["distance"], r["longest"]) for r in registry.queries()["text_distance_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: (None, None) if t is None else (brute(t, t[::-1]), len(t)) for k, t in enumerate(texts)}
+    lines = [*BODY, "---", "last"]
+    pages = detect(spark, lambda x: chunking.split_pages(in_three_pages(x)), lines)
+    assert len(pages) == 3 and [x for p in pages for x in p["markdown"].split("\n")] == lines
