@@ -296,5 +296,5 @@ def assembled(spark, sf_dir):
     """Marked chapters and the parts around a text."""
     from ..functions.metadata import blank
 
-    d = decorated(spark, sf_dir).filter("variant IN (2, 3, 7)").select("doc_id", structure.assemble(join_lines(F.col("lines")), blank(F.lit("A Title"), F.lit("A. Writer"))).alias("t"))
+    d = decorated(spark, sf_dir).select("doc_id", structure.assemble(join_lines(F.col("lines")), blank(F.lit("A Title"), F.lit("A. Writer"))).alias("t"))
     return d.select("doc_id", F.size(split_lines(F.col("t"))).alias("n_lines"), F.regexp_count("t", F.lit("<!-- (?:PART|CHAPTER)")).alias("markers"), F.col("t").endswith("-->\n").alias("ended"))

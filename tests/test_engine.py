@@ -279,3 +279,8 @@ def test_whole_text_distance_and_pages(spark, tmp_path):
     lines = [*BODY, "---", "last"]
     pages = detect(spark, lambda x: chunking.split_pages(in_three_pages(x)), lines)
     assert len(pages) == 3 and [x for p in pages for x in p["markdown"].split("\n")] == lines
+
+
+@pytest.mark.parametrize("name", ["clean_characters", "assembled"])
+def test_whole_table(spark, name):
+    assert registry.queries()[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
