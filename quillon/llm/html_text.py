@@ -1,7 +1,8 @@
 """HTML extraction by differencing each page against its nearest neighbour by URL.
 
 Pages are dealt by ranges of (host, path, page_id), so a hot host spreads over many tasks, and are
-read in that order.  A page's partner is the one of its two neighbours on the same host whose path
+read in that order; the first and last page of a range are sent to the range beside it too, so that
+neighbours don't depend on where ranges end.  A page's partner is the one of its two neighbours on the same host whose path
 shares the longer beginning (the one before on a tie).  The lines of both are aligned by their
 longest common subsequence, and the lines shared are deleted: menus, notices, footers and whatever else
 a site repeats.
@@ -10,8 +11,8 @@ Differencing alone is wrong in both directions, so structure has the first word.
 stands in an element that names itself as navigation, header, footer, sidebar, advert, form,
 comment and so on is dropped even if no other page shares it.  Lines inside an element that names
 itself as the article are kept even if a neighbour shares them, as sites repeat passages and whole
-articles.  Differencing decides where a page marks no article; should a pair share more
-than `COPIES` of such lines, the pages are taken for copies of one article and nothing is deleted.
+articles.  Differencing decides where a page marks no article; should a pair share all lines of both
+pages, they are copies and nothing is deleted.
 
 A block's character references are decoded, its white space runs become one space, it is trimmed,
 and blocks are joined in page order by two line feeds.
@@ -33,8 +34,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .url_filter import split_url
 
-COPIES = 0.8
-
 # HTML elements by role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre search section summary table tbody tfoot thead title tr ul".split())
 RAW = frozenset("script style noscript template textarea iframe noembed noframes xmp title".split())
@@ -181,7 +180,7 @@ def main_text(page: list[tuple[str, bool]], partner: list[tuple[str, bool]] | No
         return "\n\n".join(t for t, inside in page if inside)
     lines = [t for t, _ in page]
     same = shared(lines, [t for t, _ in partner]) if partner else set()
-    if len(same) > COPIES * len(lines):
+    if partner and len(same) == len(lines) == len(partner):  # nothing of its own on either page: copies
         same = set()
     return "\n\n".join(t for k, t in enumerate(lines) if k not in same)
 
@@ -195,6 +194,25 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
+def with_edges(rows: DataFrame, parts: int) -> DataFrame:
+    """rows dealt to ranges of (host, path, page_id), in order, with the edge pages of the ranges beside; own: not such a copy.
+
+    The ranges are found from the keys alone; the driver gets two keys of each.
+    """
+    key = F.struct("host", "path", "page_id")
+    keys = rows.select(key.alias("k")).repartitionByRange(parts, "k").groupBy(F.spark_partition_id().alias("part")).agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    ends = [(tuple(r["low"]), tuple(r["high"])) for r in keys.orderBy("part").collect()]
+    kind = "struct<host:string,path:string,page_id:bigint>"
+    listed = lambda found: F.array(*(F.struct(*map(F.lit, k)) for k in found)).cast(f"array<{kind}>")
+    lows, highs = listed(low for low, _ in ends), listed(high for _, high in ends)
+    part = F.size(F.filter(lows, lambda low: F.col("__k") >= low)) - 1
+    placed = rows.withColumn("__k", key).withColumn("__part", part)
+    near = F.array(F.col("__part"), F.when(F.col("__k") == F.get(lows, F.col("__part")), F.col("__part") - 1), F.when(F.col("__k") == F.get(highs, F.col("__part")), F.col("__part") + 1))
+    sent = placed.withColumn("__to", F.explode(near)).filter(F.col("__to").between(0, max(len(ends) - 1, 0)))
+    dealt = sent.repartitionById(max(len(ends), 1), F.col("__to")).sortWithinPartitions("host", "path", "page_id")
+    return dealt.select("page_id", "__url", "html", "host", "path", (F.col("__to") == F.col("__part")).alias("own"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row of pages."""
     spark = pages.sparkSession
@@ -202,11 +220,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host, path = split_url(F.col("__url"))
     rows = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
-    dealt = rows.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    dealt = with_edges(rows, parts)
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
-        before = now = None  # (page_id, url, host, path, blocks)
+        before = now = None  # (page_id, url, host, path, blocks, whether this range owns it)
 
         def row(p, left, right):
             near = [(_alike(p[3], q[3]), -k, q[4]) for k, q in enumerate((left, right)) if q and q[2] == p[2]]
@@ -215,13 +233,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         for b in batches:
             out = []
-            for page_id, url, source, host, path in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                after = (page_id, url, host, path, blocks(source))
-                if now:
+            for page_id, url, source, host, path, own in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                after = (page_id, url, host, path, blocks(source), own)
+                if now and now[5]:
                     out.append(row(now, before, after))
                 before, now = now, after
             yield pa.RecordBatch.from_pylist(out, schema=kind)
-        if now:
+        if now and now[5]:
             yield pa.RecordBatch.from_pylist([row(now, before, None)], schema=kind)
 
     return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -210,6 +210,20 @@ def test_html(spark):
     assert [g[0] for g in got] == [1, 2, 3, 4, 4] and got[2] == (3, "", 0) and got[3][1].startswith("T & x") and html_text.extract(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", ["4", "30", "97"])
+def test_html_at_range_ends(spark, parts):
+    menu = "".join(f"<p>Menu {k}</p>" for k in range(30))
+    rows = [(k, f"http://h{k // 2}.x/p/{k}", page(menu + f"<p>Own {k}</p><p>More {k}</p><p>Imprint</p>")) for k in range(40)]
+    rows += [(40, None, "<p>alone</p>"), (41, "http://z.x/a", page("<p>copy</p>")), (42, "http://z.x/b", page("<p>copy</p>"))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {k: f"Own {k}\n\nMore {k}" for k in range(40)} | {40: "alone", 41: "copy", 42: "copy"}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
