@@ -2,20 +2,19 @@
 
 A fingerprint has 64 bits: bit k is 1 if it is set in over half of the XXH64 values (seed 42) of a
 text's word shingles.  Two fingerprints that differ in at most `BITS` = 3 bits differ in at most
-three of their eight bytes, so they share at least five positional bytes; that is the guaranteed
-minimum of the count filter.  Any five of eight positions hold three of one half, so the posting
-lists are those of the eight triples of positions within a half: each pair that can pass the filter
-meets in one of them.  Only distinct fingerprints are indexed.  Pairs that meet have their shared
-positional bytes tallied, those that reach the minimum are verified bit by bit.
-
-Posting lists longer than `LONG_LIST` are never paired as they are: their members move to the lists
-of the five shared bytes they'd need anyway, with one of the four quarters of the other 24 bits that
-three different bits must leave intact; what is still long is solved by probing, where one side
-flips up to one and the other up to two of the bits outside the list's key: a number of rows in
-proportion to the list.  No pair is lost in either way.
+three of their eight bytes, so they share at least `MINIMUM` = five positional bytes; that is the guaranteed
+minimum of the count filter.  A posting is a set of positions with a fingerprint's bytes there.  `FOURS` are
+sets of four positions of which every five positions hold one, so each pair that can pass the filter meets in
+one of their lists; `FIVES` are all sets of five.  Only distinct fingerprints are indexed.  Pairs that meet have
+their shared positional bytes tallied, those that reach the minimum are verified bit by bit.
+
+Lists of over `LONG_LIST` fingerprints are never paired.  Their members move to the lists of five positions, where
+each pair that counts meets again; what is in lists that are long even there is linked through common
+neighbours, in a number of rows that is a multiple of the members' (`_through_neighbours`): all pairs of such a
+group are neither needed nor made.  No link is lost in any of the three, whatever the sizes.
 
 Linked fingerprints form components by alternating large-star and small-star steps, each cut off
-by a checkpoint.
+by a checkpoint, until a step leaves the edges as they were.
 
 Defined results: null and empty texts have the fingerprint zero and are linked like any other; a
 text with fewer words than a shingle has one shingle, all its words; rows with one doc_id count as
@@ -34,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import checkpointed, text_of, to_members
 
 BITS = 3
+MINIMUM = 8 - BITS
 LONG_LIST = 64
 #: Bytes of text whose shingles are hashed at a time.
 BLOCK = 1 << 20
@@ -82,11 +82,17 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     return text_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-TRIPLES = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
+def covering(size: int, of: int) -> list[tuple[int, ...]]:
+    """Sets of `size` of the eight positions such that any `of` positions hold one of them; greedy, the first best one each time."""
+    left, out = set(combinations(range(8), of)), []
+    while left:
+        best = max(combinations(range(8), size), key=lambda c: sum(set(c) <= set(x) for x in left))
+        out.append(best)
+        left = {x for x in left if not set(best) <= set(x)}
+    return out
 
 
-def _byte(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255))
+FOURS, FIVES = covering(4, MINIMUM), covering(5, MINIMUM)
 
 
 def _mask(positions) -> int:
@@ -94,61 +100,54 @@ def _mask(positions) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _signed(m: int) -> int:
-    return m - (1 << 64) if m >= 1 << 63 else m
-
-
-def _short(lists: DataFrame, keys: list[str], long_list: int) -> tuple[DataFrame, DataFrame]:
-    """The members of lists of two to long_list members, and those of longer ones."""
-    n = lists.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    both = lists.join(n, keys)
-    return both.filter(F.col("__n") <= long_list).drop("__n"), both.filter(F.col("__n") > long_list).drop("__n")
-
-
-def _pairs(lists: DataFrame, keys: list[str], bits: int) -> DataFrame:
-    """Pairs of one list that share the guaranteed number of positional bytes and pass the bit check."""
-    other = lists.select(*keys, F.col("fp").alias("fp2"))
+def _met(prints: DataFrame, sets: list[tuple[int, ...]], bits: int, long_list: int) -> tuple[DataFrame, DataFrame]:
+    """The verified pairs a < b of short lists, and the distinct members of long ones."""
+    masks = F.array(*[F.struct(F.lit(i).cast("byte").alias("slot"), F.lit(_mask(t)).alias("mask")) for i, t in enumerate(sets)])
+    postings = prints.select("fp", F.explode(masks).alias("m")).select("m.slot", F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp")
+    sizes = postings.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = checkpointed(postings.join(sizes, ["slot", "key"]))
+    short = shared.filter(F.col("n") <= long_list).drop("n")
     x = F.col("fp").bitwiseXOR(F.col("fp2"))
-    tally = reduce(lambda a, b: a + b, [(_byte(x, k) == 0).cast("int") for k in range(8)])
-    met = lists.join(other, keys).filter(F.col("fp") < F.col("fp2"))
-    return met.filter((tally >= 8 - bits) & (F.bit_count(x) <= bits)).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    tally = reduce(lambda a, b: a + b, [(x.bitwiseAND(F.lit(_mask([k]))) == 0).cast("int") for k in range(8)])
+    met = short.join(short.withColumnRenamed("fp", "fp2"), ["slot", "key"]).filter((F.col("fp") < F.col("fp2")) & (tally >= 8 - bits))
+    return met.filter(F.bit_count(x) <= bits).select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct(), shared.filter(F.col("n") > long_list).select("fp").distinct()
 
 
 def links(prints: DataFrame, bits: int = BITS, long_list: int = LONG_LIST) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints in prints (column fp) that differ in at most 3 bits."""
-    if bits > 3:
-        raise ValueError("the lists of triples guarantee pairs of up to three different bits")
-    masks = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(_mask(t)).alias("mask")) for i, t in enumerate(TRIPLES)])
-    first = prints.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.slot").alias("slot"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
-    short, long_ = _short(first, ["slot", "key"], long_list)
-    found = [_pairs(short, ["slot", "key"], bits)]
-    if long_.take(1):
-        finer = []
-        for i, t in enumerate(TRIPLES):
-            for two in combinations([k for k in range(8) if k not in t], 2):
-                rest = [8 * k + j for k in range(8) if k not in t + two for j in range(8)]
-                for q in range(4):
-                    finer.append((i, len(finer), _signed(_mask(t + two) % (1 << 64) | sum(1 << x for x in rest[6 * q : 6 * q + 6]))))
-        table = F.array(*[F.array(*[F.struct(F.lit(s).alias("slot2"), F.lit(m).alias("mask")) for j, s, m in finer if j == i]) for i in range(len(TRIPLES))])
-        second = long_.select("fp", F.explode(F.get(table, F.col("slot"))).alias("m")).select("fp", F.col("m.slot2").alias("slot2"), F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key")).distinct()
-        short2, long2 = _short(second, ["slot2", "key"], long_list)
-        found.append(_pairs(short2, ["slot2", "key"], bits))
-        if long2.take(1):
-            found.append(_probed(long2, bits))
-    return reduce(DataFrame.unionByName, found).distinct()
-
-
-def _probed(lists: DataFrame, bits: int) -> DataFrame:
-    """Pairs of one long list: one side flips up to one, the other up to two bits outside the key."""
-    free = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(F.col("mask"), k) == 0)
-    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    rows = lists.withColumn("flips", F.transform(free, one))
-    up1 = F.concat(F.array(F.lit(0).cast("long")), F.col("flips"))
-    up2 = F.array_distinct(F.flatten(F.transform(up1, lambda x: F.transform(up1, lambda y: F.when(x == y, F.lit(0).cast("long")).otherwise(x.bitwiseXOR(y))))))
-    probe = lambda flips, name: rows.select("slot2", F.col("fp").alias(name), F.explode(flips).alias("flip")).select("slot2", name, F.col(name).bitwiseXOR(F.col("flip")).alias("met"))
-    met = probe(up1, "fp").join(probe(up2, "fp2"), ["slot2", "met"]).filter(F.col("fp") != F.col("fp2"))
-    near = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= bits)
-    return near.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
+    """Pairs a < b of the distinct fingerprints in prints (column fp) that differ in at most `bits` <= 3 bits.
+
+    They have the components of all such pairs; all of them that share a short list are there.
+    """
+    if bits > BITS:
+        raise ValueError("the postings guarantee pairs of up to three different bits")
+    pairs, crowded = _met(prints, FOURS, bits, long_list)
+    if crowded.take(1):
+        finer, crowded = _met(checkpointed(crowded), FIVES, bits, long_list)
+        pairs = pairs.unionByName(finer)
+        if crowded.take(1):
+            pairs = pairs.unionByName(_through_neighbours(checkpointed(crowded), bits))
+    return pairs.distinct()
+
+
+def _flipped(name: str, most: int) -> Column:
+    """SQL: the 64-bit numbers within `most` <= 2 bits of column `name`."""
+    one = f"transform(sequence(0, 63), i -> {name} ^ shiftleft(1L, i))"
+    two = f"flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> {name} ^ shiftleft(1L, i) ^ shiftleft(1L, j))))"
+    return F.expr(f"concat({', '.join([f'array({name})', one, two][: most + 1])})")
+
+
+def _through_neighbours(prints: DataFrame, bits: int) -> DataFrame:
+    """True links with the components of all links between prints, without all pairs.
+
+    Let v be any number within half of `bits` of some prints: these are links of one another, and the
+    smallest stands for them.  If two prints are linked, one of them has such a v which the other reaches with the rest
+    of the bits, so it's enough to link whatever reaches v with the one that stands for it.
+    """
+    near = bits // 2
+    at = lambda most: prints.select("fp", F.explode(_flipped("fp", most)).alias("v"))
+    centres = at(near).groupBy("v").agg(F.min("fp").alias("centre"))
+    linked = at(bits - near).join(centres, "v").filter("fp <> centre")
+    return linked.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -160,9 +159,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.filter("u <> v").distinct())
+        last, now = now, checkpointed(small.filter("u <> v").distinct())
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
-        if state == before:
+        if state == before and now.join(last, ["u", "v"], "left_semi").count() == state[0]:
             roots = now.select(F.col("v").alias("node")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
         before = state
@@ -170,13 +169,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_components(docs: DataFrame, size: int = 3, bits: int = BITS, long_list: int = LONG_LIST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id, links (of its fingerprint to other fingerprints)."""
+    """One row per row of docs: doc_id, fp, component_id."""
     prints = checkpointed(fingerprints(docs, size, id_col, text_col))
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")))
-    edges = checkpointed(links(classes.select("fp"), bits, long_list))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    roots = components(edges)
+    roots = components(links(classes.select("fp"), bits, long_list))
     own = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", "size", F.coalesce("root", "fp").alias("root"))
     best = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = own.join(best, "root").join(degree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "size", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return to_members(prints, checkpointed(labels), "fp", "size").select("doc_id", "fp", "component_id", "links")
+    labels = checkpointed(own.join(best, "root").select("fp", "size", "component_id"))
+    return to_members(prints, labels, "fp", "size").select("doc_id", "fp", "component_id")
