@@ -5,15 +5,20 @@ to `?`, `#` or the end.  A url that is null or has no `://` has an empty host an
 fits its host and all subdomains if the url's path starts with the rule's path; of the rules that
 fit, the longest (host and path together, then host) wins.
 
-Urls that a rule decides are the labelled ones: block is 1, allow is 0.  Their lexical features
-are cut into few bins, equal feature vectors are counted by Spark, and the boosted trees are fitted
-on those counts (`TRAIN_VECTORS` of the most frequent vectors at most, a documented bound).  The
-trees become one arithmetic expression of CASE columns, so scoring stays in Spark's generated code.
-Counts of labels by host suffix enter as a smoothed block rate, from all labelled rows.
+Urls that a rule decides are the labelled ones: block is 1, allow is 0.  Lexical features are cut
+into few bins: length, depth, digit ratio, entropy, parameter counts and statistics of the host's
+suffix.  Those statistics are how common the suffix is among all urls, and its length; no label enters
+a feature, so a suffix whose labelled urls are all of one kind doesn't decide the others.  A suffix
+has at least the least share that tells bins apart or is in the lowest bin, so the table of
+shares has at most 1 / `SHARES[0]` rows and is exact.  Equal feature vectors are counted by Spark, and the
+boosted trees are fitted on those counts (`TRAIN_VECTORS` of the most frequent vectors at most, a
+documented bound).  The trees become one arithmetic expression of CASE columns, so scoring stays in
+Spark's generated code.  `held_out_accuracy` leaves out whole hosts.
 
 Defined results: with no labelled url, or labels of one kind, the score is that kind's rate
 (0.5 without labels), and a score of `THRESHOLD` or more means block; repeated rows are judged
-alike; other columns pass unread.
+alike, very long ones are read whole; ties between splits go to the first feature and lowest cut;
+an empty table gives no rows; other columns pass unread.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 TRAIN_VECTORS = 4000
 THRESHOLD = 0.5
-SUFFIXES = 200
+#: Cuts between the bins of a suffix's share of all urls.
+SHARES = (0.005, 0.02, 0.1, 0.3, 0.6)
 
 
 @dataclass(frozen=True)
@@ -79,7 +85,7 @@ def binned(c: Column, cuts: tuple[float, ...]) -> Column:
 
 
 def features(df: DataFrame) -> DataFrame:
-    """Small integers f0... from __url, host and path."""
+    """Small integers f0... from __url, host, path and suffix."""
     u = F.coalesce(F.col("__url"), F.lit(""))
     query = F.regexp_extract(u, r"(?s)\?([^#]*)", 1)
     digits = F.length(F.regexp_replace(u, "[^0-9]", ""))
@@ -95,11 +101,12 @@ def features(df: DataFrame) -> DataFrame:
         "f8": binned(F.length("path"), (1, 2, 5, 8, 12, 20, 40)),
         "f9": F.col("path").rlike(r"\.[A-Za-z0-9]{1,5}$").cast("int"),
         "f10": F.length(F.regexp_replace("host", "[^-0-9]", "")).cast("int"),
+        "f11": F.least(F.length("suffix"), F.lit(8)),
     }
     return df.withColumns({k: F.coalesce(v.cast("int"), F.lit(0)) for k, v in columns.items()})
 
 
-NAMES = tuple(f"f{i}" for i in range(12))
+NAMES = tuple(f"f{i}" for i in range(13))
 
 
 def boosted(vectors: list[tuple[tuple[int, ...], float, float]], rounds: int = 24, rate: float = 0.3, least: float = 5.0) -> tuple[float, list]:
@@ -166,20 +173,64 @@ def _column(tree) -> Column:
     return F.when(F.col(NAMES[tree[0]]) <= tree[1], _column(tree[2])).otherwise(_column(tree[3]))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, rounds: int = 24) -> DataFrame:
-    """One row per row of pages: page_id, host, path, rule, score, verdict."""
+@dataclass(frozen=True)
+class Model:
+    shares: tuple[tuple[str, int], ...]  # suffixes above the lowest bin, and their bins
+    base: float
+    trees: tuple
+
+    def score(self, bins: tuple[int, ...]) -> float:
+        return 1 / (1 + math.exp(-(self.base + sum(value(t, bins) for t in self.trees))))
+
+
+def prepared(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """page_id, host, path, rule, rule_verdict, suffix and all features but the last."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("__url"))
     host, path = split_url(F.col("__url"))
-    rows = features(with_rule(rows.withColumn("host", host).withColumn("path", path), rules)).withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0))
-    labelled = rows.filter(F.col("rule").isNotNull()).withColumn("blocked", (F.col("rule_verdict") == "block").cast("long"))
-    counts = labelled.groupBy("suffix").agg(F.sum("blocked").alias("b"), F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    cuts = {r["suffix"]: min(int(10 * (r["b"] + 1) / (r["n"] + 2)), 9) for r in top}
-    rate = reduce(lambda other, x: F.when(F.col("suffix") == x[0], F.lit(x[1])).otherwise(other), sorted(cuts.items()), F.lit(5))
-    with_rate = lambda df: df.withColumn("f11", rate.cast("int"))
-    grouped = with_rate(labelled).groupBy(*NAMES).agg(F.sum("blocked").alias("b"), F.count(F.lit(1)).alias("n"))
-    kept = grouped.orderBy(F.desc("n"), *NAMES).limit(TRAIN_VECTORS).collect()
+    ruled = with_rule(rows.withColumn("host", host).withColumn("path", path), rules)
+    ruled = ruled.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
+    return features(ruled.withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0)))
+
+
+def common_suffixes(rows: DataFrame) -> tuple[tuple[str, int], ...]:
+    """The suffixes with a share of SHARES[0] or more (so 1 / SHARES[0] at most) and their bins."""
+    counts = rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    found = counts.filter(F.col("n") >= F.lit(SHARES[0]) * total).collect()
+    return tuple(sorted((r["suffix"], sum(r["n"] >= cut * total for cut in SHARES)) for r in found))
+
+
+def with_shares(rows: DataFrame, shares: tuple[tuple[str, int], ...]) -> DataFrame:
+    bin_ = reduce(lambda other, x: F.when(F.col("suffix") == x[0], F.lit(x[1])).otherwise(other), shares, F.lit(0))
+    return rows.withColumn(NAMES[-1], bin_.cast("int"))
+
+
+def train(rows: DataFrame, labelled: Column, blocked: Column, rounds: int = 24) -> Model:
+    """A model from those prepared rows for which labelled holds; blocked is their label."""
+    shares = common_suffixes(rows)
+    known = with_shares(rows.filter(labelled), shares).groupBy(*NAMES).agg(F.sum(blocked.cast("long")).alias("b"), F.count(F.lit(1)).alias("n"))
+    kept = known.orderBy(F.desc("n"), *NAMES).limit(TRAIN_VECTORS).collect()
     base, trees = boosted([(tuple(r[x] for x in NAMES), float(r["b"]), float(r["n"] - r["b"])) for r in kept], rounds)
-    score = 1 / (1 + F.exp(-reduce(lambda a, b: a + b, [_column(t) for t in trees], F.lit(float(base)))))
-    out = with_rate(rows).withColumn("score", score)
+    return Model(shares, base, tuple(trees))
+
+
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    z = reduce(lambda a, b: a + b, [_column(t) for t in model.trees], F.lit(float(model.base)))
+    return with_shares(rows, model.shares).withColumn("score", 1 / (1 + F.exp(-z)))
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, rounds: int = 24) -> DataFrame:
+    """One row per row of pages: page_id, host, path, rule, score, verdict."""
+    rows = prepared(pages, id_col, url_col, rules)
+    out = scored(rows, train(rows, F.col("rule").isNotNull(), F.col("rule_verdict") == "block", rounds))
     return out.select("page_id", "host", "path", "rule", "score", F.coalesce("rule_verdict", F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")).alias("verdict"))
+
+
+def held_out_accuracy(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, rounds: int = 24, folds: int = 4) -> tuple[int, int, int]:
+    """Of rule-labelled urls whose whole hosts (one in folds, by a hash) were left out of training: how many, how many the trees get right, how many the more common label."""
+    rows = prepared(pages, id_col, url_col, rules)
+    ruled, blocked, out = F.col("rule").isNotNull(), F.col("rule_verdict") == "block", F.pmod(F.xxhash64("host"), F.lit(folds)) == 0
+    tested = scored(rows, train(rows, ruled & ~out, blocked, rounds)).filter(ruled & out)
+    right = ((F.col("score") >= THRESHOLD) == blocked).cast("long")
+    n, got, b = tested.agg(F.count(F.lit(1)), F.coalesce(F.sum(right), F.lit(0)), F.coalesce(F.sum(blocked.cast("long")), F.lit(0))).first()
+    return n, got, max(b, n - b)
