@@ -1,18 +1,28 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-The words of a clause are read by five small transducers, composed in one automaton whose state is
-(target seen, negation open, reported speech open): insults and threats emit weight, a target of
-the second or third person in the same clause raises it, a negation within three words before
-halves it, and reported speech (said, called, quote marks ...) lowers it.  Costs add up along
-the path (tropical semiring), and a clause's cost is that of its best path.  What a text scores is
-a logistic function of what its matched clauses weigh, in all and for each hundred words.
+A clause's words are read by a lexicon and five transducers (`transducers.Transducer`), one for
+insults, threats, targets, negations and reported speech:
+
+* the lexicon reads a word and writes its class; an insulting word has an arc that costs its negative
+  weight, and one that lets it pass as any other word;
+* insult: turns an insult into a hit;
+* threat: turns a threat into a hit if the clause has a target, before it or after;
+* target: hits in a clause with a target cost `AIMED` less;
+* negation: hits in the `SCOPE` words after a negation cost `NEGATED` more;
+* reported speech: hits after a reporting word cost `REPORTED` more.
+
+The five are composed once into a grammar, which is composed with each clause; the clause's weight is the
+negative cost of the shortest path in the tropical semiring.  A hit that costs more than it gains is passed over
+by that path, so no weight is negative.  What a text scores is a logistic function of what its matched
+clauses weigh, in all and for each hundred words: isolated words outside of clauses with a hit count nothing.
 
 The insult transducer's lexicon is learned from labelled rows: words and word beginnings (3 to 7
 letters) that are far more common in toxic texts, each seen beside several different neighbours, so
-that a passage that is merely copied doesn't enter.  At most about `SAMPLE` labelled documents
-are read for that, chosen by a hash of their text, and at most `LEXICON` entries are kept
-(documented bounds).  The logistic function is fitted on the same sample.  Threats, targets,
-negations and reporting words are fixed lists; their effects stay as stated.
+that a passage that is merely copied doesn't enter.  They become arcs of the lexicon beside those of the
+fixed words.  At most about `SAMPLE` labelled documents are read for that, chosen by a hash of their doc_id,
+and at most `LEXICON` entries are kept (documented bounds).  The logistic function is fitted on the same
+sample.  Threats, targets, negations and reporting words are fixed lists; their effects stay as stated.
+A clause ends with a sentence or a line, however long that is.
 
 Defined results: null and empty texts have no clause and get the score of a text without matches;
 without labels, or with labels of one kind, the lexicon is the fixed one and the default
@@ -25,12 +35,14 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpointed, kept_rows
+from .transducers import Transducer, compose, numbered, shortest
 
 SAMPLE = 20_000
 LEXICON = 400
@@ -50,15 +62,103 @@ TARGETS = ("you", "your", "yours", "you're", "u", "he", "she", "they", "them", "
 NEGATIONS = ("not", "never", "no", "isn't", "aren't", "wasn't", "don't", "doesn't", "didn't", "without", "nicht", "kein", "pas", "jamais", "nunca")
 REPORTING = ("said", "says", "called", "calls", "quoted", "wrote", "claimed", "alleged", "reported", "quote")
 
+#: What the transducers add to the cost of a hit.
+INSULTING, THREATENING, AIMED, NEGATED, REPORTED = -2.0, -2.0, -0.5, 1.0, 0.8
+#: So many words after a negation are negated.
+SCOPE = 3
+
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _END = re.compile(r"[.!?;\n]")
-#: Furthest a clause reaches from a match, in characters; longer clauses count as cut there.
-REACH = 400
+INSULT, THREAT, TARGET, NEGATION, REPORT, HIT, OTHER = CLASSES = ("insult", "threat", "target", "negation", "report", "hit", "other")
+
+
+def _passing(states, but: dict[int, set[str]] | None = None) -> Transducer:
+    """A transducer that writes what it reads, with but[state] left to be added."""
+    t = Transducer()
+    for s in states:
+        for c in CLASSES:
+            if c not in (but or {}).get(s, ()):
+                t.arc(s, c, c, 0.0, s)
+    return t
+
+
+def insult_transducer() -> Transducer:
+    t = _passing([0], {0: {INSULT}})
+    t.finals = {0: 0.0}
+    t.arc(0, INSULT, HIT, 0.0, 0)
+    return t
+
+
+def threat_transducer(cost: float = THREATENING) -> Transducer:
+    """State 0: no threat counted; 1: counted, a target must follow; 2: there is a target."""
+    t = _passing([0, 1, 2], {0: {THREAT}, 1: {THREAT, TARGET}, 2: {THREAT}})
+    t.finals = {0: 0.0, 2: 0.0}
+    for s in (0, 1, 2):
+        t.arc(s, THREAT, OTHER, 0.0, s)
+        t.arc(s, THREAT, HIT, cost, max(s, 1))
+    t.arc(0, TARGET, TARGET, 0.0, 2)
+    t.arc(1, TARGET, TARGET, 0.0, 2)
+    return t
+
+
+def target_transducer(cost: float = AIMED) -> Transducer:
+    """State 0: hits count as they are; 1: they count more, a target must follow; 2: there is a target."""
+    t = _passing([0, 1, 2], {1: {HIT, TARGET}, 2: {HIT}})
+    t.finals = {0: 0.0, 2: 0.0}
+    t.arc(0, HIT, HIT, cost, 1)
+    t.arc(1, HIT, HIT, cost, 1)
+    t.arc(2, HIT, HIT, cost, 2)
+    t.arc(0, TARGET, TARGET, 0.0, 2)
+    t.arc(1, TARGET, TARGET, 0.0, 2)
+    return t
+
+
+def negation_transducer(cost: float = NEGATED, scope: int = SCOPE) -> Transducer:
+    """The state is how many more words are negated."""
+    t = Transducer(finals=dict.fromkeys(range(scope + 1), 0.0))
+    for s in range(scope + 1):
+        for c in CLASSES:
+            t.arc(s, c, c, cost if c == HIT and s else 0.0, scope if c == NEGATION else max(s - 1, 0))
+    return t
+
+
+def report_transducer(cost: float = REPORTED) -> Transducer:
+    t = Transducer(finals={0: 0.0, 1: 0.0})
+    for s in (0, 1):
+        for c in CLASSES:
+            t.arc(s, c, c, cost if c == HIT and s else 0.0, 1 if c == REPORT else s)
+    return t
+
+
+def composed() -> Transducer:
+    """The five in one: classes of words to classes of words, some of which are hits."""
+    return numbered(reduce(compose, (insult_transducer(), threat_transducer(), target_transducer(), negation_transducer(), report_transducer())))
+
+
+GRAMMAR = composed()
+_FIXED = {w: c for c, those in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING)) for w in those}
+
+
+class OfWords:
+    """The lexicon composed with the grammar, arc by arc as a clause asks for them: reads words, writes classes."""
+
+    start = GRAMMAR.start
+
+    def __init__(self, grammar: Grammar):
+        self.words = grammar
+
+    def leaving(self, state, word: str) -> list[tuple[str, float, int]]:
+        return [(written, cost + more, to) for c, cost in self.words.classes(word) for written, more, to in GRAMMAR.leaving(state, c)]
+
+    def ending(self, state) -> float:
+        return GRAMMAR.ending(state)
 
 
 @dataclass
 class Grammar:
-    words: dict[str, float] = field(default_factory=lambda: {w: 2.0 for w in INSULTS})
+    """words and stems: weights of insulting words, and of word beginnings of a length in STEMS."""
+
+    words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, -INSULTING))
     stems: dict[str, float] = field(default_factory=dict)
     coefficients: list[float] = field(default_factory=lambda: [-4.0, 0.7, 1.6])
 
@@ -67,40 +167,34 @@ class Grammar:
         self.find = re.compile(r"(?<![^\W\d_])(?:" + "|".join(parts) + ")")
 
     def weight(self, word: str) -> float:
-        w = self.words.get(word, 0.0)
-        return max([w, *(x for s, x in self.stems.items() if word.startswith(s))]) if self.stems else w
+        return max(self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS)) if self.stems else self.words.get(word, 0.0)
+
+    def classes(self, word: str) -> list[tuple[str, float]]:
+        """The lexicon's arcs: classes that a word can have, with their costs."""
+        own = [(_FIXED.get(word, OTHER), 0.0)]
+        w = self.weight(word)
+        return [(INSULT, -w), *own] if w else own
 
     def clause(self, words: list[str]) -> float:
-        """The weight of the clause's best path."""
-        target = any(w in TARGETS for w in words)
-        negated, reported, total = 0, False, 0.0
+        """The weight of a clause: of words without a class, no more than SCOPE in a row make a difference."""
+        kept, plain = [], 0
         for w in words:
-            if w in NEGATIONS:
-                negated = 4
-            elif w in REPORTING:
-                reported = True
-            x = self.weight(w)
-            if w in THREATS:
-                x = max(x, 2.0 if target else 0.0)
-            if x:
-                x *= 1.25 if target else 1.0
-                x *= 0.5 if negated else 1.0
-                x *= 0.6 if reported else 1.0
-                total += x
-            negated -= negated > 0
-        return total
+            plain = 0 if w in _FIXED or self.weight(w) else plain + 1
+            if plain <= SCOPE:
+                kept.append(w)
+        return max(0.0, -shortest(OfWords(self), kept)[0])
 
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, weight) of the clauses that match."""
-        low, out, done = text.lower(), [], -1
+        low, out, done = text.lower(), [], 0
         for m in self.find.finditer(low):
             if m.start() < done:
                 continue
-            a = max(0, m.start() - REACH, done)
+            a = done
             for e in _END.finditer(low, a, m.start()):
                 a = e.end()
-            stop = _END.search(low, m.end(), m.end() + REACH)
-            b = stop.start() if stop else min(len(low), m.end() + REACH)
+            stop = _END.search(low, m.end())
+            b = stop.start() if stop else len(low)
             weight = self.clause(_WORD.findall(low[a:b]))
             if weight:
                 out.append((a, b, weight))
@@ -210,12 +304,12 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     entries = [(r["entry"], r["stem"], r["odds"]) for r in top]
     beside = sample.filter("toxic = 1").mapInArrow(_neighbours(entries), "entry string, stem boolean, beside string").distinct().groupBy("entry", "stem").agg(F.count(F.lit(1)).alias("n"))
     various = {(r["entry"], r["stem"]) for r in beside.filter(F.col("n") >= LEAST_CONTEXTS).collect()}  # 4 x LEXICON rows at most
-    words: dict[str, float] = {}
+    words: dict[str, float] = dict.fromkeys(INSULTS, -INSULTING)
     stems: dict[str, float] = {}
     for e, stem, w in entries:  # from the strongest on: what overlaps a stronger entry adds nothing
-        if (e, stem) not in various or len(words) + len(stems) >= LEXICON or any(e.startswith(x) and (stem or e != x) for x in stems):
+        if (e, stem) not in various or len(words) + len(stems) >= LEXICON + len(INSULTS) or any(e.startswith(x) and (stem or e != x) for x in stems):
             continue
-        if stem and any(x.startswith(e) for x in (*stems, *words)):
+        if stem and any(x.startswith(e) for x in (*stems, *words) if x not in INSULTS):
             continue
         (stems if stem else words)[e] = min(w, 6.0)
     grammar = Grammar(words=words, stems=stems)
