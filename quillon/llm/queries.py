@@ -14,7 +14,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     found = near_components(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +73,14 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .merkle import edited, first_difference, likeness, shown, tree
+    from .merkle import edited, edited_range, likeness, shown, tree
 
-    rows = edited(table(spark, sf_dir, "documents"))
-    rows = rows.withColumn("own", tree(F.col("text"))).withColumn("new", tree(F.col("edited")))
+    own, new, after = F.col("own"), F.col("new"), F.col("next_tree")
+    rows = edited(table(spark, sf_dir, "documents")).withColumn("new", tree(F.col("edited")))
+    rows = rows.withColumn("range", edited_range(own, new))
     return rows.select(
-        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next_tree")).alias("near_next"), first_difference(F.col("text"), F.col("edited")).alias("first_edited_paragraph"),
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), shown(own).alias("fingerprint"), shown(new).alias("edited_fingerprint"),
+        likeness(own, new).alias("near_edited"), likeness(own, after).alias("near_next"), F.col("range.first").alias("first_edited_paragraph"), F.col("range.last").alias("last_edited_paragraph"),
     )
 
 
