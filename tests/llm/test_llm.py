@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, html_text, langid, licenses, merkle, near_groups, packing, sentencepiece_fst, simhash, toxicity, url_filter
+from quillon.llm import exact_dedup, html_text, langid, licenses, merkle, near_groups, packing, sentencepiece_fst, simhash, toxicity, transducers, url_filter
 
 public = pytest.importorskip("public_tokenizers")
 BPE, PIECES = public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
@@ -76,14 +76,32 @@ def test_simhash_against_all_pairs(spark, long_list):
     assert {k: v[1] for k, v in got.items()} == groups_of(want, near)
 
 
-@pytest.mark.parametrize("long_list", [64, 2])
-def test_links_in_long_lists(spark, long_list):
+@pytest.mark.parametrize(("long_list", "bits"), [(64, 3), (2, 3), (1, 3), (1, 2), (1, 1)])
+def test_links_in_long_lists(spark, long_list, bits):
     r = random.Random(5)
     base = r.getrandbits(64)
-    prints = {base} | {base ^ sum(1 << x for x in r.sample(range(64), r.randint(1, 5))) for _ in range(120)} | {base ^ r.getrandbits(20) for _ in range(30)}
+    prints = {base} | {base ^ sum(1 << x for x in r.sample(range(64), r.randint(1, 5))) for _ in range(120)} | {base ^ r.getrandbits(20) for _ in range(30)} | {r.getrandbits(64) for _ in range(20)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    got = {(x["a"], x["b"]) for x in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), long_list=long_list).collect()}
-    assert got == {(min(a, b), max(a, b)) for a, b in combinations(signed, 2) if ((a ^ b) % (1 << 64)).bit_count() <= 3}
+    got = {(x["a"], x["b"]) for x in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), bits, long_list).collect()}
+    want = {(min(a, b), max(a, b)) for a, b in combinations(signed, 2) if ((a ^ b) % (1 << 64)).bit_count() <= bits}
+    assert got <= want and groups_of(signed, got) == groups_of(signed, want)
+    assert got == want or long_list < 64
+
+
+def test_positions_of_postings():
+    for size, sets in ((4, simhash.FOURS), (5, simhash.FIVES)):
+        assert all(len(x) == size for x in sets) and all(any(set(x) <= set(five) for x in sets) for five in combinations(range(8), 5))
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 150)]
+    got = {x["node"]: x["root"] for x in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = groups_of({x for e in edges for x in e}, [(min(e), max(e)) for e in edges])
+    low = {}
+    for k, v in want.items():
+        low[v] = min(k, low.get(v, k))
+    assert got == {k: low[v] for k, v in want.items()}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_simhash_blocks(monkeypatch):
@@ -167,6 +185,56 @@ def test_boosting_learns():
     assert base + sum(url_filter.value(t, (0, 1)) for t in trees) > 1 > -1 > base + sum(url_filter.value(t, (1, 1)) for t in trees)
 
 
+def some_urls(n, seed=3):
+    """Urls whose labels follow from hyphens and digits of the host, not from its suffix."""
+    r = random.Random(seed)
+    rules, urls = [], []
+    for k in range(n):
+        bad = k % 3 == 0
+        host = f"{r.choice(['win', 'bet', 'pill'])}-{r.randint(100, 999)}-now{k}" if bad else "".join(r.choice("abcdeimnorst") for _ in range(r.randint(4, 9))) + chr(97 + k % 26)
+        host += r.choice([".com", ".org"])
+        rules += [url_filter.Rule(host, "/r", "block" if bad else "allow")] * (k % 2)
+        urls += [f"http{'s' * (k % 2)}://{host}{'/r' if k % 2 else '/x'}/{r.randint(1, 9999)}{r.choice(['', '/', '.html', '?a=1&b=2', '#t'])}" for _ in range(3)]
+    return tuple(rules), urls
+
+
+def brute_bins(url, model):
+    found = re.search(r"(?s)://([^/?#]*)([^?#]*)", url or "")
+    host, path = (found[1].lower(), found[2]) if found else ("", "")
+    u, cut = url or "", lambda x, cuts: sum(x >= c for c in cuts)
+    counts = [host.count(c) for c in set(host)]
+    entropy = -sum(c / len(host) * math.log2(c / len(host)) for c in counts) if host else 0.0
+    query = re.search(r"(?s)\?([^#]*)", u)
+    suffix = host.rpartition(".")[2]
+    return (
+        cut(len(u), (20, 26, 32, 38, 44, 52, 64, 80, 120)), min(path.count("/"), 8), min(host.count("."), 6), cut(sum(c in "0123456789" for c in u) / max(len(u), 1), (0.01, 0.04, 0.07, 0.1, 0.15, 0.25)),
+        cut(entropy, (2.0, 2.4, 2.7, 3.0, 3.2, 3.4, 3.6, 4.0)), min(len(query[1].split("&")), 6) if query and query[1] else 0, int("#" in u), int(u.startswith("https://")), cut(len(path), (1, 2, 5, 8, 12, 20, 40)),
+        int(bool(re.search(r"\.[A-Za-z0-9]{1,5}$", path))), sum(c in "-0123456789" for c in host), min(len(suffix), 8), dict(model.shares).get(suffix, 0),
+    )
+
+
+def test_url_scores_against_brute_force(spark):
+    rules, urls = some_urls(160)
+    d = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, None, "", "x", "http://A.b/" + "y1" * 50_000, urls[0]])], "page_id long, url string")
+    rows = url_filter.prepared(d, rules=rules)
+    model = url_filter.train(rows, F.col("rule").isNotNull(), F.col("rule_verdict") == "block")
+    got = {r["page_id"]: r["score"] for r in url_filter.scored(rows, model).select("page_id", "score").collect()}
+    want = {r["page_id"]: model.score(brute_bins(r["url"], model)) for r in d.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_urls_of_one_suffix_differ_by_their_features(spark):
+    rules, urls = some_urls(160)
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r["host"], r["verdict"], r["rule"]) for r in url_filter.judge(d, rules=rules).collect()]
+    free = [(h, v) for h, v, rule in got if rule is None]
+    assert sum((v == "block") == ("-" in h) for h, v in free) / len(free) > 0.95
+    for suffix in (".com", ".org"):  # both verdicts under each
+        assert {v for h, v in free if h.endswith(suffix)} == {"block", "allow"}
+    n, right, common = url_filter.held_out_accuracy(d, rules=rules)
+    assert n > 20 and right / n > 0.95 > common / n
+
+
 def test_toxicity(spark, odd, empty):
     r = random.Random(7)
     rows, labels = [], []
@@ -192,6 +260,38 @@ def test_toxicity(spark, odd, empty):
     assert weigh("you are an idiot.") > weigh("an idiot.") > weigh("not an idiot.") > 0 and weigh("he said an idiot.") < weigh("you an idiot.") and weigh("i will kill you") > weigh("kill time") == 0
 
 
+def test_composed_grammar_against_all_paths():
+    five = [toxicity.insult_transducer(), toxicity.threat_transducer(), toxicity.target_transducer(), toxicity.negation_transducer(), toxicity.report_transducer()]
+    r = random.Random(1)
+    for _ in range(300):
+        words = [r.choice(toxicity.CLASSES) for _ in range(r.randint(0, 6))]
+        found = [(0.0, words)]
+        for t in five:  # one transducer after the other, every path
+            found = [(c + more, out) for c, x in found for more, out in transducers.paths(t, x)]
+        cost, out = transducers.shortest(toxicity.GRAMMAR, words)
+        assert abs(cost - min((c for c, _ in found), default=math.inf)) < 1e-9 and (not found or (out in [o for c, o in found if abs(c - cost) < 1e-9]))
+
+
+def test_clauses_against_all_paths():
+    g = toxicity.Grammar(words={"idiot": 2.0, "fool": 0.4}, stems={"blorg": 3.0})
+    r = random.Random(2)
+    for _ in range(200):
+        words = [r.choice(["idiot", "fool", "blorgish", "kill", "you", "not", "said", "tree", "lake"]) for _ in range(r.randint(0, 6))]
+        assert abs(g.clause(words) - max([0.0, *(-c for c, _ in transducers.paths(toxicity.OfWords(g), words))])) < 1e-9
+    long_ = ["tree"] * 9
+    assert g.clause(["not", *long_, "idiot", *long_, "you"]) == g.clause(["idiot", "you"]) == 2.5
+
+
+def test_classes_of_a_clause_work_together():
+    g = toxicity.Grammar()
+    weigh = lambda t: round(sum(w for *_, w in g.clauses(t)), 6)
+    assert weigh("You idiot") == weigh("idiot, you") == 2.5 and weigh("I saw an idiot. You") == 2.0
+    assert weigh("I will kill you") == weigh("you I will kill") == 2.5 and weigh("to kill time") == 0 and weigh("kill.\nyou") == 0
+    assert weigh("you are not an idiot") == 1.5 and weigh("not in any way such a big idiot") == 2.0
+    assert weigh("she said you are not an idiot") == 0.7 and weigh("he said: kill them, idiot") == 3.4
+    assert weigh("x" * 50 + " stupid " + "tree " * 5_000 + "you") == 2.5  # a clause ends with a sentence, however long
+
+
 def page(body):
     return f"<html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
 
@@ -224,15 +324,38 @@ def test_html_at_range_ends(spark, parts):
     assert got == {k: f"Own {k}\n\nMore {k}" for k in range(40)} | {40: "alone", 41: "copy", 42: "copy"}
 
 
-def test_shared_lines_are_a_longest_common_subsequence():
+@pytest.mark.parametrize("pairs", [0, 1 << 18])
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch, pairs):
+    monkeypatch.setattr(html_text, "PAIRS", pairs)
     r = random.Random(3)
-    for _ in range(200):
-        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 9))] for _ in range(2))
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 12))] for _ in range(2))
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert len(html_text.shared(a, b)) == best[-1][-1]
+        found = sorted(html_text.shared(a, b))
+        rest = iter(b)
+        assert len(found) == best[-1][-1] and all(any(a[k] == y for y in rest) for k in found)
+
+
+def test_rules_of_blocks():
+    kinds = lambda h: html_text.blocks(h)
+    assert kinds("<p title=it's>x</p>") == kinds('<p title="it\'s">x</p>') == kinds("<p title='a>b'>x</p>") == [("x", html_text.PLAIN)]
+    inside = "<article><div class=post-header>h</div><p class=reader-x>r</p><div class=share-bar>s</div><div class=comments>c</div></article>"
+    assert kinds(inside) == [("h", 2), ("r", 2), ("s", 1), ("c", 1)]
+    assert kinds("<div class=site-header>h</div>a < b, <i>c</i> > d <a <a") == [("h", 1), ("a < b, c > d <a <a", 0)]
+    one = [("Menu", 1), ("Shared", 2), ("Own", 2), ("Note", 0), ("Foot", 1)]
+    assert html_text.decided(one, [("Menu", 1), ("Shared", 2), ("Other", 2)]) == ([2, 0, 0, 4, 3], 1)
+    assert html_text.decided([("a", 0), ("b", 0), ("m", 1)], [("m", 1), ("a", 0)])[0] in ([2, 1, 3], [1, 1, 2])
+
+
+def test_nearest_page_and_ties(spark):
+    body = lambda *x: page("".join(f"<p>{t}</p>" for t in x))
+    rows = [(1, "http://h.x/a/1", body("A", "one")), (2, "http://h.x/a/2", body("A", "B", "two")), (3, "http://h.x/a/3", body("B", "three")), (4, "http://h.x/a/3", body("B", "three")), (5, "http://h.x/zz", body("long " * 30_000, "B"))]
+    got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2]["text"] == "B\n\ntwo" and got[2]["n_shared"] == 1  # both neighbours are as near: the one before counts
+    assert got[3]["text"] == got[4]["text"] == "B\n\nthree" and got[5]["n_chars"] == 149_999
 
 
 @pytest.mark.parametrize("weak", [False, True])
@@ -280,8 +403,70 @@ def test_merkle(spark, odd, empty):
     assert got[100]["fp"] == got[101]["fp"] and got[101]["b"] == 1.0 and len({r["fp"] for r in got.values()}) == len({t for _, t in rows})
     assert sum(r["a"] > r["b"] for k, r in got.items() if k < 100) >= 38
     assert merkle.edited(odd).count() == len(ODD) and merkle.edited(empty).count() == 0 and merkle.fingerprints(odd).count() == len(ODD)
-    two = spark.createDataFrame([("a\nb\nc", "a\nx\nc")], "a string, b string").select(merkle.first_difference(F.col("a"), F.col("b")).alias("k")).first()
-    assert two["k"] == 1
+
+
+def brute_tree(text):
+    """Sections as lists of paragraphs, a paragraph as its digest and leaves."""
+    digest = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
+    out = [[]]
+    for p in (lines := text.split("\n")):
+        cuts = merkle.CUTS if len(p) < merkle.SHORT else merkle.RARER_CUTS
+        leaves = [f"{digest(r):016x}"[-merkle.LEAF :] for r in re.split(cuts, p, flags=re.ASCII) if r]
+        out[-1].append((f"{digest(p):016x}", *leaves))
+        if digest(p) % 4 == 0:
+            out.append([])
+    return out if out[-1] or len(out) == 1 else out[:-1], len(lines)
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ({tuple(s) for s in brute_tree(t)[0]} for t in (a, b))
+    leaves = lambda those: sum(len(p) - 1 for p in those)
+    done = leaves({p for s in x & y for p in s})
+    p, q = ({p for s in side for p in s} for side in (x - y, y - x))
+    done += leaves(p & q)
+    own, other = ({leaf for para in side for leaf in para[1:]} for side in (p - q, q - p))
+    total = 2 * done + len(own) + len(other)
+    return min(2 * (done + len(own & other)) / total, merkle.ALMOST) if total else 0.0
+
+
+def test_trees_against_brute_force(spark):
+    r = random.Random(21)
+    lines = [" ".join(r.choice(WORDS) for _ in range(r.choice([0, 1, 5, 60]))) for _ in range(60)]
+    pairs = [("", ""), ("", "a"), ("a b", "a  b"), ("x\nx", "x"), ("a\n", "a")]
+    for _ in range(60):
+        a = [r.choice(lines) for _ in range(r.randint(1, 40))]
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(b) or 1)
+            b[k : k + r.randint(0, 2)] = r.choice([[], [r.choice(lines)], ["new line here", "and more"]])
+        pairs.append(("\n".join(a), "\n".join(b)))
+    t = lambda c: merkle.tree(F.col(c))
+    d = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").select("k", t("a").alias("x"), t("b").alias("y"))
+    got = d.select("k", merkle.shown(F.col("x")).alias("fp"), merkle.shown(F.col("y")).alias("fq"), merkle.likeness(F.col("x"), F.col("y")).alias("near"), merkle.likeness(F.col("y"), F.col("x")).alias("back"), merkle.edited_range(F.col("x"), F.col("y")).alias("range"))
+    for row in got.collect():
+        a, b = pairs[row["k"]]
+        sections, _ = brute_tree(a)
+        assert [x.split("=")[1] for x in row["fp"].split(":")[1].split(";")] == [",".join("".join(p) for p in s) for s in sections]
+        assert abs(row["near"] - brute_likeness(a, b)) < 1e-9 and row["near"] == row["back"]
+        assert (row["near"] == 1.0) == (a == b) == (row["fp"] == row["fq"]) == (row["range"] is None)
+        if row["range"] is not None:
+            x, y, (lo, hi) = a.split("\n"), b.split("\n"), row["range"]
+            assert x[:lo] == y[:lo] and y[hi + 1 :] == x[len(x) - (len(y) - hi - 1) :]
+    one = spark.createDataFrame([("a\nb\nc", "a\nx\nc")], "a string, b string").select(merkle.edited_range(t("a"), t("b")).alias("r")).first()
+    assert tuple(one["r"]) == (1, 1)
+
+
+def test_next_documents_of_rows_without_or_with_equal_ids(spark):
+    rows = [(None, "n1"), (None, "n2"), (None, None), (5, "abc"), (5, "abd"), (5, "abc"), (1, "xyz" * 5)]
+    got = merkle.edited(table(spark, rows)).select("doc_id", "text", "edited").collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in got) == sorted((k is None, t or "") for k, t in rows)
+    ranked = sorted({(-(1 << 63) if k is None else k, (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (1 << 64) * (h >> 63), t or "") for k, t in rows}, reverse=True)
+    after = {x[::2]: ranked[(i + 1) % len(ranked)][2] for i, x in enumerate(ranked)}
+    for r in got:
+        n, third = len(r["text"]), len(r["text"]) // 3
+        assert r["edited"] == r["text"][: n - third] + after[-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["text"]][:third]
 
 
 def test_language(spark, odd, empty):
