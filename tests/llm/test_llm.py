@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, html_text, langid, licenses, merkle, near_groups, packing, sentencepiece_fst, simhash, toxicity, transducers, url_filter
+from quillon.llm import common, exact_dedup, html_text, langid, licenses, merkle, near_groups, packing, sentencepiece_fst, simhash, toxicity, transducers, url_filter
 
 public = pytest.importorskip("public_tokenizers")
 BPE, PIECES = public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
@@ -518,10 +518,46 @@ def test_near_groups_of_many_variants_without_their_base(spark):
             w[at] = f"changed{k}x{n}"
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, f"more{k}"]))]
     want = brute_near(rows)
-    got = {x["doc_id"]: x["group_id"] for x in near_groups.near_groups(table(spark, rows), long_list=20).collect()}
+    got = {x["doc_id"]: x["group_id"] for x in near_groups.near_groups(table(spark, rows), long_list=20, cell=50).collect()}
     assert 50 < len(set(want.values())) and got == want
 
 
+def test_signatures_of_one_node_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 3)], "doc_id long, node long, twin long")
+    got = {r["doc_id"]: r["node"] for r in near_groups.told_apart(rows).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 8 and 7 not in (got[1], got[2])
+    assert near_groups.told_apart(rows.filter("doc_id <> 2")).filter("node = 7").count() == 2
+
+
+def test_short_and_long_lists_give_the_same_groups(spark):
+    """Thirteen texts in a chain of neighbours that share some lists only: whatever counts as long, no link goes."""
+    r = random.Random(13)
+    base = [r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(100)]
+    rows = []
+    for k in range(13):
+        rows.append((k, " ".join(base)))
+        base = [*base[4:], *(f"more{k}x{n}" for n in range(4))]
+    rows += [(100 + k, t) for k, t in enumerate(texts(30, 5))]
+    want = brute_near(rows)
+    for long_list in (1, 2, 5, 1000):
+        assert {x["doc_id"]: x["group_id"] for x in near_groups.near_groups(table(spark, rows), long_list=long_list, cell=4).collect()} == want
+
+
+def test_rows_of_one_id_and_two_texts(spark):
+    a, b = texts(2, 31)
+    rows = [(1, a + " one two three four five six seven eight nine ten"), (1, b * 3), (2, a + " one two three four five six seven eight nine ten"), (3, b * 3 + " x")]
+    got = near_groups.near_groups(table(spark, rows)).collect()
+    assert len(got) == 4 and {x["group_id"] for x in got} == {1}
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPREAD", 10)
+    rows = spark.range(500).selectExpr("id", "CASE WHEN id < 400 THEN 1 ELSE id END AS k")
+    wide = rows.select("k").distinct().withColumn("t", F.concat(F.lit("t"), "k"))
+    got = common.spread_join(rows, wide, "k")
+    assert got.count() == 500 and got.filter("t = 't1'").count() == 400 and got.columns == ["k", "id", "t"]
+
+
 def test_near_groups_of_odd_tables(spark, odd, empty):
     assert near_groups.near_groups(odd).count() == len(ODD) and near_groups.keep_one(empty).count() == 0 and near_groups.keep_one(odd).columns == odd.columns
 
