@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of an Arrow batch handed to Python.  Documents are long, so batches are short.
+#: Rows of a batch that are turned into Python objects at a time.
 ARROW_ROWS = 1000
 
 
@@ -15,21 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def small(batches):
+    """Batches of at most ARROW_ROWS rows; Spark bounds their bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, ARROW_ROWS):
+            yield b.slice(at, ARROW_ROWS)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
-    One of our own is set only where the session names none, as in tests on one machine.
+    Where it names none, one of our own is made on a single machine only; on a cluster it is an error.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -39,13 +43,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder, wherever Spark keeps it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept_rows(docs: DataFrame, text_col: str, make_test) -> DataFrame:
     """The rows whose text (null: None) passes; make_test() gives the test on the executor.  No column is touched."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         test = make_test()
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array([test(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -39,6 +39,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small
 from .url_filter import split_url
 
 # HTML elements by role.
@@ -319,7 +320,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             counts = [rules.count(k) for k in range(5)] + [protected]
             return {"page_id": p[0], "url": p[1], "text": text, "n_chars": len(text)} | dict(zip(COUNTS, counts, strict=True))
 
-        for b in batches:
+        for b in small(batches):
             out = []
             for page_id, url, source, host, path, own in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 after = (page_id, url, host, path, blocks(source), own)

@@ -7,12 +7,13 @@ small lead over the second one marks a text as ambiguous.
 
 Up to `EXHAUSTIVE` languages get the exhaustive code (all bipartitions); more get the rows of a
 Hadamard matrix, so any two codewords differ in half of the bits.  A classifier's weights are
-smoothed log odds of hashed 1- to 4-byte n-grams of the lower-cased letters; its margin is their
+smoothed log odds of hashed 2- to 4-byte n-grams of the lower-cased letters; its margin is their
 mean over the whole text, scaled by a fit on the sample.
 
-Training takes at most `PER_LANGUAGE` documents of each language, of at most `TRAIN_CHARS`
-characters (documented bounds), chosen by a hash of their text.  Everything learned is a table of
-fixed size.  Prediction reads whole texts.
+Training takes about `PER_LANGUAGE` distinct texts of each of the `LANGUAGES` most frequent languages (documented
+bounds), chosen by a hash of the text, so that a text counts once however often it was copied; of a
+longer text it takes a window of `TRAIN_CHARS` characters, placed by the hash.  A language with any text has one in
+the sample.  Everything learned is a table of fixed size.  Prediction reads whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; where nothing can
 be learned, all are `und`; one learned language is predicted for all other texts; ties go to the
@@ -28,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import kept_rows
+from .common import kept_rows, small
 
 PER_LANGUAGE = 400
 TRAIN_CHARS = 20_000
+LANGUAGES = 256
 BUCKETS = 1 << 16
 EXHAUSTIVE = 5
 AMBIGUOUS = 0.2
@@ -147,15 +149,18 @@ def crc_of(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, lang_col: str = "lang", text_col: str = "text") -> list[tuple[str, str]]:
-    """At most about per_language (language, text) of each language, by a hash of the text."""
+    """About per_language (language, window of a distinct text) of each language, by a hash of the text."""
     rows = docs.filter(usable).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & F.col("text").rlike(r"\p{L}"))
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(min(1.0, per_language / n)) * (1 << 30))]) if sizes else None
-    if share is None:
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.02).alias("texts"), F.min("h").alias("low"))
+    sizes = known.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
         return []
-    return [(r["lang"], r["text"]) for r in rows.filter(F.col("h") < F.element_at(share, F.col("lang"))).select("lang", "text").collect()]
+    # A hash below the share is in the sample; the smallest of a language always is.
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(float(min(1.0, per_language / max(r["texts"], 1))) * (1 << 30), r["low"] + 0.5))])
+    start = F.when(F.length("text") > TRAIN_CHARS, F.pmod(F.col("h"), F.length("text") - TRAIN_CHARS + 1)).otherwise(0).cast("int") + 1
+    chosen = rows.filter(F.col("h") < F.element_at(share, F.col("lang"))).select("lang", "h", F.substring(F.col("text"), start, F.lit(TRAIN_CHARS)).alias("text"))
+    return [(r["lang"], r["text"]) for r in chosen.groupBy("lang", "h").agg(F.max("text").alias("text")).select("lang", "text").collect()]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +170,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in small(batches):
             found = [m.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], kind.field(k + 1).type) for k in range(3))], schema=kind)
 

@@ -5,10 +5,12 @@ single spaces.  Base phrases are counted at every place where their words stand
 A notice may be misspelt: it is found with up to `edits` character edits.  Cut into edits + 1
 seeds, at least one seed of such a copy is intact (pigeonhole), so an automaton over all seeds
 locates the candidates in one pass, and the regex library verifies the bounded edits in a window
-around each and gives the span.  Words that tell notices apart must be intact.
+around each and gives the span, which begins and ends with whole words.  Words that tell notices apart must
+be intact.
 
 Defined results: null and empty texts have no words, null first_word and last_word, empty labels
-and score 0; repeated rows are scanned each; score is 1 for an exact place and falls by
+and score 0; repeated rows and ties are scanned each; very long texts are read whole; other columns aren't
+touched; score is 1 for an exact place and falls by
 edits / (allowed edits + 1).
 """
 
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import small, text_of
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -79,7 +81,7 @@ class Scanner:
         import regex
 
         self.notices, self.base = notices, base
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(x.text, special_only=True)}){{e<={x.edits}}}") for x in notices]
+        self.patterns = [regex.compile(f"(?b)(?<= )(?:{regex.escape(x.text, special_only=True)}){{e<={x.edits}}}(?= )") for x in notices]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, x in enumerate(notices):
             for at, seed in seeds(x):
@@ -113,7 +115,7 @@ class Scanner:
                 if lo < done.get(k, -1) or (k, lo) in tried:
                     continue
                 tried.add((k, lo))
-                m = self.patterns[k].search(norm, max(0, lo - x.edits), lo + len(x.text) + x.edits)
+                m = self.patterns[k].search(norm, max(0, lo - x.edits), lo + len(x.text) + x.edits + 1)
                 if m and all(w in m.group().split() for w in x.intact):
                     out.append((x.label, m.start(), m.end(), sum(m.fuzzy_counts), x.edits))
                     done[k] = m.end()
@@ -150,7 +152,7 @@ def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, base: d
         if key not in _state:
             _state[key] = Scanner(notices, base)
         scan = _state[key].scan
-        for batch in batches:
+        for batch in small(batches):
             rows = [{"doc_id": d} | scan(t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 

@@ -10,7 +10,12 @@ goes to the one with the least weighted norm of what then remains.  The plan is
 intervals of each size; pieces find theirs by their rank, which is counted per size and shard.
 
 Capacities: tokens `limit`; documents `max_docs`; attention cost, the sum of squared lengths,
-`max_cost`.  By default the last two bind no sooner than the first.
+`max_cost`.  By default the last two bind no sooner than the first, as the fewest sequences are wanted: a sequence
+with fewer documents or less attention than its tokens allow would leave tokens empty.  All three count in
+the norm, so among bins of equal tokens the one whose other capacities are used most is filled first.
+
+Ids are those of the tokenizers library; where a vocabulary's ids follow its merges, a faster encoder built
+from the same file makes them, which tests compare with the library.
 
 Defined results: null text counts as empty, an empty document is the end id alone; repeated rows
 are packed each; an empty table gives no rows; a null doc_id stays null.
@@ -28,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpointed, text_of
+from .common import checkpointed, small, text_of
 
 LIMIT = 1024
 #: Entries that a worker's cache of parts and their ids can hold; parts seen later are encoded again.
@@ -108,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limit: i
 
     def run(batches):
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in small(batches):
             out: dict[str, list] = {k: [] for k in kind.names}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = enc.ids(text) + end

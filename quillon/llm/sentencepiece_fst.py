@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import small, text_of
 
 CACHE = 500_000
 SPACE = "▁"
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         t = transducer(model_path)
-        for b in batches:
+        for b in small(batches):
             found = [np.frombuffer(t.encode(x), "<i4") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind.field(1).type)], schema=kind)
 
@@ -217,7 +217,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
     def run(batches):
         t = transducer(model_path)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], schema=kind)
 
     return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
@@ -229,7 +229,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         t = transducer(model_path)
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = t.encode(text)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, text_of, to_members
+from .common import checkpointed, small, text_of, to_members
 
 BITS = 3
 MINIMUM = 8 - BITS
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     kind = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, size) for t in b.column(1).to_pylist()], pa.int64())], schema=kind)
 
     return text_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
@@ -158,8 +158,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        last, now = now, checkpointed(small.filter("u <> v").distinct())
+        nearer = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        last, now = now, checkpointed(nearer.filter("u <> v").distinct())
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
         if state == before and now.join(last, ["u", "v"], "left_semi").count() == state[0]:
             roots = now.select(F.col("v").alias("node")).distinct()

@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, kept_rows
+from .common import checkpointed, kept_rows, small
 from .transducers import Transducer, compose, numbered, shortest
 
 SAMPLE = 20_000
@@ -219,7 +219,7 @@ def held_out(doc_id: Column) -> Column:
 def _count(batches):
     """Of each word and word beginning: how often it stands in toxic texts and in all."""
     kind = pa.schema([("entry", pa.string()), ("stem", pa.bool_()), ("toxic", pa.int64()), ("all", pa.int64())])
-    for b in batches:
+    for b in small(batches):
         words: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words[toxic].update({w: min(n, REPEATS) for w, n in Counter(_WORD.findall(text.lower())).items()})
@@ -241,7 +241,7 @@ def _neighbours(entries: list[tuple[str, bool, float]]):
 
     def run(batches):
         kind = pa.schema([("entry", pa.string()), ("stem", pa.bool_()), ("beside", pa.string())])
-        for b in batches:
+        for b in small(batches):
             out = set()
             for text in b.column(0).to_pylist():
                 found = _WORD.findall(text.lower())
@@ -259,7 +259,7 @@ def _neighbours(entries: list[tuple[str, bool, float]]):
 def _features(grammar: Grammar):
     def run(batches):
         kind = pa.schema([("a", pa.float64()), ("b", pa.float64()), ("toxic", pa.int32())])
-        for b in batches:
+        for b in small(batches):
             found = [grammar.features(t, grammar.clauses(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), b.column(1)], schema=kind)
 
@@ -327,7 +327,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         g = shared.value
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = g.clauses(text)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import common, exact_dedup, html_text, langid, licenses, merkle, near_groups, packing, sentencepiece_fst, simhash, toxicity, transducers, url_filter
+from quillon.llm import common, exact_dedup, html_text, langid, licenses, merkle, near_groups, packing, queries, sentencepiece_fst, simhash, toxicity, transducers, url_filter
 
 public = pytest.importorskip("public_tokenizers")
 BPE, PIECES = public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
@@ -155,6 +155,30 @@ def test_vector_capacities(max_docs, max_cost):
         assert [o for o, _ in sorted(v)] == [sum(s for _, s in sorted(v)[:k]) for k in range(len(v))]
 
 
+def test_packing_against_best_fit_of_single_pieces():
+    """Without further capacities no more bins than best-fit of one piece at a time, from large to small."""
+    r = random.Random(14)
+    for most in (1024, 700, 90):
+        sizes = sorted((r.randint(1, most) for _ in range(700)), reverse=True)
+        left: list[int] = []
+        for x in sizes:
+            fits = [k for k, y in enumerate(left) if y >= x]
+            if fits:
+                k = min(fits, key=left.__getitem__)
+                left[k] -= x
+            else:
+                left.append(1024 - x)
+        _, bins = packing.best_fit({x: sizes.count(x) for x in set(sizes)})
+        assert -(-sum(sizes) // 1024) <= bins <= len(left) + 1
+
+
+def test_vector_packing_prefers_what_is_used_most():
+    """Of two bins with as many tokens left, the one with less attention cost left is filled."""
+    plan, _ = packing.best_fit({700: 1, 350: 2, 300: 1}, 1024, max_docs=100, max_cost=700 * 700 + 300 * 300)
+    bin_of = {size: first for size, _, _, first, _, _ in plan}
+    assert bin_of[300] == bin_of[700] != bin_of[350]
+
+
 def test_sentencepiece_equals_the_library(spark, odd, empty):
     import numpy as np
     import sentencepiece
@@ -484,6 +508,81 @@ def test_language(spark, odd, empty):
     assert langid.train(d.limit(0)).predict("abc")[0] == "und" and langid.keep_identified(d, m).columns == d.columns
 
 
+def test_language_against_plain_decoding(spark):
+    """Margins, losses and the choice of a codeword, n-gram by n-gram in plain Python."""
+    r = random.Random(9)
+    kinds = {"aa": "lo mi ra te su", "bb": "grk shtz pfl nnd", "cc": "oui eau aux ique"}
+    rows = [(lang, " ".join("".join(r.choices(kinds[lang].split(), k=3)) for _ in range(20))) for lang in kinds for _ in range(30)]
+    m = langid.fit(rows)
+    for text in [t for _, t in rows[::7]] + ["loUI grk, Mira!", "été 12 naïve", "x"]:
+        data = b" " + b" ".join(re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode()).split()) + b" "
+        sums, n = [0.0] * m.code.shape[1], 0
+        for size in (2, 3, 4):
+            for at in range(len(data) - size + 1):
+                code = int.from_bytes(data[at : at + size], "little")
+                h = ((code + (0x9E3779B9 * (size - 1) & 0xFFFFFFFF)) * 2654435761 & 0xFFFFFFFF) >> 16
+                sums = [s + float(w) for s, w in zip(sums, m.weights[h], strict=True)]
+                n += 1
+        margins = [s / max(n, 1) - b for s, b in zip(sums, m.bias, strict=True)]
+        loss = [sum(t * math.log1p(math.exp(-c * max(-30, min(30, x)))) for t, c, x in zip(m.trust, word, margins, strict=True)) / sum(m.trust) for word in m.code]
+        lang, score, _ = m.predict(text)
+        assert lang == m.langs[loss.index(min(loss))] and abs(score - 1 / sum(math.exp(-4 * (x - min(loss))) for x in loss)) < 1e-3
+
+
+def test_language_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 50)
+    rows = [(k, "aa", "copied text") for k in range(200)] + [(300 + k, "bb", f"other text {k}") for k in range(200)] + [(600, "cc", "abc " * 400), (601, "dd", None), (602, "ee", "12 34"), (603, None, "abc")]
+    got = langid.training_rows(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True), 40)
+    langs = [lang for lang, _ in got]
+    assert langs.count("aa") == 1 and 15 < langs.count("bb") < 80 and langs.count("cc") == 1 and len(dict(got)["cc"]) == 50 and set(langs) == {"aa", "bb", "cc"}
+
+
+def test_queries_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, "/root/testdata/sf0.001"), con.sql(sql)
+        of = lambda columns, rows: sorted(str([x for _, x in sorted(zip(columns, r, strict=True))]) for r in rows)
+        assert sorted(got.columns) == sorted(want.columns) and of(got.columns, got.collect()) == of(want.columns, want.fetchall()), name
+
+
+#: Columns that the contract names, with their types.
+CONTRACT = {
+    "op1_simhash": "doc_id bigint, fingerprint string, component_id bigint", "op2_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op3_sentencepiece": "doc_id bigint", "op4_url_filter": "page_id bigint, host string, path string, rule string, verdict string", "op5_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op6_html_text": "page_id bigint, url string, text string, n_chars bigint", "op7_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op8_licenses": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op9_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", "op10_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+}
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, odd, tmp_path_factory):
+    """Tables of null, empty, very long, tied and repeated values, with columns whose names clash; and the same without rows."""
+    top = tmp_path_factory.mktemp("odd")
+    pages = [(1, None, None), (2, "", ""), (3, "http://a.example.net/en/x", "<p>" + "x" * 300_000), (3, "http://a.example.net/en/x", "<p>" + "x" * 300_000), (None, "HTTP://B.Example.COM/de/?a=1", "<p>t</p>"), (5, "://", "<article>")]
+    for name, rows in (("odd", -1), ("empty", 0)):
+        keep = lambda d: d if rows else d.limit(0)  # noqa: B023, E731
+        docs = odd.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), "fp", "kept", "node", "score")
+        keep(docs).write.parquet(f"{top}/{name}/documents.parquet")
+        keep(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit("clash"))).write.parquet(f"{top}/{name}/pages.parquet")
+        keep(spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))).write.parquet(f"{top}/{name}/labels.parquet")
+    return str(top)
+
+
+@pytest.mark.parametrize("name", list(CONTRACT))
+def test_registered_queries_on_odd_and_empty_tables(spark, odd_folder, name):
+    found = queries.queries()[name](spark, f"{odd_folder}/odd")
+    kinds = dict(found.dtypes)
+    assert all(kinds[c.split()[0]] == c.split()[1] for c in CONTRACT[name].split(", "))
+    rows = found.collect()
+    assert len(rows) == (6 if "page_id" in kinds else len(ODD)) or name == "op2_packing" and len({r["doc_id"] for r in rows}) == len({k for k, _ in ODD})
+    assert queries.queries()[name](spark, f"{odd_folder}/empty").count() == 0
+
+
 def brute_near(rows, size=5, least=0.8):
     sets = {}
     for k, t in rows:
@@ -562,6 +661,20 @@ def test_near_groups_of_odd_tables(spark, odd, empty):
     assert near_groups.near_groups(odd).count() == len(ODD) and near_groups.keep_one(empty).count() == 0 and near_groups.keep_one(odd).columns == odd.columns
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd_folder):
+    import corpus_pipeline
+
+    for name in ("odd", "empty"):
+        folder = f"{odd_folder}/{name}"
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:4]:  # each alone, on all rows
+            got = stage(spark, docs, folder)
+            assert got.columns == docs.columns and got.count() <= docs.count()
+        kept = [r["doc_id"] for r in corpus_pipeline.exact(spark, docs, folder).collect()]
+        assert name == "empty" and not kept or sorted(map(str, kept)) == sorted(map(str, [1, 3, 4, 7, 8, 9, None]))
+        assert corpus_pipeline.run(spark, folder).count() >= (0 if name == "empty" else 3)
+
+
 def test_pipeline(spark, monkeypatch):
     import corpus_pipeline
 
