@@ -66,19 +66,6 @@ def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-#: Rows of one key that meet one copy of what is joined to them.
-SPREAD = 1000
-
-
-def spread_join(rows: DataFrame, wide: DataFrame, key: str) -> DataFrame:
-    """rows joined with the one row of wide that has their key; keys of many rows get a copy of it for every SPREAD of them."""
-    copies = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("__copies"))
-    many = copies.filter("__copies > 1")
-    dealt = rows.join(many, key, "left").withColumn("__copy", F.when(F.col("__copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("__copies"))).cast("long")).drop("__copies")
-    each = wide.join(many, key, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__copies"), F.lit(1).cast("long")) - 1))).drop("__copies")
-    return dealt.join(each, [key, "__copy"]).drop("__copy")
-
-
 #: A class that holds at least one row in so many is hot; there can't be more hot classes than this.
 HOT_SHARE = 1000
 
@@ -94,3 +81,20 @@ def to_members(rows: DataFrame, classes: DataFrame, key: str, size: str) -> Data
     hot, rest = classes.filter(F.col(size) >= least), classes.filter(F.col(size) < least)
     cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return rows.join(F.broadcast(hot), key).unionByName(cool)
+
+
+#: Rows of one key up to which they meet one copy of what is joined to them.
+SPREAD = 1000
+
+
+def spread_join(rows: DataFrame, wide: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
+    """rows joined with the one row of wide that has their key; a hot key gets a copy of it for every so many of its rows.
+
+    counted: a (checkpointed) table of the same keys, as it is read more than once; rows by default.  Hot are keys with over SPREAD rows and a share of 1 / HOT_SHARE, so HOT_SHARE at most; they are broadcast.
+    """
+    counted = rows if counted is None else counted
+    least = max(SPREAD, -(-counted.count() // HOT_SHARE))
+    many = F.broadcast(counted.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / least).alias("__copies")).filter("__copies > 1"))
+    dealt = rows.join(many, key, "left").withColumn("__copy", F.pmod(F.xxhash64(*counted.columns), F.coalesce("__copies", F.lit(1).cast("long")))).drop("__copies")
+    each = wide.join(many, key, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__copies", F.lit(1).cast("long")) - 1))).drop("__copies")
+    return dealt.join(each, [key, "__copy"]).drop("__copy")
