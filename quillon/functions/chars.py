@@ -28,7 +28,8 @@ def _where(text: Column, test: str, change) -> Column:
 
 def fix_mojibake(text: Column) -> Column:
     """Broken encodings repaired, the longest first, so that none hides another."""
-    broken = "|".join(sorted({re.escape(k[:2]) for k in fixed.MOJIBAKE}))
+    one_of = lambda at: "[" + "".join(sorted({re.escape(k[at]) for k in fixed.MOJIBAKE})) + "]"
+    broken = one_of(0) + one_of(1)  # two classes, as an alternative for each prefix would be tried at every character
     return _where(text, broken, lambda t: _replaced(t, sorted(fixed.MOJIBAKE.items(), key=lambda p: (-len(p[0]), p[0]))))
 
 
@@ -87,7 +88,7 @@ def clean_characters(text: Column, removed: Sequence[str] = fixed.REMOVED_CHARAC
 
     def plain(t):
         t = fix_ocr_digits(remove_invisible(expand_ligatures(fix_mojibake(t))))
-        t = join_lines(remove_decorative_dashes(normalize_dashes(split_lines(t))))
+        t = _where(t, r"[-–—―‒‑\r\x0B\f\u0085\u2028\u2029]|  ", lambda x: join_lines(remove_decorative_dashes(normalize_dashes(split_lines(x)))))
         t = remove_emphasis(normalize_quotes(t))
         t = _where(t, r"!\[", lambda x: F.regexp_replace(x, r"!\[.*?\]\(.*?\)", ""))
         t = F.translate(t, "[]", "()")

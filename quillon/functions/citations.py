@@ -24,6 +24,10 @@ def remove_patterns(text: Column, patterns: Sequence[str]) -> Column:
     return let(lambda r: F.struct(F.when(r["n"] > 0, F.regexp_replace(r["text"], "  +", " ")).otherwise(r["text"]).alias("text"), r["n"].alias("n")), done)
 
 
+def _where(text: Column, test: str, change) -> Column:
+    return let(lambda t: F.when(t.rlike(test), change(t)).otherwise(t), text)
+
+
 def _without(text: Column, patterns: Sequence[str]) -> Column:
     removed = lambda t: reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, t)
     return let(lambda t, out: F.when(out != t, F.regexp_replace(out, "  +", " ")).otherwise(t), text, removed(text))
@@ -38,8 +42,8 @@ def is_bibliography(line: Column) -> Column:
 
 
 def clean_orphans(text: Column) -> Column:
-    """What citations leave behind, in this order."""
-    return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), (*fixed.ORPHANS, ("  +", " ")), text)
+    """What citations leave behind, in this order; a text without the characters that the patterns need is left at once."""
+    return _where(text, r"[(,]|;\s*\)|  ", lambda t: reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), (*fixed.ORPHANS, ("  +", " ")), t))
 
 
 def _one_line(line: Column, patterns: Sequence[str]) -> Column:
@@ -56,14 +60,16 @@ def remove_citations(text: Column, patterns: Sequence[str] = ()) -> Column:
     before the common ones, which serve where those find nothing.
     """
     might = r"[(\[]|[²³¹⁰-⁹]|(?i:ibid|op\.?\s*cit|loc\.?\s*cit)"
-    lines = F.transform(split_lines(text), lambda x: F.when(is_bibliography(x) | ~x.rlike(might) if not patterns else is_bibliography(x), x).otherwise(_one_line(x, patterns)))
+    lines = F.transform(split_lines(text), lambda x: F.when(~x.rlike(might) | is_bibliography(x) if not patterns else is_bibliography(x), x).otherwise(_one_line(x, patterns)))
     out = F.regexp_replace(F.regexp_replace(join_lines(lines), r"\(\s*\)", ""), r"\[\s*\]", "")
     return let(lambda t, done: F.struct(done.alias("text"), count_changes(t, done).alias("n")), text, clean_orphans(out))
 
 
 def remove_footnote_markers(text: Column, pattern: str | None = None) -> Column:
     """A struct of the text without markers and their number."""
-    return remove_patterns(text, ([pattern] if pattern else []) + list(fixed.FOOTNOTE_MARKERS))
+    if pattern:
+        return remove_patterns(text, [pattern, *fixed.FOOTNOTE_MARKERS])
+    return let(lambda t: F.when(t.rlike(r"[¹²³⁰-⁹\[^*†‡§¶‖]"), remove_patterns(t, fixed.FOOTNOTE_MARKERS)).otherwise(F.struct(t.alias("text"), F.lit(0).alias("n"))), text)
 
 
 def count_citations(text: Column) -> Column:

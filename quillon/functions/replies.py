@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .lines import let
+
 REGION = "struct<type:string,lineRange:struct<start:int,end:int>,startLine:int,endLine:int,start:int,end:int,confidence:string,evidence:array<string>>"
 PATTERN = "struct<detected:boolean,style:string,pattern:string,confidence:string,samples:array<string>>"
 STRUCTURE = f"struct<detectedContentType:string,contentTypeConfidence:string,regions:array<{REGION}>,patterns:struct<pageNumbers:{PATTERN},citations:{PATTERN},footnoteMarkers:{PATTERN}>,overallConfidence:string,warnings:array<string>>"
@@ -50,11 +52,53 @@ def regions(reply: Column) -> Column:
 
 def content_type(reply: Column) -> Column:
     """A struct (content_type, confidence, error): required fields that are missing are named."""
-    p = parsed(reply, "content_type")
-    error = F.when(json_of(reply).isNull(), "no_json").when(p["contentType"].isNull(), "missing contentType").when(number(p["confidence"]).isNull(), "missing confidence")
-    return F.struct(F.when(error.isNull(), p["contentType"]).alias("content_type"), F.when(error.isNull(), number(p["confidence"])).alias("confidence"), error.alias("error"))
+
+    def read(j: Column, p: Column) -> Column:
+        error = F.when(j.isNull(), "no_json").when(p["contentType"].isNull(), "missing contentType").when(number(p["confidence"]).isNull(), "missing confidence")
+        return let(lambda e: F.struct(F.when(e.isNull(), p["contentType"]).alias("content_type"), F.when(e.isNull(), number(p["confidence"])).alias("confidence"), e.alias("error")), error)
+
+    return let(lambda j: let(read, j, F.from_json(j, SHAPES["content_type"])), json_of(reply))
 
 
 def detected_pattern(reply: Column, name: str) -> Column:
     p = parsed(reply, "patterns")[name]
     return F.when(F.coalesce(p["detected"], F.lit(False)), F.struct(p["style"].alias("style"), p["pattern"].alias("pattern"), number(p["confidence"]).alias("confidence")))
+
+
+def _range(r: Column, *more: Column) -> Column:
+    return F.struct(r["startLine"].alias("start"), r["endLine"].alias("end"), F.coalesce(number(r["confidence"]), F.lit(0.5)).alias("confidence"), *more)
+
+
+def boundary(reply: Column) -> Column:
+    """A struct (start, end, confidence, notes) of a boundary reply, as `clean` takes for a proposal; null without JSON."""
+    return let(lambda p: F.when(p.isNotNull(), _range(p, p["notes"].alias("notes"))), parsed(reply, "boundary"))
+
+
+def lists(reply: Column) -> Column:
+    """Structs (start, end, confidence, type, header) of a reply on auxiliary lists; those without lines are dropped."""
+    found = F.transform(parsed(reply, "lists")["lists"], lambda r: _range(r, r["type"].alias("type"), r["header"].alias("header")))
+    return F.filter(found, lambda r: r["start"].isNotNull() & r["end"].isNotNull())
+
+
+def citation_style(reply: Column) -> Column:
+    """A struct (style, count, samples, patterns, confidence)."""
+    none = F.array().cast("array<string>")
+    made = lambda p: F.struct(p["style"].alias("style"), F.coalesce(p["count"], F.lit(0)).alias("count"), F.coalesce(p["samples"], none).alias("samples"), F.coalesce(p["patterns"], none).alias("patterns"), F.coalesce(number(p["confidence"]), F.lit(0.5)).alias("confidence"))
+    return let(lambda p: F.when(p.isNotNull(), made(p)), parsed(reply, "citations"))
+
+
+def footnote_style(reply: Column) -> Column:
+    """A struct (style, pattern, sections (start, end, confidence), confidence)."""
+    made = lambda p: F.struct(p["markerStyle"].alias("style"), p["markerPattern"].alias("pattern"), F.filter(F.transform(p["sections"], lambda r: _range(r)), lambda r: r["start"].isNotNull()).alias("sections"), F.coalesce(number(p["confidence"]), F.lit(0.5)).alias("confidence"))
+    return let(lambda p: F.when(p.isNotNull(), made(p)), parsed(reply, "footnotes"))
+
+
+def chapter_list(reply: Column) -> Column:
+    """A struct of chapters and parts, each structs (line, title) in the order of their lines."""
+    inorder = lambda c: F.array_sort(F.filter(F.coalesce(c, F.array().cast("array<struct<line:int,title:string>>")), lambda x: x["line"].isNotNull()))
+    return let(lambda p: F.when(p.isNotNull(), F.struct(inorder(p["chapters"]).alias("chapters"), inorder(p["parts"]).alias("parts"))), parsed(reply, "chapters"))
+
+
+def metadata(reply: Column) -> Column:
+    """The fields of a metadata reply, null without JSON or title."""
+    return let(lambda p: F.when(p["title"].isNotNull(), p), parsed(reply, "metadata"))

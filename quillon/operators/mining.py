@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.lines import trim
+from ..functions.lines import let, trim
 
 
 def line_view(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lines") -> DataFrame:
@@ -52,12 +52,52 @@ def running_lines(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lin
     return found.select("doc_id", line.alias("line"), F.when(header, "header").otherwise("footer").alias("kind"), "n", "first_line")
 
 
+def running_in(lines: Column, least: int = 3) -> Column:
+    """The texts of a document's running lines, found within the row by the rules of `running_lines`.
+
+    Lines are sorted by text and place; those whose text returns often enough are read in that order.
+    """
+    return let(lambda x: F.when(F.size(x) > 50, _running_in(x, least)).otherwise(F.array().cast("array<string>")), lines)
+
+
+def _running_in(lines: Column, least: int) -> Column:
+    short = F.filter(F.transform(lines, lambda x, i: F.struct(trim(x).alias("t"), i.alias("i"))), lambda m: F.length(m["t"]).between(3, 80))
+    return let(lambda m: _even_runs(m, F.size(lines), least), let(lambda m: _often(m, least), F.array_sort(short)))
+
+
+def _often(sorted_: Column, least: int) -> Column:
+    """Of sorted structs (t, i) those whose t occurs at least so often."""
+    starts = F.filter(F.transform(sorted_, lambda m, k: F.when(F.get(sorted_, k + (least - 1))["t"] == m["t"], m["t"])), lambda t: t.isNotNull())
+    return let(lambda texts: F.filter(sorted_, lambda m: F.array_contains(texts, m["t"]) & could_run(m["t"])), F.array_distinct(starts))
+
+
+def _even_runs(rows: Column, n_lines: Column, least: int) -> Column:
+    none = F.lit(None).cast("int")
+    fields = ("first", "last", "low", "high")
+    zero = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"), *[none.alias(f) for f in fields], F.array().cast("array<string>").alias("out"))
+
+    def closed(acc):
+        mean = F.floor((acc["last"] - acc["first"]) / F.greatest(acc["n"] - 1, F.lit(1)))
+        even = (acc["low"] >= mean * 0.3) & (acc["high"] <= mean * 2.5) & ((acc["last"] - acc["first"]) / n_lines >= 0.3)
+        return F.when((acc["n"] >= least) & even, F.concat(acc["out"], F.array(acc["t"]))).otherwise(acc["out"])
+
+    def step(acc, m):
+        gap = m["i"] - acc["last"]
+        more = F.struct(acc["t"].alias("t"), (acc["n"] + 1).alias("n"), acc["first"].alias("first"), m["i"].alias("last"), F.least(acc["low"], gap).alias("low"), F.greatest(acc["high"], gap).alias("high"), acc["out"].alias("out"))
+        new = F.struct(m["t"].alias("t"), F.lit(1).alias("n"), m["i"].alias("first"), m["i"].alias("last"), none.alias("low"), none.alias("high"), closed(acc).alias("out"))
+        return F.when(acc["t"] == m["t"], more).otherwise(new)
+
+    return F.aggregate(rows, zero, step, closed)
+
+
+def without_running(lines: Column) -> Column:
+    """lines without their running lines, compared as text."""
+    return let(lambda x: let(lambda r: F.when(F.size(r) > 0, F.filter(x, lambda line: ~F.array_contains(r, trim(line)))).otherwise(x), running_in(x)), lines)
+
+
 def drop_running(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lines") -> DataFrame:
-    """docs without their running lines, compared as text, in the same column."""
-    found = running_lines(docs, id_col, lines_col).groupBy("doc_id").agg(F.collect_set("line").alias("__running")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(found, docs[id_col] == found["__id"], "left")
-    kept = F.filter(lines_col, lambda x: ~F.coalesce(F.array_contains(F.col("__running"), trim(x)), F.lit(False)))
-    return joined.withColumn(lines_col, kept).drop("__running", "__id")
+    """docs without their running lines, in the same column; each row is a document of its own, and nothing is shuffled."""
+    return docs.withColumn(lines_col, without_running(F.col(lines_col)))
 
 
 def _holding(pattern: str):

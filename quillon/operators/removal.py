@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed
-from ..functions.lines import trim
+from ..functions.lines import let, trim
 from ..functions.segments import in_any
 
 
@@ -74,7 +74,7 @@ def remove_ranges(lines: Column, ranges: Column) -> Column:
     """Without several inclusive ranges (structs of start and end); bad ones are skipped."""
     n = F.size(lines)
     good = F.filter(ranges, lambda r: range_reason(r["start"], r["end"], n).isNull())
-    return F.filter(lines, lambda x, i: ~in_any(good, i))
+    return let(lambda found: F.when(F.size(found) > 0, F.filter(lines, lambda x, i: ~in_any(found, i))).otherwise(lines), good)
 
 
 def remove_ranges_report(lines: Column, ranges: Column) -> Column:

@@ -39,6 +39,8 @@ class Settings:
     strict_roman: bool = False
     strict_headers: bool = False
     heavy: bool = False
+    #: Whether a document's kind of content rules out steps (`services.DISABLED_STEPS`).
+    by_content: bool = False
 
     def enabled(self) -> tuple[int, ...]:
         """The first and the last step always run."""

@@ -45,8 +45,16 @@ def decoded(content: Column) -> Column:
 
 
 def pdf_pages(content: Column) -> Column:
-    """Page objects in a PDF's bytes, 1 if none can be seen (compressed object streams hide them)."""
-    return F.greatest(F.regexp_count(F.decode(content, "ISO-8859-1"), F.lit(r"/Type\s*/Page[^s]")), F.lit(1))
+    """Page objects in a PDF's bytes, else the greatest /Count of its page trees; 1 if neither can be seen (compressed object streams hide them)."""
+    text = F.decode(content, "ISO-8859-1")
+    counted = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"/Count\s+(\d{1,6})"), F.lit(1)), lambda n: n.cast("int")))
+    return F.greatest(F.regexp_count(text, F.lit(r"/Type\s*/Page[^s]")), F.coalesce(counted, F.lit(0)), F.lit(1))
+
+
+def pdf_problem(content: Column) -> Column:
+    """corrupted without a PDF's mark or end, encrypted with an encryption dictionary, else null."""
+    text = F.decode(content, "ISO-8859-1")
+    return F.when(~F.substring(text, 1, 1024).contains("%PDF-") | ~text.contains("%%EOF"), "corrupted").when(text.rlike(r"/Encrypt\s+\d+\s+\d+\s+R|/Encrypt\s*<<"), "encrypted")
 
 
 def load_files(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +66,7 @@ def load_files(spark: SparkSession, path: str) -> DataFrame:
     mime = mime_type(F.col("path"))
     rows = raw.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), mime.alias("mime"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     rows = rows.withColumn("pages", F.when(F.col("mime") == "application/pdf", pdf_pages(F.col("content"))).otherwise(1))
-    rows = rows.withColumn("error", problem(F.col("size"), F.col("mime"), F.col("pages"))).withColumn("pathway", pathway(F.col("mime")))
+    rows = rows.withColumn("error", F.coalesce(problem(F.col("size"), F.col("mime"), F.col("pages")), F.when(F.col("mime") == "application/pdf", pdf_problem(F.col("content"))))).withColumn("pathway", pathway(F.col("mime")))
     return rows.withColumn("text", F.when(F.col("error").isNull() & (F.col("pathway") == "clean"), decoded(F.col("content")))).drop("content")
 
 

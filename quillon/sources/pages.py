@@ -22,6 +22,18 @@ def imported(text: Column) -> Column:
     return F.struct(F.array(page).alias("pages"), F.lit(DIRECT_MODEL).alias("model"), F.lit(0).cast("decimal(18,6)").alias("cost"))
 
 
+def request(kind: Column, address: Column, model: str = "ocr-latest", tables: str = "markdown", images: bool = False) -> Column:
+    """The JSON payload that asks a service for a document's pages: documents by address, images by address or data."""
+    by_kind = F.when(kind.startswith("image/"), F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("document_url"), address.alias("image_url"))).otherwise(
+        F.struct(F.lit("document_url").alias("type"), address.alias("document_url"), F.lit(None).cast("string").alias("image_url"))
+    )
+    return F.to_json(F.struct(by_kind.alias("document"), F.lit(images).alias("include_image_base64"), F.lit(model).alias("model"), F.lit(tables).alias("table_format")))
+
+
+def data_url(kind: Column, content: Column) -> Column:
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content))
+
+
 def from_reply(reply: Column) -> Column:
     """A result struct from a service's JSON reply: a table's Markdown, else its HTML; the cost follows from the pages."""
     r = F.from_json(reply, REPLY)

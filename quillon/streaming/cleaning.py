@@ -1,6 +1,6 @@
-"""The narrow part of the cleaning plan on a stream of documents.
+"""The cleaning plan on a stream of documents.
 
-Each rule of these steps reads one document, so they hold unchanged for a stream in append mode.
+Each rule reads one document, so all hold unchanged for a stream in append mode.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.cleaning import clean
 from ..plans.config import Settings, preset
 
-#: Finding running headers needs an aggregation of a document's lines, which a stream leaves out.
-STREAM_SETTINGS = preset("training", headers_footers=False)
+STREAM_SETTINGS = preset("training")
 
 
 def documents_stream(spark: SparkSession, folder: str, schema: str = "doc_id long, text string") -> DataFrame:
@@ -20,8 +19,6 @@ def documents_stream(spark: SparkSession, folder: str, schema: str = "doc_id lon
 
 
 def clean_stream(docs: DataFrame, settings: Settings = STREAM_SETTINGS) -> DataFrame:
-    if settings.headers_footers:
-        raise ValueError("running headers can't be searched for on a stream")
     return clean(docs, settings)
 
 
