@@ -121,11 +121,22 @@ def toc_end(spark, sf_dir):
     return d.select("doc_id", F.col("s").cast("long").alias("start_line"), boundaries.toc_end(F.col("lines"), F.col("s")).cast("long").alias("end_line"))
 
 
-@query(f"""WITH {WITH} SELECT doc_id, type, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line, round(c, 6) AS confidence, CAST(k AS INT) AS entries FROM (SELECT doc_id FROM decorated WHERE variant = 6)
-CROSS JOIN (VALUES ('List of Figures', 0, 3, 1.0, 3), ('List of Tables', 5, 7, 1.0, 2)) AS x(type, s, e, c, k)
-WHERE doc_id IN (SELECT doc_id FROM decorated WHERE len(lines) >= 50)""")
+_LIST_ENTRY = " OR ".join(f"regexp_matches(x, {_q('(?i)' + p)})" for p in fixed.LIST_ENTRIES)
+_LIST_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(upper(h.x), {_q(p)}) THEN {_q(name)}" for p, name in fixed.LIST_TYPES) + " ELSE 'Auxiliary List' END"
+_OPENING = "regexp_matches(upper(t), '^(CHAPTER |PART |PROLOGUE|INTRODUCTION)')"
+
+
+@query(f"""WITH {WITH}, {_VIEW}, l AS (SELECT doc_id, i, x, {TRIM.format('x')} AS t, CAST(floor(n * 0.4) AS INT) AS high, {_weight(fixed.LIST_HEADINGS, fixed.LIST_PLAIN, False)} AS w, {_LIST_ENTRY} AS entry FROM v WHERE n >= 50),
+k AS (SELECT *, t = '' AS blank, starts_with(t, '#') OR {_OPENING} OR (t = upper(t) AND length(t) > 3 AND length(t) < 50 AND NOT contains(t, '.') AND NOT regexp_matches(t, '^\\p{{N}}') AND w IS NOT NULL) AS stop FROM l),
+h AS (SELECT doc_id, i, x, w, high FROM k WHERE w IS NOT NULL AND i < high),
+p AS (SELECT h.doc_id, h.i AS s, k.i, k.blank, k.stop AND NOT k.blank AS stop, k.blank AND lag(k.blank) OVER z AND lag(k.blank, 2) OVER z AS third, k.entry FROM h JOIN k ON k.doc_id = h.doc_id AND k.i > h.i AND k.i < least(h.i + 100, h.high) WINDOW z AS (PARTITION BY h.doc_id, h.i ORDER BY k.i)),
+e AS (SELECT doc_id, s, min(i) FILTER (WHERE stop OR third) AS at FROM p GROUP BY 1, 2),
+f AS (SELECT h.doc_id, h.i AS s, coalesce(max(p.i) FILTER (WHERE NOT p.blank AND (e.at IS NULL OR p.i < e.at)), h.i) AS e FROM h LEFT JOIN e ON e.doc_id = h.doc_id AND e.s = h.i LEFT JOIN p ON p.doc_id = h.doc_id AND p.s = h.i GROUP BY 1, 2, h.i),
+c AS (SELECT f.doc_id, f.s, f.e, count(k.i) FILTER (WHERE k.entry) AS n FROM f LEFT JOIN k ON k.doc_id = f.doc_id AND k.i > f.s AND k.i <= f.e GROUP BY 1, 2, 3),
+g AS (SELECT c.doc_id, {_LIST_TYPE} AS type, c.s, c.e, c.n, CASE WHEN n >= 5 THEN least(1.0, w + 0.15) WHEN n >= 2 THEN least(1.0, w + 0.1) WHEN n = 0 THEN w * 0.7 ELSE w END AS confidence FROM c JOIN h ON h.doc_id = c.doc_id AND h.i = c.s)
+SELECT doc_id, type, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line, round(confidence, 6) AS confidence, CAST(n AS INT) AS entries FROM g a WHERE confidence >= 0.6 AND NOT EXISTS (SELECT 1 FROM g b WHERE b.doc_id = a.doc_id AND b.confidence >= 0.6 AND b.s < a.s AND b.e >= a.s)""")
 def auxiliary_lists(spark, sf_dir):
-    """Lists under headings, as the operator finds them.  The SQL's constants for 'List of Tables' end it before the abbreviations, which the operator's rules don't."""
+    """Lists under headings, with their ends and entries."""
     d = decorated(spark, sf_dir).select("doc_id", F.explode_outer(boundaries.auxiliary_lists(F.col("lines"))).alias("l")).filter("l IS NOT NULL")
     return d.select("doc_id", "l.type", F.col("l.start").alias("start_line"), F.col("l.end").alias("end_line"), F.round("l.confidence", 6).alias("confidence"), "l.entries")
 

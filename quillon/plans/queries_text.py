@@ -142,11 +142,16 @@ def markdown_plain(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(_MD)), "k int, text string").select("k", "text", markdown.to_plain(F.col("text")).alias("plain"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(t, '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g') AS stripped FROM (SELECT doc_id, concat('# ', left(text, 30), ' **b** *i*') AS t0, regexp_replace(concat('# ', left(text, 30), ' **b** *i*'), '^#{1,6}\s*', '') AS t FROM documents WHERE NOT regexp_matches(left(text, 30), '[*_\[\]]'))""")
+_STRIP = "coalesce(t, '')"
+for _p, _to in ((r"\A#{1,6}\s*", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), (r"__(.+?)__", r"\1"), (r"_(.+?)_", r"\1"), (r"\[(.+?)\]\(.+?\)", r"\1")):
+    _STRIP = f"regexp_replace({_STRIP}, '{_p}', '{_to}', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_STRIP}) AS digest FROM (SELECT doc_id, concat('# ', coalesce(text, ''), ' **b** *i* [l](u) _e_') AS t FROM documents)")
 def export_strip(spark, sf_dir):
-    """K5, X32."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("NOT rlike(substring(text, 1, 30), '[*_\\\\[\\\\]]')")
-    return d.select("doc_id", markdown.strip_markdown(F.concat(F.lit("# "), F.substring("text", 1, 30), F.lit(" **b** *i*"))).alias("stripped"))
+    """Whole texts of all documents, with a heading and emphasis around each."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.md5(F.encode(markdown.strip_markdown(F.concat(F.lit("# "), F.coalesce("text", F.lit("")), F.lit(" **b** *i* [l](u) _e_"))), "UTF-8")).alias("digest"))
 
 
 @query()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import queries_lines, queries_sections, queries_session, queries_text
+from . import queries_lines, queries_sections, queries_services, queries_session, queries_text
 
 FLAGSHIP = "clean_page_numbers_by_lang"
-_MODULES = (queries_lines, queries_text, queries_sections, queries_session)
+_MODULES = (queries_lines, queries_text, queries_sections, queries_session, queries_services)
 
 
 def queries() -> dict:
