@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 TRAIN_VECTORS = 4000
 THRESHOLD = 0.5
-#: Cuts between the bins of a suffix's share of all urls.
-SHARES = (0.005, 0.02, 0.1, 0.3, 0.6)
+#: Cuts between the bins of a suffix's share of all urls; all common suffixes are alike, or their shares would name them.
+SHARES = (0.005, 0.02, 0.1)
 
 
 @dataclass(frozen=True)
