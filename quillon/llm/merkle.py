@@ -2,9 +2,9 @@
 
 A text's paragraphs are its lines, and a section ends after each paragraph whose digest is divisible by
 four, so sections too move only near edits.  Below a paragraph are leaves, runs of its words, cut by the
-words themselves (by their last characters; paragraphs of `SHORT` characters or more by rarer ones), so an
-edit moves no cut outside of it.  A paragraph's digest covers its text, a section's the digests of its
-paragraphs and leaves, and the root's those of the sections.
+words themselves (by their last characters, by rarer ones in longer paragraphs, and after `LONGEST` characters without
+such a word), so an edit moves no cut beyond the next such word.  A paragraph's digest covers its text, a section's
+the digests of its paragraphs and leaves, and the root's those of the sections.
 
 The fingerprint is the whole tree, `root:section;section;...` with `digest=paragraph,paragraph,...` for a
 section and the digest followed by six digits for each leaf for a paragraph.  Roots test equality.
@@ -26,23 +26,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.lines import let
 from .common import checkpointed, text_of
 
-#: Paragraphs of so many characters have longer leaves.
-SHORT = 200
-#: A run of words ends after a word that ends in anything but one of these letters, in any script.
-CUTS = r"(?<=[^bcdfgijklmopqruvwxyzà-ÿ\s])\s+"
-RARER_CUTS = r"(?<=[^abcdfghijklmnopqrtuvwxyzà-ÿ\s])\s+"
-DIGITS = 16
+#: Patterns that cut a paragraph into leaves, each for paragraphs of fewer characters than stated.  A run of words ends
+#: after a word that ends in anything but one of these letters, in any script.
+CUTS = (
+    (80, r"(?<=[^bcdfgijklmopqruvwxyzà-ÿ\s])\s+"),
+    (400, r"(?<=[^abcdfghijklmnopqrtuvwxyzà-ÿ\s])\s+"),
+    (1 << 31, r"(?<=[^abcdefghijklmnopqrtuvwxyzà-ÿ\s])\s+"),
+)
+#: A longer run is cut after so many characters all the same, and again from there.
+LONGEST = 120
+DIGITS = 12
 LEAF = 6
 ALMOST = 0.9999
 LOWEST = -(1 << 63)
 
 
 def _hex(digest: Column, digits: int) -> Column:
-    return F.right(F.lpad(F.hex(digest), DIGITS, "0"), F.lit(digits))
+    return F.right(F.lpad(F.hex(digest), 16, "0"), F.lit(digits))
 
 
 def _paragraph(p: Column) -> Column:
-    runs = F.when(F.length(p) < SHORT, F.split(p, CUTS, -1)).otherwise(F.split(p, RARER_CUTS, -1))
+    cut = lambda pattern: F.split(p, rf"{pattern}|(?<=\G[\s\S]{{{LONGEST}}})", -1)
+    runs = cut(CUTS[-1][1])
+    for most, pattern in reversed(CUTS[:-1]):
+        runs = F.when(F.length(p) < most, cut(pattern)).otherwise(runs)
     leaves = F.transform(F.filter(runs, lambda r: r != ""), lambda r: _hex(F.xxhash64(r), LEAF))
     return F.concat(_hex(F.xxhash64(p), DIGITS), F.array_join(leaves, ""), F.when(F.pmod(F.xxhash64(p), F.lit(4)) == 0, ";").otherwise(","))
 
@@ -52,7 +59,7 @@ def tree(text: Column) -> Column:
     joined = F.array_join(F.transform(F.split(text, "\n", -1), _paragraph), "")
     marked = F.split(F.regexp_replace(joined, "[,;]$", ""), ";", -1)
     sections = F.transform(marked, lambda s: F.concat(_hex(F.xxhash64(F.rtrim(s, F.lit(","))), DIGITS), F.lit("="), F.rtrim(s, F.lit(","))))
-    return let(lambda s: F.struct(F.substring(F.sha2(F.array_join(s, ";"), 256), 1, DIGITS).alias("root"), s.alias("sections")), sections)
+    return let(lambda s: F.struct(F.substring(F.sha2(F.array_join(s, ";"), 256), 1, 16).alias("root"), s.alias("sections")), sections)
 
 
 def shown(t: Column) -> Column:
@@ -142,20 +149,20 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, text, n_chars, edited, own (tree), next_tree: each document beside its edited text and the next document's tree.
 
     The edited text: the last third of the code points replaced by as many (or all) of the next
-    document's first ones.  Texts are dealt by key once, with their trees, so each text's tree is made once; a
-    document sends its neighbour its tree and no more than the beginning that is asked for.
+    document's first ones.  Texts are dealt by key once; a document sends its neighbour its tree and no more than the
+    beginning that is asked for.  Its tree is made where it is sent and again where it stays, as a tree is too long to
+    travel with each text (disk at 30 GB: 2.90 x input with it).
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4)
     pair = ["key", "sub"]
     keyed = text_of(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), F.xxhash64("text").alias("sub"), "text")
     chain = checkpointed(next_keys(keyed.select(*pair), parts))
-    # The one exchange of whole texts: both sides below need the same columns of it, so they share it.
-    rows = keyed.withColumn("own", tree(F.col("text"))).repartition(parts, *pair)
+    rows = keyed.repartition(parts, *pair)  # the one exchange of whole texts, which both sides below share, as they need the same columns
     asked = keyed.groupBy(*pair).agg(F.max(F.floor(F.length("text") / 3)).alias("third")).join(chain, pair)
     giving = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("text")))).filter("nth = 1")
     wanted = asked.select(F.col("next_key").alias("key"), F.col("next_sub").alias("sub"), F.col("key").alias("asker"), F.col("sub").alias("asker_sub"), "third")
-    sent = giving.join(wanted, pair).select(F.col("asker").alias("key"), F.col("asker_sub").alias("sub"), F.expr("substring(text, 1, cast(third as int))").alias("begins"), F.col("own").alias("next_tree"))
+    sent = giving.join(wanted, pair).select(F.col("asker").alias("key"), F.col("asker_sub").alias("sub"), F.expr("substring(text, 1, cast(third as int))").alias("begins"), tree(F.col("text")).alias("next_tree"))
     met = rows.join(sent, pair)
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    return met.select(F.when(F.col("key") != LOWEST, F.col("key")).alias("doc_id"), "text", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("begins"), F.lit(1), third)).alias("edited"), "own", "next_tree")
+    return met.select(F.when(F.col("key") != LOWEST, F.col("key")).alias("doc_id"), "text", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("begins"), F.lit(1), third)).alias("edited"), tree(F.col("text")).alias("own"), "next_tree")

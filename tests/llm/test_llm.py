@@ -417,7 +417,7 @@ def test_licenses(spark, odd, empty):
 
 def test_merkle(spark, odd, empty):
     rows = list(enumerate(texts(40))) + [(100, "copy a b c."), (101, "copy a b c.")]
-    d = merkle.edited(table(spark, rows)).withColumn("own", merkle.tree(F.col("text"))).withColumn("new", merkle.tree(F.col("edited")))
+    d = merkle.edited(table(spark, rows)).withColumn("new", merkle.tree(F.col("edited")))
     got = {r["doc_id"]: r for r in d.select("doc_id", "text", "edited", "n_chars", merkle.shown(F.col("own")).alias("fp"), merkle.likeness(F.col("own"), F.col("new")).alias("a"), merkle.likeness(F.col("own"), F.col("next_tree")).alias("b")).collect()}
     ids, of = sorted(dict(rows), reverse=True), dict(rows)
     for k, t in rows:
@@ -434,9 +434,10 @@ def brute_tree(text):
     digest = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
     out = [[]]
     for p in (lines := text.split("\n")):
-        cuts = merkle.CUTS if len(p) < merkle.SHORT else merkle.RARER_CUTS
-        leaves = [f"{digest(r):016x}"[-merkle.LEAF :] for r in re.split(cuts, p, flags=re.ASCII) if r]
-        out[-1].append((f"{digest(p):016x}", *leaves))
+        cuts = next(c for most, c in merkle.CUTS if len(p) < most)
+        runs = [r[k : k + merkle.LONGEST] for r in re.split(cuts, p, flags=re.ASCII) for k in range(0, len(r), merkle.LONGEST)]
+        leaves = [f"{digest(r):016x}"[-merkle.LEAF :] for r in runs if r]
+        out[-1].append((f"{digest(p):016x}"[-merkle.DIGITS :], *leaves))
         if digest(p) % 4 == 0:
             out.append([])
     return out if out[-1] or len(out) == 1 else out[:-1], len(lines)
@@ -458,7 +459,7 @@ def brute_likeness(a, b):
 def test_trees_against_brute_force(spark):
     r = random.Random(21)
     lines = [" ".join(r.choice(WORDS) for _ in range(r.choice([0, 1, 5, 60]))) for _ in range(60)]
-    pairs = [("", ""), ("", "a"), ("a b", "a  b"), ("x\nx", "x"), ("a\n", "a")]
+    pairs = [("", ""), ("", "a"), ("a b", "a  b"), ("x\nx", "x"), ("a\n", "a"), ("é😀" * 200, "é😀" * 199 + "x"), ("s" * 120 + " b", "s" * 120), ("bo " * 99, "bo " * 98)]
     for _ in range(60):
         a = [r.choice(lines) for _ in range(r.randint(1, 40))]
         b = list(a)
