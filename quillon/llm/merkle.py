@@ -33,7 +33,7 @@ CUTS = (
     (400, r"(?<=[^abcdfghijklmnopqrtuvwxyzà-ÿ\s])\s+"),
     (1 << 31, r"(?<=[^abcdefghijklmnopqrtuvwxyzà-ÿ\s])\s+"),
 )
-#: A longer run is cut after so many characters all the same, and again from there.
+#: A longer run is cut after so many characters all the same, and again from there (up to the first character beyond U+FFFF).
 LONGEST = 120
 DIGITS = 12
 LEAF = 6
