@@ -62,39 +62,36 @@ def merge_chunks(contents: Column) -> Column:
     return F.when(F.size(contents) == 0, F.lit("")).otherwise(F.aggregate(rest, F.get(contents, 0), join))
 
 
-def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = 2500, overlap: int = 60, snap: int = 50) -> DataFrame:
-    """Rows (doc_id, chunk_id, content, start_line, end_line, context): about target lines each, cut at a blank line near
-    by (forward first), a short rest taken in; context is what stands before the chunk.
+def line_cuts(lines: Column, target: int, snap: int, least: int) -> Column:
+    """Structs (s, e) of chunks of about target lines, e not included: cut after a blank line near by (forward first), a short rest taken in."""
+    cuts = "array<struct<s:int,e:int>>"
 
-    Each cut follows from the one before, so a document's cuts are made in one pass over its blank lines.
-    """
-    import pyarrow as pa
-
-    kind = pa.schema([("doc_id", pa.int64()), ("chunk_id", pa.int32()), ("content", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("context", pa.string())])
-    least = max(100, target // 5)
-
-    def cuts(lines):
-        n, start = len(lines), 0
-        while start < n:
-            end = min(start + target, n)
-            if n - end < least:
-                end = n
-            elif end < n:
-                near = [*range(end, min(end + snap, n)), *range(end - 1, max(end - snap, start) - 1, -1)]
-                end = next((k + 1 for k in near if not lines[k].strip()), end)
-            yield start, end
-            start = end
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for doc, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, (s, e) in enumerate(cuts(lines)):
-                    out.append({"doc_id": doc, "chunk_id": k, "content": "\n".join(lines[s:e]), "start_line": s, "end_line": e - 1, "context": "\n".join(lines[max(0, s - overlap) : s]) if k else None})
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+    def cut(blanks: Column, n: Column) -> Column:
+        def end(start: Column) -> Column:
+            plain = F.least(start + target, n)
+            low = F.greatest(plain - snap, start)
+            after = F.array_position(F.slice(blanks, plain + 1, F.least(F.lit(snap), n - plain)), True)
+            before = F.array_position(F.reverse(F.slice(blanks, low + 1, plain - low)), True)
+            return F.when(n - plain < least, n).when(after > 0, plain + after).when(before > 0, plain - before + 1).otherwise(plain).cast("int")
+
+        def step(acc, _):
+            more = let(lambda e: F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), e.alias("e")))).alias("out")), end(acc["at"]))
+            return F.when(acc["at"] >= n, acc).otherwise(more)
+
+        most = F.ceil(n / max(target - snap, 1)).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.struct(F.lit(0).alias("at"), F.array().cast(cuts).alias("out")), step, lambda acc: acc["out"])
 
+    return let(cut, F.transform(lines, lambda x: trim_all(x) == ""), F.size(lines))
+
+
+def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = 2500, overlap: int = 60, snap: int = 50) -> DataFrame:
+    """Rows (doc_id, chunk_id, content, start_line, end_line, context): about target lines each; context is what stands before the chunk."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), split_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("lines"))
-    return rows.mapInArrow(run, "doc_id long, chunk_id int, content string, start_line int, end_line int, context string")
+    rows = rows.select("doc_id", "lines", F.posexplode_outer(line_cuts(F.col("lines"), target, snap, max(100, target // 5))).alias("chunk_id", "c"))
+    s, e = F.col("c.s"), F.col("c.e")
+    part = lambda a, b: F.array_join(F.slice("lines", a + 1, b - a), "\n")
+    low = F.greatest(s - overlap, F.lit(0))
+    return rows.select("doc_id", "chunk_id", part(s, e).alias("content"), s.alias("start_line"), (e - 1).alias("end_line"), F.when(F.col("chunk_id") > 0, part(low, s)).alias("context"))
 
 
 def split_pages(text: Column) -> Column:

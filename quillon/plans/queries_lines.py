@@ -202,11 +202,18 @@ def word_chunks(spark, sf_dir):
     return d.select("doc_id", F.aggregate("chunks", F.lit(0), lambda acc, c: acc + count_words(c["content"])).alias("words"), (merged == F.col("text")).alias("merged_same"))
 
 
-@query()
+_CUT = """CASE WHEN n - least({0} + 40, n) < 100 THEN n ELSE coalesce({0} + 40 + nullif(list_position(list_transform(l[{0} + 41 : least({0} + 45, n)], lambda x: regexp_matches(x, '^\\s*$')), true), 0),
+{0} + 41 - nullif(list_position(list_reverse(list_transform(l[{0} + 36 : {0} + 40], lambda x: regexp_matches(x, '^\\s*$'))), true), 0), {0} + 40) END"""
+
+
+@query(f"""WITH RECURSIVE {WITH}, b AS (SELECT doc_id, list_concat(lines, list_concat(list_reverse(lines), lines)) AS l FROM decorated), d AS (SELECT doc_id, l, len(l) AS n FROM b),
+c(doc_id, chunk_id, s, e) AS (SELECT doc_id, 0, 0, CAST({_CUT.format('0')} AS INT) FROM d UNION ALL SELECT c.doc_id, c.chunk_id + 1, c.e, CAST({_CUT.format('c.e')} AS INT) FROM c JOIN d ON d.doc_id = c.doc_id WHERE c.e < d.n)
+SELECT c.doc_id, chunk_id, s AS start_line, e - 1 AS end_line, md5(array_to_string(l[s + 1 : e], chr(10))) AS digest, CASE WHEN chunk_id > 0 THEN length(array_to_string(l[greatest(s - 5, 0) + 1 : s], chr(10))) END AS n_context FROM c JOIN d ON d.doc_id = c.doc_id""")
 def line_chunks(spark, sf_dir):
-    """No oracle; each cut depends on the one before."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return chunking.line_chunks(d, target=40, overlap=5, snap=5).select("doc_id", "chunk_id", "start_line", "end_line", F.length("content").alias("n_chars"))
+    """Chunks of lines, cut near blank lines, with what stands before them; documents three times as long."""
+    d = decorated(spark, sf_dir).select("doc_id", join_lines(F.concat("lines", F.reverse("lines"), "lines")).alias("text"))
+    found = chunking.line_chunks(d, target=40, overlap=5, snap=5)
+    return found.select("doc_id", "chunk_id", "start_line", "end_line", F.md5(F.encode("content", "UTF-8")).alias("digest"), F.length("context").alias("n_context"))
 
 
 def in_three_pages(lines):

@@ -263,13 +263,21 @@ def page_number_vote(spark, sf_dir):
     return d.select("doc_id", "v.name", "v.n", F.round("v.confidence", 6).alias("confidence"))
 
 
-@query()
+def _votes(kind: str, least: int) -> str:
+    """SQL: the pattern of a kind found most often in t, null if too rare; on a tie the first one named."""
+    counts = [f"len(regexp_extract_all(t, {_q(p)}))" for _, p in fixed.VOTES[kind]]
+    best = f"greatest({', '.join(counts)})"
+    return f"CASE WHEN {best} < {least} THEN NULL " + " ".join(f"WHEN {c} = {best} THEN '{name}'" for c, (name, _) in zip(counts, fixed.VOTES[kind], strict=True)) + " END"
+
+
+@query(f"""WITH {WITH}, s AS (SELECT doc_id, array_to_string(lines, chr(10)) || CASE WHEN doc_id % 3 = 0 THEN ' so [1], [2] and (Smith, 2020).' ELSE ' note* and word** end' END AS t FROM decorated)
+SELECT doc_id, {_votes('citation', 2)} AS citation, {_votes('footnote', 2)} AS footnote FROM s""")
 def citation_and_footnote_votes(spark, sf_dir):
-    """No oracle, as a pattern looks behind."""
-    lines = F.col("lines")
-    t = join_lines(lines)
-    d = decorated(spark, sf_dir).select("doc_id", mining.pattern_vote(t, lines, "citation").alias("c"), mining.pattern_vote(t, lines, "footnote").alias("f"))
-    return d.select("doc_id", F.col("c.name").alias("citation"), F.col("f.name").alias("footnote"), mining.hit_rate(F.col("c.samples"), r"\d").alias("with_digit"))
+    """The styles of citations and footnote markers."""
+    t = F.concat(join_lines(F.col("lines")), F.when(F.col("doc_id") % 3 == 0, " so [1], [2] and (Smith, 2020).").otherwise(" note* and word** end"))
+    d = decorated(spark, sf_dir).withColumn("t", t)
+    d = d.select("doc_id", mining.pattern_vote(F.col("t"), F.col("lines"), "citation").alias("c"), mining.pattern_vote(F.col("t"), F.col("lines"), "footnote").alias("f"))
+    return d.select("doc_id", F.col("c.name").alias("citation"), F.col("f.name").alias("footnote"))
 
 
 def _plan(name):
@@ -286,6 +294,35 @@ for _name in PRESETS:
     QUERIES[f"plan_{_name}"] = _plan(_name)
 
 
+def proposed(docs):
+    """docs with proposals of all kinds: by doc_id % 4 sound, of a wrong place, without lines, and none."""
+    k, n = F.col("doc_id") % 4, F.size("lines")
+    end = F.array_position("lines", "# Chapter 1").cast("int") - 2
+    front = F.when(k == 0, F.struct(F.lit(0).alias("start"), F.when(end >= 0, end).alias("end"), F.lit(0.9).alias("confidence"))).when(k == 1, F.struct(F.lit(0).alias("start"), (n - 1).alias("end"), F.lit(0.9).alias("confidence"))).when(
+        k == 2, F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(0.9).alias("confidence"))
+    )
+    back = F.when(k == 1, F.struct(F.lit(4).alias("start"), (n - 1).alias("end"), F.lit(0.9).alias("confidence")))
+    lists = F.when(k < 2, F.array(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit(0.9).alias("confidence"))))
+    reply = F.when(k == 3, F.lit('{"title": "Known", "author": "A. Writer"}'))
+    return docs.select("doc_id", "lines", join_lines(F.col("lines")).alias("text"), front.alias("front_proposal"), back.alias("back_proposal"), lists.alias("lists_proposal"), lists.alias("notes_proposal"), reply.alias("metadata_reply"))
+
+
+@query(f"""WITH {WITH}, {_VIEW}, e AS (SELECT doc_id, min(i) - 1 AS last FROM v WHERE x = '# Chapter 1' GROUP BY doc_id), p AS (SELECT d.doc_id, len(lines) AS n, d.doc_id % 4 AS k, e.last AS last FROM decorated d LEFT JOIN e USING (doc_id))
+SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN last IS NULL THEN 'no_boundary' WHEN last < 2 THEN 'too_small' WHEN last > n * 0.4 THEN 'too_late' ELSE 'valid' END WHEN 1 THEN 'too_late' WHEN 2 THEN 'no_boundary' END AS front, CASE WHEN k = 1 THEN 'too_early' END AS back FROM p""")
+def proposals_checked(spark, sf_dir):
+    """V1 on proposals over decorated documents: the first reason against each."""
+    d = proposed(decorated(spark, sf_dir))
+    reason = lambda section, p: F.when(F.col(p).isNotNull(), validation.boundary_reason(F.lit(section), F.col(f"{p}.start"), F.col(f"{p}.end"), F.col(f"{p}.confidence"), F.size("lines")))
+    return d.select("doc_id", reason("frontMatter", "front_proposal").alias("front"), reason("backMatter", "back_proposal").alias("back"))
+
+
+@query()
+def plan_with_proposals(spark, sf_dir):
+    """V1 to V3, Q1: the training plan where a service proposed sections, lists and metadata; the checks of place and content decide, detectors stand in."""
+    out = cleaning.clean(proposed(decorated(spark, sf_dir)).drop("lines"), preset("training"))
+    return out.select("doc_id", "cleaned_words", "score", F.size("audit").alias("steps"), F.col("text").contains("# KNOWN").alias("titled"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query()
 def audit_log(spark, sf_dir):
     """Q7, Q11, V4: what each step changed, over all documents."""
@@ -302,7 +339,12 @@ def preset_suggestions(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", suggested(flags).alias("preset"))
 
 
-@query()
+_CHAPTER_LINE, _PART_LINE = r"'^#{{1,2}}\s*Chapter\s+\d+'", r"'^#{{1,2}}\s*Part\s+[IVXLC]+'"
+
+
+@query(f"""WITH {WITH}, {_VIEW}, m AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches({TRIM.format('x')}, {_CHAPTER_LINE.format()})) AS chapters, count(*) FILTER (WHERE regexp_matches({TRIM.format('x')}, {_PART_LINE.format()})) AS parts FROM v GROUP BY doc_id),
+b AS (SELECT doc_id, len(string_split(regexp_replace(array_to_string(lines, chr(10)), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), chr(10))) AS body FROM decorated)
+SELECT doc_id, CAST(CASE WHEN chapters > 0 THEN chapters + parts ELSE 0 END AS INT) AS markers, CAST(body + 2 * CASE WHEN chapters > 0 THEN chapters + parts ELSE 0 END + 14 AS INT) AS n_lines, true AS ended FROM m JOIN b USING (doc_id)""")
 def assembled(spark, sf_dir):
     """Marked chapters and the parts around a text."""
     from ..functions.metadata import blank

@@ -263,12 +263,25 @@ def reflow_keeps_words(spark, sf_dir):
     return d.select("doc_id", count_words(structure.reflow(join_lines(F.transform("lines", trim)))["text"]).alias("words"))
 
 
-@query()
+def _lines_of(p: str) -> str:
+    return f"list_filter(list_transform(string_split({p}, chr(10)), lambda y: {TRIM.format('y')}), lambda z: z <> '')"
+
+
+def _verse(l: str) -> str:
+    words = f"list_sum(list_transform({l}, lambda w: {WORDS.format('w')}))"
+    return f"(len({l}) >= 3 AND len(list_filter({l}, lambda h: starts_with(h, '#'))) = 0 AND {words} / len({l}) < 12 AND len(list_filter({l}, lambda o: NOT regexp_matches(o, '[.!?]$'))) / len({l}) > 0.6)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS t FROM documents), u AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS p FROM d), l AS (SELECT doc_id, p, {_lines_of('p')} AS l FROM u),
+b AS (SELECT doc_id, CAST(sum(CASE WHEN len(l) = 0 THEN 0 WHEN {_verse('l')} THEN 0 ELSE len(list_filter(l[1 : len(l) - 1], lambda k: NOT regexp_matches(k, '[.!?"'']$'))) END) AS INT) AS breaks, CAST(count(*) FILTER (WHERE len(l) > 0) AS INT) AS paragraphs, CAST(count(*) FILTER (WHERE {WORDS.format('p')} >= 100) AS INT) AS long_paragraphs FROM l GROUP BY doc_id),
+w AS (SELECT doc_id, {_lines_of('t')} AS l FROM d)
+SELECT doc_id, breaks, paragraphs, long_paragraphs, len(l) > 0 AND {_verse('l')} AS poetry FROM b JOIN w USING (doc_id)""")
 def reflow_breaks(spark, sf_dir):
-    """Breaks removed, paragraphs that a rewriter would split."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    t = F.col("text")
-    return d.select("doc_id", structure.reflow(t)["breaks"].alias("breaks"), structure.count_paragraphs(t).alias("paragraphs"), F.size(structure.long_paragraphs(t, 250)).alias("long_paragraphs"), structure.is_poetry(t).alias("poetry"))
+    """Breaks removed, paragraphs, those that a rewriter would split, verse."""
+    t = F.replace("text", F.lit(".\n"), F.lit(".\n\n"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("t", t)
+    t = F.col("t")
+    return d.select("doc_id", structure.reflow(t)["breaks"].alias("breaks"), structure.count_paragraphs(t).alias("paragraphs"), F.size(structure.long_paragraphs(t, 100)).alias("long_paragraphs"), F.coalesce(structure.is_poetry(t), F.lit(False)).alias("poetry"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 18 WHEN 1 THEN 22 ELSE 0 END AS metadata_length FROM documents""")
