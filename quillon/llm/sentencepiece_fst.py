@@ -1,22 +1,27 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled into three transducers: the normaliser (space to `▁`, the dummy prefix),
-the pieces (a trie from characters to pieces, with their costs), and the byte fallback (any
-character to its UTF-8 byte pieces).  Composed with an input they form a lattice, and the encoding
-is its shortest path in the tropical semiring.
+A model file is compiled into three transducers, each with numbered states and arcs by symbol:
+
+* `Normaliser`: bytes to bytes, the model's own map of characters (its double array is read arc by arc, the
+  longest match is rewritten, other characters pass), white space to `▁`, the dummy prefix;
+* `Pieces`: characters to pieces, a trie whose final states write a piece and return to the start;
+* the byte fallback: a character that no piece begins with, to its UTF-8 byte pieces (or the unknown piece).
+
+Composed with an input they form a lattice (`lattice`): arcs from place to place with a piece and its cost.
+The encoding is the lattice's shortest path in the tropical semiring (`path`).
 
 For a unigram model the arc costs are the pieces' negative log probabilities.  A BPE model's
 scores are merge ranks, and its encoding isn't the path of the least rank sum.  It is the only path
 on which each piece, and each pair of neighbouring pieces, is what the merges make of its
-characters.  The pieces are therefore composed with a pair automaton whose arcs cost 0 for such
-pairs and infinity for others; so the shortest path is exactly the library's encoding.  Each prefix
-of an input has one finite path, so the search keeps one state a position.
+characters.  The lattice is therefore composed with a pair automaton, whose state is the last piece and whose arcs
+cost 0 for such pairs and infinity for others; so the shortest path is exactly the library's encoding.  Each prefix
+of an input has one finite path, so the search keeps one state a place.
 
 No piece holds `▁` after another character, so the lattice of a text is a chain of lattices,
 cut before each run of `▁`; a worker remembers the best paths of up to `CACHE` of them.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded each; literal `▁`
-is a space to the model, so it is decoded as one.
+is a space to the model, so it is decoded as one; a character map is applied before (decoding can't undo it).
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ CACHE = 500_000
 SPACE = "▁"
 #: Longer segments are not remembered.
 LONG = 64
+#: Arcs of the pair automaton that are remembered; others are made again.
+PAIRS = 1_000_000
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -70,6 +77,12 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+def normaliser_of(spec: bytes) -> Normaliser:
+    """From a model's normaliser message."""
+    x = dict(_fields(spec))
+    return Normaliser(x.get(2, b""), bool(x.get(3, 1)), bool(x.get(4, 1)), bool(x.get(5, 1)))
+
+
 class Best(dict):
     """The ids of the best paths of segments."""
 
@@ -83,12 +96,80 @@ class Best(dict):
         return ids
 
 
+class Normaliser:
+    """Text to what pieces are made of."""
+
+    def __init__(self, charsmap: bytes = b"", prefix: bool = True, squeeze: bool = False, escape: bool = True):
+        self.prefix, self.squeeze, self.escape = prefix, squeeze, escape
+        n = int.from_bytes(charsmap[:4], "little")
+        self.units = np.frombuffer(charsmap[4 : 4 + n], "<u4").tolist()
+        self.written = charsmap[4 + n :]
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """How many bytes from a place on the longest match has, and what is written for it."""
+        units, found = self.units, None
+        jump = lambda unit: (unit >> 10) << ((unit & (1 << 9)) >> 6)
+        state = jump(units[0])
+        for k in range(at, len(data)):
+            state ^= data[k]
+            if state >= len(units) or units[state] & ((1 << 31) | 0xFF) != data[k]:
+                break
+            unit = units[state]
+            state ^= jump(unit)
+            if unit >> 8 & 1:
+                start = units[state] & ((1 << 31) - 1)
+                found = k + 1 - at, self.written[start : self.written.index(b"\0", start)]
+        return found
+
+    def mapped(self, text: str) -> str:
+        if not self.units or text.isascii() and not any(ord(c) < 32 or ord(c) == 127 for c in text):
+            return text
+        data, out, at = text.encode("utf-8"), [], 0
+        while at < len(data):
+            found = self.longest(data, at)
+            if found:
+                out.append(found[1])
+                at += found[0]
+            else:
+                width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                out.append(data[at : at + width])
+                at += width
+        return b"".join(out).decode("utf-8", "replace")
+
+    def normalised(self, text: str) -> str:
+        text = self.mapped(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return ""
+        return ((" " if self.prefix else "") + text).replace(" ", SPACE) if self.escape else text
+
+
+class Pieces:
+    """The trie: arcs[state] leads on by a character, written[state] is the piece that ends there or -1."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.longest = max(map(len, ids), default=0)
+        self.arcs: list[dict[str, int]] = [{}]
+        self.written = [-1]
+        for piece, k in ids.items():
+            state = 0
+            for c in piece:
+                after = self.arcs[state].get(c)
+                if after is None:
+                    after = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.written.append(-1)
+                state = after
+            self.written[state] = k
+
+
 class Transducer:
     def __init__(self, path: str):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.bpe, self.prefix, self.unk = False, True, 0
+        self.bpe, self.normaliser = False, Normaliser()
         with open(path, "rb") as f:
             for number, value in _fields(f.read()):
                 if number == 1:
@@ -99,14 +180,11 @@ class Transducer:
                 elif number == 2:
                     self.bpe = dict(_fields(value)).get(3, 1) == 2
                 elif number == 3:
-                    x = dict(_fields(value))
-                    self.prefix = bool(x.get(3, 1))
-                    if x.get(2) or x.get(4, 1):
-                        raise ValueError("only models whose normaliser keeps every character are compiled")
+                    self.normaliser = normaliser_of(value)
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.unk = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
-        self.trie = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.trie = Pieces(self.ids)
         self.worst = min(self.scores) - 10.0
         self.spelled = [bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.best = Best(self)
@@ -130,33 +208,43 @@ class Transducer:
         """The pair automaton: whether its arc from piece a to piece b is finite ("" starts)."""
         found = self.pairs.get((a, b))
         if found is None:
-            found = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b]) and (not a or self.follows("", b))
+            found = self.merged(a + b) == ([a, b] if a else [b]) and (not a or self.follows("", b))
+            if len(self.pairs) < PAIRS:
+                self.pairs[a, b] = found
         return found
 
+    def lattice(self, text: str, j: int) -> list[tuple[int, str, float]]:
+        """The arcs that leave place j of the input composed with the pieces: (place, piece or lone character, cost)."""
+        arcs, written, scores, out, state, i = self.trie.arcs, self.trie.written, self.scores, [], 0, j
+        for c in text[j : j + self.trie.longest]:
+            state = arcs[state].get(c)
+            if state is None:
+                break
+            i += 1
+            k = written[state]
+            if k >= 0:
+                out.append((i, text[j:i], -scores[k]))
+        if not out or out[0][0] > j + 1:
+            out.insert(0, (j + 1, text[j], -self.worst))  # the byte fallback
+        return out
+
     def path(self, text: str) -> list[str]:
         """The pieces (or lone characters) of the shortest path through the lattice of a segment."""
-        n, ids, trie, pairs = len(text), self.ids, self.trie, self.pairs
+        n, bpe, known = len(text), self.bpe, self.pairs.get
         back: list[str | None] = [""] + [None] * n
         cost = [0.0] + [math.inf] * n
         for j in range(n):
             before = back[j]
             if before is None:
                 continue
-            for i in range(j + 1, n + 1):
-                piece = text[j:i]
-                if i > j + 1 and piece not in trie:
-                    break
-                k = ids.get(piece)
-                if k is None and i > j + 1:
-                    continue
-                if not self.bpe:
-                    c = cost[j] - (self.scores[k] if k is not None else self.worst)
-                    if c < cost[i]:
-                        back[i], cost[i] = piece, c
-                elif back[i] is None:
-                    finite = pairs.get((before, piece))
-                    if finite if finite is not None else self.follows(before, piece):
-                        back[i] = piece
+            for i, piece, c in self.lattice(text, j):
+                if bpe:
+                    if back[i] is None:
+                        finite = known((before, piece))
+                        if self.follows(before, piece) if finite is None else finite:  # its cost is 0
+                            back[i] = piece
+                elif cost[j] + c < cost[i]:
+                    back[i], cost[i] = piece, cost[j] + c
         out, i = [], n
         while i:
             out.append(back[i])
@@ -177,9 +265,9 @@ class Transducer:
         return array.array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        text = self.normaliser.normalised(text)
         if not text:
             return b""
-        text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         if SPACE * 2 in text or "\0" in text:
             segments = _SEGMENT.findall(text)
         else:
@@ -189,7 +277,7 @@ class Transducer:
     def decode(self, ids) -> str:
         """The inverted transducer: pieces to characters, runs of byte pieces to UTF-8."""
         text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return text[1:] if self.normaliser.prefix and text.startswith(" ") else text
 
 
 def transducer(path: str) -> Transducer:

@@ -194,6 +194,45 @@ def test_sentencepiece_equals_the_library(spark, odd, empty):
     assert back["text"] == "some text\n" and sentencepiece_fst.encode(empty, PIECES).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["identity", "nfkc", "nmt_nfkc", "nmt_nfkc_cf"])
+def test_normaliser_equals_the_library(rule):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    spec = dict(sentencepiece_fst._fields(lib.serialized_model_proto()))[3]
+    mine = sentencepiece_fst.normaliser_of(spec)
+    r = random.Random(16)
+    for _ in range(1500):
+        x = "".join(r.choice(["  ", " ", "a", "É", "ﬁ", "①", "ＡＢ", "　", "\t", "e\u0301", "日本", "½", "😀", "\u200b", "ß", "\x01", "ｶﾞ", "..."]) for _ in range(r.randint(0, 10)))
+        assert mine.normalised(x) == lib.normalize(x), repr(x)
+
+
+def test_lattice_and_bounded_pairs(monkeypatch):
+    t = sentencepiece_fst.Transducer(PIECES)
+    found = t.lattice("theory", 0)
+    assert [i for i, *_ in found] == sorted(i for i, *_ in found) and all(t.ids[p] >= 0 and p == "theory"[: len(p)] for _, p, _ in found)
+    assert t.lattice("\u0378x", 0) == [(1, "\u0378", -t.worst)]
+    want = t.path("counterrevolutionaries")
+    monkeypatch.setattr(sentencepiece_fst, "PAIRS", 3)
+    few = sentencepiece_fst.Transducer(PIECES)
+    assert few.path("counterrevolutionaries") == want and len(few.pairs) <= 3
+
+
+def test_unigram_path_is_the_shortest():
+    t = sentencepiece_fst.Transducer(PIECES)
+    t.bpe = False
+    r = random.Random(17)
+    t.scores = [-r.random() * 9 - 1 for _ in t.scores]
+    t.worst = min(t.scores) - 10.0
+
+    def cheapest(text):
+        return min((c + cheapest(text[i:]) for i, _, c in t.lattice(text, 0)), default=0.0) if text else 0.0
+
+    for word in ("theory", "▁counter", "aa\u0378b", "ing"):
+        cost = sum(-t.scores[t.ids[p]] if p in t.ids else -t.worst for p in t.path(word))
+        assert abs(cost - cheapest(word)) < 1e-9
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?q=1#y", "http://example.net/de/", "https://x.net", "http://notexample.com/de/1", "http://sub.example.com/de/1", "https://a.org/fr/z", "ftp://h\nost.com/p\nq?x"]
     d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1)).withColumn("f0", F.lit(2))
