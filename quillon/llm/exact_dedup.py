@@ -46,7 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Of each digest: one text as a rule.  The texts of colliding digests are carried on, others are dropped here.
     found = checkpointed(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")))
     plain, collided = found.filter("texts = 1").drop("texts"), found.filter("texts > 1").select("digest")
-    ids = rows.select("doc_id", "digest")
+    ids = checkpointed(rows.select("doc_id", "digest"))  # hot and other digests are joined each on their own
     parts = [to_members(ids, plain, "digest", "group_size")]
     if collided.take(1):
         wide = groups.join(collided, "digest", "left_semi")
