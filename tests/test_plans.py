@@ -235,6 +235,20 @@ def test_region_classes(spark):
     assert mapped(spark, services.region_class, kinds) == ["front"] * 13 + ["core"] * 4 + ["back"] * 10 + ["other"]
 
 
+def test_latest_events_are_limited_before_the_shuffle(spark):
+    from quillon.operators.sessions import latest_per
+
+    events = spark.range(1000).selectExpr("id AS event_id", "id % 3 AS user_id", "id AS ts")
+    plan = latest_per(events, "user_id", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
+def test_plans_shuffle_nothing(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = cleaning.clean(docs, preset("training"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_optional_subpackage():
     import __spark_entry__ as entry
 
