@@ -224,7 +224,7 @@ def in_three_pages(lines):
 
 @query(f"""WITH {WITH} SELECT doc_id, 3 AS pages, true AS same FROM decorated""")
 def page_split_and_join(spark, sf_dir):
-    """C5, G5."""
+    """C5."""
     d = decorated(spark, sf_dir).select("doc_id", in_three_pages(F.col("lines")).alias("t"))
     p = chunking.split_pages(F.col("t"))
     return d.select("doc_id", F.size(p).alias("pages"), (chunking.join_pages(p) == F.col("t")).alias("same"))

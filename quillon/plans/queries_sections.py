@@ -245,7 +245,7 @@ _CONF = [(k, a, b, c, d, e) for k, (a, b, c, d, e) in enumerate([(0.9, 0.8, 0.7,
 round(coalesce((coalesce(h,0)+coalesce(b,0)+coalesce(m,0)+coalesce(r,0)) / nullif((h IS NOT NULL)::INT+(b IS NOT NULL)::INT+(m IS NOT NULL)::INT+(r IS NOT NULL)::INT, 0), 0), 6) AS tracked
 FROM (SELECT *, (coalesce(p,0)+coalesce(q,0)) / nullif((p IS NOT NULL)::INT+(q IS NOT NULL)::INT, 0) AS m FROM (VALUES """ + ", ".join("(" + ", ".join("NULL" if x is None else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in r) + ")" for r in _CONF) + """) AS t(k, h, b, p, q, r))""")
 def overall_confidence(spark, sf_dir):
-    """Phases count each, or once as their mean."""
+    """Phases count each, or once as their mean."""
     d = spark.createDataFrame(_CONF, "k int, h double, b double, p double, q double, r double")
     h, b, p, q, r = (F.col(c) for c in "hbpqr")
     return d.select("k", F.round(metrics.overall_confidence(h, b, [p, q], r), 6).alias("overall"), F.round(metrics.tracker_confidence(h, b, [p, q], r), 6).alias("tracked"))

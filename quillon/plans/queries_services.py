@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import estimates, markdown, metadata, replies
+from ..functions import citations, estimates, fixed, markdown, metadata, replies
 from ..functions.lines import intersection, overlaps
-from ..operators import metrics, services, sessions, structure, validation
+from ..operators import chunking, metrics, services, sessions, structure, validation
+from ..operators.mining import line_view
 from ..sources import documents, exports, pages
+from .decorate import WITH, decorated
+from .queries_lines import TRIM
 from .queries_session import _SESSION, session
 
 QUERIES: dict = {}
@@ -191,7 +194,7 @@ def _escaped(words) -> str:
     return "|".join(words).replace("'", "''")
 
 
-@query(f"""SELECT conv_id, turn, regexp_matches(t, '{_escaped(structure.fixed.MATH_SIGNS)}') AS math, regexp_matches(t, '```|{_escaped(structure.fixed.CODE_WORDS)}') AS code FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN concat(text, ' x² ') WHEN 1 THEN concat('let ', text) ELSE text END AS t FROM conversations)""")
+@query(f"""SELECT conv_id, turn, regexp_matches(t, '{_escaped(fixed.MATH_SIGNS)}') AS math, regexp_matches(t, '```|{_escaped(fixed.CODE_WORDS)}') AS code FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN concat(text, ' x² ') WHEN 1 THEN concat('let ', text) ELSE text END AS t FROM conversations)""")
 def math_and_code(spark, sf_dir):
     """X21."""
     t = F.when(F.col("turn") % 4 == 0, F.concat("text", F.lit(" x² "))).when(F.col("turn") % 4 == 1, F.concat(F.lit("let "), "text")).otherwise(F.col("text"))
@@ -295,3 +298,97 @@ def ocr_requests(spark, sf_dir):
     kind = F.when(p % 2 == 0, "image/png").otherwise("application/pdf")
     address = F.when(p % 2 == 0, pages.data_url(kind, F.encode(F.concat(F.lit("x"), p.cast("string")), "UTF-8"))).otherwise(F.concat(F.lit("https://files/"), p.cast("string")))
     return _table(spark, sf_dir, "pages").select("page_id", pages.request(kind, address).alias("payload"))
+
+
+_CLEAN = r"trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 .,;]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def _plain_turn():
+    return F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 .,;]", " "), " +", " "))
+
+
+@query(f"""SELECT conv_id, turn, concat(t, ' x y a b') AS text, 2 AS n FROM (SELECT conv_id, turn, {_CLEAN} AS t FROM conversations)""")
+def markers_of_turns(spark, sf_dir):
+    """Bracketed and raised footnote markers removed from turns, and counted."""
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", citations.remove_footnote_markers(F.concat(_plain_turn(), F.lit(" x[12] y a^(3) b"))).alias("r"))
+    return d.select("conv_id", "turn", "r.text", "r.n")
+
+
+@query(f"""SELECT conv_id, turn, concat(t, ' as said, and both too . Value 3.14 ends') AS text FROM (SELECT conv_id, turn, regexp_replace(regexp_replace({_CLEAN}, '[,;]', '', 'g'), ' +', ' ', 'g') AS t FROM conversations)""")
+def citations_of_turns(spark, sf_dir):
+    """Citations removed from turns, numbers left alone, what citations leave behind cleared."""
+    t = F.regexp_replace(F.regexp_replace(_plain_turn(), "[,;]", ""), " +", " ")
+    cited = F.concat(t, F.lit(" as said (Smith, 2020), and both (Smith, 2018; Jones, 2019) too (ibid., p. 5). Value 3.14 (Jones & Smith, 2019, pp. 3-4) ends"))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", citations.remove_citations(cited)["text"].alias("text"))
+
+
+@query(rf"""WITH {WITH}, v AS (SELECT doc_id, generate_subscripts(lines, 1) - 1 AS line_no, {TRIM.format('unnest(lines)')} AS t FROM decorated)
+SELECT doc_id, count(*) AS n, min(line_no) AS first_line FROM v WHERE length(t) > 20 AND regexp_matches(t, '^[A-Z][a-zA-Z''\-]+,\s+[A-Z]') AND (regexp_matches(t, '\(\d{{4}}\)\s*\.') OR regexp_matches(t, '\d{{4}}\s*[.,]?\s*$')
+OR {" OR ".join(f"contains(t, '{w}')" for w in fixed.BIBLIOGRAPHY_WORDS)} OR (contains(t, '_') AND contains(t, '.')) OR length(t) - length(replace(t, '.', '')) >= 3) GROUP BY doc_id""")
+def bibliographies(spark, sf_dir):
+    """The lines of documents that are entries of a bibliography."""
+    v = line_view(decorated(spark, sf_dir)).filter(citations.is_bibliography(F.col("line")))
+    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").cast("long").alias("first_line"))
+
+
+@query(f"""SELECT conv_id, turn, concat('Title ', t, ' bold and slanted, link see !alt code end') AS plain, len(list_filter(regexp_split_to_array(concat('Title ', t, ' bold and slanted, link see !alt code end'), ' +'), lambda w: w <> '')) AS words FROM (SELECT conv_id, turn, {_CLEAN} AS t FROM conversations)""")
+def markdown_of_turns(spark, sf_dir):
+    """Turns in Markdown as plain text, and their words."""
+    t = F.concat(F.lit("## Title "), _plain_turn(), F.lit(" **bold** and *slanted*, [link](http://a.b) __see__ ![alt](i.png) `code` end"))
+    d = _table(spark, sf_dir, "conversations").withColumn("t", t)
+    return d.select("conv_id", "turn", markdown.to_plain(F.col("t")).alias("plain"), markdown.count_semantic_words(F.col("t")).cast("long").alias("words"))
+
+
+@query("""SELECT event_id, event_id % 6 + 1 AS n_rows, event_id % 4 + 1 AS n_columns FROM events""")
+def tables_of_events(spark, sf_dir):
+    """Rows and columns of tables of all sizes."""
+    e = F.col("event_id")
+    cells = lambda what, n: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit(what), n.cast("int")), " | "), F.lit(" |"))
+    t = F.concat_ws("\n", F.concat(F.lit("  "), cells("head", e % 4 + 1)), cells("---", e % 4 + 1), F.array_join(F.array_repeat(cells("x", e % 4 + 1), (e % 6).cast("int")), "\n"))
+    return _table(spark, sf_dir, "events").select("event_id", markdown.table_rows(t).cast("long").alias("n_rows"), markdown.table_columns(t).cast("long").alias("n_columns"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 60 THEN printf('%.1fs', s) ELSE printf('%dm %ds', CAST(floor(s / 60) AS INT), CAST(floor(s) AS INT) % 60) END AS duration,
+CASE WHEN b < 1000 THEN printf('%.0f bytes', b) WHEN b < 1000000 THEN printf('%.0f KB', b / 1000) WHEN b < 1000000000 THEN printf('%.1f MB', b / 1000000) ELSE printf('%.2f GB', b / 1000000000) END AS size, concat('$', printf('%.2f', c)) AS cost
+FROM (SELECT event_id, (event_id % 500) / 2.0 AS s, CAST(event_id % 7 AS DOUBLE) * 128 * power(10, event_id % 9) AS b, (event_id % 900) / 4.0 + 1 AS c FROM events)""")
+def numbers_of_events(spark, sf_dir):
+    """Durations, sizes and costs as they are shown."""
+    e = F.col("event_id")
+    size = (e % 7).cast("double") * 128 * F.pow(F.lit(10.0), e % 9)
+    return _table(spark, sf_dir, "events").select("event_id", estimates.shown_duration((e % 500) / 2.0).alias("duration"), estimates.shown_bytes(size).alias("size"), estimates.shown_cost(((e % 900) / 4.0 + 1).cast("decimal(18,6)")).alias("cost"))
+
+
+@query("""WITH v AS (SELECT event_id % 3 <> 0 AS valid, event_type AS reason, concat('s', user_id % 4) AS section FROM events)
+SELECT 'all' AS by, '' AS key, count(*) AS n, round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM v
+UNION ALL SELECT 'reason', reason, count(*), NULL FROM v WHERE NOT valid GROUP BY reason UNION ALL SELECT 'section', section, count(*), NULL FROM v WHERE NOT valid GROUP BY section""")
+def totals_of_checks(spark, sf_dir):
+    """What passed the checks, and failures by reason and by section."""
+    v = _table(spark, sf_dir, "events").select((F.col("event_id") % 3 != 0).alias("valid"), F.col("event_type").alias("reason"), F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("section"))
+    none = F.lit(None).cast("double")
+    entries = lambda by, name: F.transform(F.map_entries(name), lambda m: F.struct(F.lit(by).alias("by"), m["key"].alias("key"), m["value"].alias("n"), none.alias("pass_rate")))
+    head = F.array(F.struct(F.lit("all").alias("by"), F.lit("").alias("key"), F.col("total").alias("n"), F.round("pass_rate", 6).alias("pass_rate")))
+    return metrics.totals_by(v).select(F.explode(F.concat(head, entries("reason", "by_reason"), entries("section", "by_section"))).alias("r")).select("r.*")
+
+
+@query("""SELECT page_id, concat('# TITLE ', page_id, ' (W)', chr(10), chr(10), '---', chr(10), 'title: Title ', page_id, chr(10), 'author: W', chr(10), '---', chr(10), chr(10), 'body ', page_id, chr(10), chr(10), '*** <!-- END OF TITLE ', page_id, ' -->', chr(10)) AS text FROM pages""")
+def assembled_simply(spark, sf_dir):
+    """The simple form."""
+    n = F.col("page_id").cast("string")
+    return _table(spark, sf_dir, "pages").select("page_id", structure.assemble_simple(F.concat(F.lit(" body "), n, F.lit(" \n")), metadata.blank(F.concat(F.lit("Title "), n), F.lit("W"))).alias("text"))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 4 * 2 + 7 + length(CAST(page_id AS VARCHAR)) WHEN 1 THEN 8 + length(CAST(page_id AS VARCHAR)) + 1 + 9 ELSE 0 END AS metadata_length FROM pages""")
+def metadata_lengths(spark, sf_dir):
+    """How long a metadata block at the beginning of a text is."""
+    n = F.col("page_id").cast("string")
+    t = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("---\ntitle: "), n, F.lit("\n---\nbody"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("# Title "), n, F.lit("\nauthor: A\nbody text"))).otherwise("plain\ntext")
+    return _table(spark, sf_dir, "pages").select("page_id", structure.existing_metadata(t).cast("long").alias("metadata_length"))
+
+
+@query("""SELECT user_id, CAST(count(*) AS INT) AS pages, md5(string_agg(concat(event_type, event_id % 10), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY event_id)) AS digest FROM events GROUP BY user_id""")
+def pages_of_events(spark, sf_dir):
+    """Texts split into pages and joined again."""
+    d = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat("event_type", (F.col("event_id") % 10).cast("string")).alias("t")))).alias("a"))
+    text = F.array_join(F.transform("a", lambda x: x["t"]), "\n\n---\n\n")
+    d = d.select("user_id", chunking.split_pages(text).alias("p"))
+    return d.select("user_id", F.size("p").alias("pages"), F.md5(F.encode(chunking.join_pages(F.col("p")), "UTF-8")).alias("digest"))

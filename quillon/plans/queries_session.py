@@ -66,7 +66,7 @@ def session_totals(spark, sf_dir):
 
 @query(f"WITH {_SESSION}, u AS (SELECT * FROM s WHERE seq % 10 = 0) SELECT id, CASE WHEN seq % 10 = 0 THEN 'cancelled' ELSE status END AS status, seq % 10 = 3 OR in_library AS in_library FROM s WHERE seq % 13 <> 0")
 def session_changes(spark, sf_dir):
-    """Documents removed, updated and put into the library."""
+    """Documents removed, updated and put into the library."""
     s = session(spark, sf_dir)
     out = sessions.removed(s, s.filter("seq % 13 = 0").select("id"))
     out = sessions.updated(out, s.filter("seq % 10 = 0").select("id", F.lit("cancelled").alias("status")))
@@ -107,7 +107,7 @@ _EXT = {"pdf": "ocr", "png": "ocr", "TXT": "clean", "md": "clean", "exe": None}
 @query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/plain' WHEN 3 THEN 'text/markdown' END AS mime, CASE WHEN page_id % 5 < 2 THEN 'ocr' ELSE 'clean' END AS pathway,
 CASE WHEN page_id % 11 = 0 THEN 'empty' WHEN page_id % 11 = 1 THEN 'too_large' WHEN page_id % 5 = 4 THEN 'unsupported_type' WHEN page_id % 7 = 0 THEN 'too_many_pages' END AS error FROM pages""")
 def file_validation(spark, sf_dir):
-    """Types, routes and the first reason against a file."""
+    """Types, routes and the first reason against a file."""
     p = F.col("page_id")
     path = F.concat(F.lit("/in/f."), F.element_at(F.array(*[F.lit(x) for x in _EXT]), (p % 5 + 1).cast("int")))
     size = F.when(p % 11 == 0, 0).when(p % 11 == 1, 100_000_001).otherwise(1000)
@@ -118,7 +118,7 @@ def file_validation(spark, sf_dir):
 
 @query("SELECT page_id AS id, 1 AS n_pages, 'direct-text-import' AS model, length(html) AS n_chars, 0.0::DOUBLE AS cost FROM pages")
 def direct_import(spark, sf_dir):
-    """Markup is imported as it is."""
+    """Markup is imported as it is."""
     d = documents.from_table(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
     return d.select("id", F.size("result.pages").alias("n_pages"), F.col("result.model").alias("model"), F.length(F.get("result.pages", 0)["markdown"]).alias("n_chars"), F.col("result.cost").cast("double").alias("cost"))
 
@@ -181,7 +181,7 @@ def export_names(spark, sf_dir):
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.1 WHEN 1 THEN 0.3 WHEN 2 THEN CASE WHEN event_id % 10 > 0 THEN round(0.3 + 0.6 * (event_id % 3) / (event_id % 10), 6) ELSE 0.6 END ELSE 0.95 END AS percent FROM events""")
 def ocr_progress(spark, sf_dir):
-    """G18, G21."""
+    """Of an OCR run."""
     e = F.col("event_id")
     phase = F.when(e % 4 == 0, "preparing").when(e % 4 == 1, "uploading").when(e % 4 == 2, "processing").otherwise("finalizing")
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(metrics.progress_percent(phase, e % 3, e % 10), 6).alias("percent"))

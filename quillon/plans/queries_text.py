@@ -126,7 +126,7 @@ def footnote_markers(spark, sf_dir):
 @query(f"""WITH {WITH}, s AS (SELECT doc_id, {_TEXT} AS t FROM decorated)
 SELECT doc_id, len(regexp_extract_all(t, '```[a-zA-Z0-9]*\\n[\\s\\S]*?```|`[^`\\n]+`')) AS code_blocks, len(regexp_extract_all(t, '(?i:(?:doi:\\s*)?10\\.\\d{{4,}}/[^\\s]+)|\\b\\d+\\.\\d+\\b')) AS numbers, true AS same FROM s""")
 def protected_segments(spark, sf_dir):
-    """What is protected, and that nothing is lost by splitting and joining."""
+    """What is protected, and that nothing is lost by splitting and joining."""
     d = decorated(spark, sf_dir).select("doc_id", join_lines(F.col("lines")).alias("t"))
     t = F.col("t")
     return d.select("doc_id", F.size(extracted(t, CODE)).alias("code_blocks"), F.size(extracted(t, DOI_OR_DECIMAL)).alias("numbers"), (protecting(t, CODE, lambda x: x) == t).alias("same"))
@@ -149,14 +149,14 @@ for _p, _to in ((r"\A#{1,6}\s*", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*",
 
 @query(f"SELECT doc_id, md5({_STRIP}) AS digest FROM (SELECT doc_id, concat('# ', coalesce(text, ''), ' **b** *i* [l](u) _e_') AS t FROM documents)")
 def export_strip(spark, sf_dir):
-    """Whole texts of all documents, with a heading and emphasis around each."""
+    """K5: whole texts of all documents, with a heading and emphasis around each."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", F.md5(F.encode(markdown.strip_markdown(F.concat(F.lit("# "), F.coalesce("text", F.lit("")), F.lit(" **b** *i* [l](u) _e_"))), "UTF-8")).alias("digest"))
 
 
 @query()
 def export_strip_whole(spark, sf_dir):
-    """K5, X32 over whole texts, every document; tests compare it with brute force."""
+    """K5 over whole texts, every document; tests compare it with brute force."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", markdown.strip_markdown(F.col("text")).alias("stripped"))
 
@@ -222,7 +222,7 @@ def titles_from_names(spark, sf_dir):
 @query("""SELECT page_id, concat('---', chr(10), 'title: "A: ', page_id, '"', chr(10), 'author: Writer ', page_id, CASE WHEN page_id % 2 = 1 THEN concat(chr(10), 'chapters: ', page_id % 5 + 1) ELSE '' END, chr(10), '---') AS yaml,
 concat('# A: ', page_id, ' (WRITER ', page_id, ')') AS header, concat('**Title:** A: ', page_id, '  ', chr(10), '**Author:** Writer ', page_id) AS markdown FROM pages""")
 def metadata_rendering(spark, sf_dir):
-    """X38, R8."""
+    """X38."""
     p = F.col("page_id")
     title, author = F.concat(F.lit("A: "), p.cast("string")), F.concat(F.lit("Writer "), p.cast("string"))
     d = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", metadata.blank(title, author, F.when(p % 2 == 1, p % 5 + 1)).alias("m"))
