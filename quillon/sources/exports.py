@@ -121,11 +121,21 @@ def rendered(docs: DataFrame, formats: Sequence[str] = ("markdown",), options: E
     return unique_names(ready.select("id", "seq", F.explode(made).alias("m")).select("id", "seq", "m.*")).drop("seq")
 
 
-def unique_names(files: DataFrame, name: str = "filename", order: str = "seq") -> DataFrame:
-    """A name that came before gets -1, -2 and so on before its extension."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    again = F.regexp_replace(F.col(name), r"(\.[^.]*)?$", "")
-    return files.withColumn("__k", k).withColumn(name, F.when(F.col("__k") == 0, F.col(name)).otherwise(F.concat(again, F.lit("-"), F.col("__k").cast("string"), F.regexp_extract(name, r"(\.[^.]*)?$", 0)))).drop("__k")
+def unique_names(files: DataFrame, name: str = "filename", order: str = "seq", slots: int = 64) -> DataFrame:
+    """A name that came before gets -1, -2 and so on before its extension.
+
+    Rows are counted by name and slot of the order, so a name that very many share is numbered in as many tasks as there
+    are slots; the driver gets the ends of the slots.
+    """
+    ends = files.agg(F.percentile_approx(order, [k / slots for k in range(1, slots)], 10_000)).first()[0] or []
+    slot = F.size(F.filter(F.array(*map(F.lit, sorted(set(ends)))).cast("array<double>"), lambda e: e < F.col(order)))
+    dealt = files.withColumn("__slot", F.coalesce(slot, F.lit(0)))
+    counts = dealt.groupBy(name, "__slot").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(name, "__slot", (F.sum("__n").over(Window.partitionBy(name).orderBy("__slot")) - F.col("__n")).alias("__before"))
+    numbered = dealt.withColumn("__k", F.row_number().over(Window.partitionBy(name, "__slot").orderBy(order)) - 1).join(before, [name, "__slot"])
+    k = F.col("__k") + F.col("__before")
+    again = F.concat(F.regexp_replace(F.col(name), r"(\.[^.]*)?$", ""), F.lit("-"), k.cast("string"), F.regexp_extract(name, r"(\.[^.]*)?$", 0))
+    return numbered.withColumn(name, F.when(k == 0, F.col(name)).otherwise(again)).select(*files.columns)
 
 
 def export_batch(docs: DataFrame, folder: str, formats: Sequence[str] = ("markdown",), options: ExportOptions = ExportOptions()) -> DataFrame:

@@ -235,6 +235,33 @@ def test_region_classes(spark):
     assert mapped(spark, services.region_class, kinds) == ["front"] * 13 + ["core"] * 4 + ["back"] * 10 + ["other"]
 
 
+@pytest.mark.parametrize("slots", [1, 3, 64])
+def test_unique_names(spark, slots):
+    from quillon.sources.exports import unique_names
+
+    r = random.Random(3)
+    rows = [(k, r.choice(["Untitled.md", "Untitled.md", "a.b.txt", "plain", f"own{k}.md"])) for k in range(300)]
+    seen: dict = {}
+    want = {}
+    for k, name in rows:
+        n = seen[name] = seen.get(name, -1) + 1
+        stem, dot, end = name.rpartition(".") if "." in name else (name, "", "")
+        want[k] = name if not n else f"{stem}-{n}{dot}{end}"
+    d = spark.createDataFrame(rows, "seq long, filename string")
+    got = {x["seq"]: x["filename"] for x in unique_names(d, slots=slots).collect()}
+    assert got == want and unique_names(d.limit(0)).count() == 0
+
+
+def test_export_batch(spark, tmp_path):
+    from quillon.plans.queries_session import _exportable
+    from quillon.sources.exports import export_batch
+
+    d = _exportable(spark, "/root/testdata/sf0.001")
+    left = export_batch(d, str(tmp_path / "out"), ("markdown", "json")).collect()
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert {x["reason"] for x in left} == {"status failed"} and len(left) + written.filter("format = 'json'").count() == d.count()
+
+
 def test_latest_events_are_limited_before_the_shuffle(spark):
     from quillon.operators.sessions import latest_per
 
