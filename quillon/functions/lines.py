@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-#: Each of these ends a line, so a CR LF pair ends two.
-NEWLINES = r"[\n\r\x0B\f\u0085\u2028\u2029]"
+#: Each of these ends a line, so a CR LF pair ends two; the range is line feed, vertical tab, form feed and carriage return.
+NEWLINES = r"[\n-\r\u0085\u2028\u2029]"
 #: Space separators and the tab.
 _BLANKS = "\t \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _SPACE = r"[\s\u0085\p{Z}]"
@@ -27,6 +27,11 @@ def split_lines(text: Column) -> Column:
     return F.split(text, NEWLINES, -1)
 
 
+def relined(text: Column) -> Column:
+    """The lines of a text that `join_lines` made: no other line ends are in it, and one character is split at without a pattern."""
+    return F.split(text, "\n", -1)
+
+
 def join_lines(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 

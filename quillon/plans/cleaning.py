@@ -21,7 +21,7 @@ from ..functions import fixed
 from ..functions.chars import clean_characters
 from ..functions.citations import remove_citations, remove_footnote_markers
 from ..functions.estimates import reduction, tokens
-from ..functions.lines import join_lines, let, split_lines
+from ..functions.lines import join_lines, let, relined, split_lines
 from ..functions.markdown import count_semantic_words
 from ..functions.metadata import FIELDS, blank, merged
 from ..functions.replies import metadata as metadata_reply
@@ -153,7 +153,7 @@ def auxiliary_lists(df: DataFrame, s: Settings) -> DataFrame:
 
 
 def _on_text(df: DataFrame, step: int, change: Callable[[Column], Column], confidence: float | None = None) -> DataFrame:
-    out = split_lines(change(join_lines(F.col("lines"))))
+    out = relined(change(join_lines(F.col("lines"))))
     return _logged(df, step, out, None if confidence is None else F.lit(confidence))
 
 
@@ -164,7 +164,7 @@ def citations(df: DataFrame, s: Settings) -> DataFrame:
 def footnotes(df: DataFrame, s: Settings) -> DataFrame:
     """Markers, then sections of notes; both count as changes of the step."""
     marked = lambda t: protecting(t, shield(), lambda x: remove_footnote_markers(x)["text"], TRIGGER)
-    df = df.withColumn("__left", split_lines(marked(join_lines(F.col("lines")))))
+    df = df.withColumn("__left", relined(marked(join_lines(F.col("lines")))))
     left = F.col("__left")
     found = _ranges(b.notes_sections(left), 0.9)
     df = df.withColumn("__notes", _checked("footnotesEndnotes", F.col(NOTES), found, s) if NOTES in df.columns else found)
@@ -217,7 +217,7 @@ def structured(df: DataFrame, s: Settings) -> DataFrame:
     meta = F.col("meta") if "meta" in df.columns else blank(F.col("title"))
     meta = F.struct(*[meta[f].alias(f) for f in ("title", *FIELDS)], F.col("__chapters").alias("chapters"), F.col("__parts").alias("has_parts"))
     text = assemble(strip_metadata(join_lines(lines)), meta, s.metadata_format, s.chapter_style if s.chapters else "none", s.end_style)
-    return _logged(df, 15, split_lines(text), changes=F.col("__chapters")).drop("__chapters", "__parts")
+    return _logged(df, 15, relined(text), changes=F.col("__chapters")).drop("__chapters", "__parts")
 
 
 FUNCTIONS = {1: analyzed, 2: extract_metadata, 3: page_numbers, 4: headers_footers, 5: front_matter, 6: table_of_contents, 7: back_matter, 8: index, 9: auxiliary_lists, 10: citations, 11: footnotes, 12: characters, 13: reflowed, 14: paragraph_length, 15: structured}
