@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 
 from .common import small, text_of
 
-CACHE = 500_000
+CACHE = 1_000_000
 SPACE = "▁"
 #: Longer segments are not remembered.
 LONG = 64
@@ -146,22 +146,11 @@ class Normaliser:
 
 
 class Pieces:
-    """The trie: arcs[state] leads on by a character, written[state] is the piece that ends there or -1."""
+    """The trie: a state is what was read since the start, so an arc leads on if its end is one of the states; written[state] is the piece that ends there."""
 
     def __init__(self, ids: dict[str, int]):
-        self.longest = max(map(len, ids), default=0)
-        self.arcs: list[dict[str, int]] = [{}]
-        self.written = [-1]
-        for piece, k in ids.items():
-            state = 0
-            for c in piece:
-                after = self.arcs[state].get(c)
-                if after is None:
-                    after = self.arcs[state][c] = len(self.arcs)
-                    self.arcs.append({})
-                    self.written.append(-1)
-                state = after
-            self.written[state] = k
+        self.states = {p[:n] for p in ids for n in range(1, len(p) + 1)}
+        self.written = ids
 
 
 class Transducer:
@@ -215,42 +204,52 @@ class Transducer:
 
     def lattice(self, text: str, j: int) -> list[tuple[int, str, float]]:
         """The arcs that leave place j of the input composed with the pieces: (place, piece or lone character, cost)."""
-        arcs, written, scores, out, state, i = self.trie.arcs, self.trie.written, self.scores, [], 0, j
-        for c in text[j : j + self.trie.longest]:
-            state = arcs[state].get(c)
-            if state is None:
+        out = []
+        for i in range(j + 1, len(text) + 1):
+            state = text[j:i]
+            if state not in self.trie.states:
                 break
-            i += 1
-            k = written[state]
-            if k >= 0:
-                out.append((i, text[j:i], -scores[k]))
+            k = self.trie.written.get(state)
+            if k is not None:
+                out.append((i, state, -self.scores[k]))
         if not out or out[0][0] > j + 1:
             out.insert(0, (j + 1, text[j], -self.worst))  # the byte fallback
         return out
 
     def path(self, text: str) -> list[str]:
         """The pieces (or lone characters) of the shortest path through the lattice of a segment."""
-        n, bpe, known = len(text), self.bpe, self.pairs.get
+        n = len(text)
         back: list[str | None] = [""] + [None] * n
-        cost = [0.0] + [math.inf] * n
-        for j in range(n):
-            before = back[j]
-            if before is None:
-                continue
-            for i, piece, c in self.lattice(text, j):
-                if bpe:
-                    if back[i] is None:
-                        finite = known((before, piece))
-                        if self.follows(before, piece) if finite is None else finite:  # its cost is 0
-                            back[i] = piece
-                elif cost[j] + c < cost[i]:
-                    back[i], cost[i] = piece, cost[j] + c
+        if self.bpe:
+            self._finite(text, back)
+        else:
+            cost = [0.0] + [math.inf] * n
+            for j in range(n):
+                for i, piece, c in self.lattice(text, j):
+                    if cost[j] + c < cost[i]:
+                        back[i], cost[i] = piece, cost[j] + c
         out, i = [], n
         while i:
             out.append(back[i])
             i -= len(back[i])
         return out[::-1]
 
+    def _finite(self, text: str, back: list[str | None]) -> None:
+        """The lattice composed with the pair automaton, arc by arc as the search comes to each place: arcs of cost 0 alone, and the first that reaches a place is the only one."""
+        n, known, states, written = len(text), self.pairs.get, self.trie.states, self.trie.written
+        for j in range(n):
+            before = back[j]
+            if before is None:
+                continue
+            for i in range(j + 1, n + 1):
+                piece = text[j:i]
+                if piece not in states and i > j + 1:
+                    break
+                if back[i] is None and (piece in written or i == j + 1):  # a lone character without a piece is the byte fallback's
+                    finite = known((before, piece))
+                    if self.follows(before, piece) if finite is None else finite:
+                        back[i] = piece
+
     def emitted(self, segment: str) -> bytes:
         """The ids of a segment as little-endian 32-bit integers, with the byte fallback for what no piece covers."""
         ids = []
