@@ -52,13 +52,17 @@ def paragraph_words(kind: Column) -> Column:
 
 
 def fresh(cache: DataFrame, now: Column, seconds: int = PATTERN_SECONDS, at: str = "cached_at") -> DataFrame:
-    """The kept patterns that aren't older than seconds."""
-    return cache.filter(F.unix_timestamp(now) - F.unix_timestamp(at) <= seconds)
+    """The kept patterns that aren't older than seconds, fractions of one included."""
+    return cache.filter(now - F.col(at) <= F.make_dt_interval(secs=F.lit(seconds)))
 
 
-def with_patterns(docs: DataFrame, cache: DataFrame, detect: Column, now: Column, seconds: int = PATTERN_SECONDS, id_col: str = "doc_id") -> DataFrame:
-    """docs with a column patterns: kept ones (doc_id, patterns, cached_at; the latest counts) that are fresh, else detect; from_cache says which."""
-    kept = fresh(cache, now, seconds).groupBy("doc_id").agg(F.max_by("patterns", "cached_at").alias("__kept")).withColumnRenamed("doc_id", "__id")
+def with_patterns(docs: DataFrame, cache: DataFrame, detect: Column, now: Column, seconds: int = PATTERN_SECONDS, id_col: str = "doc_id", order: str | None = None) -> DataFrame:
+    """docs with a column patterns: kept ones (doc_id, patterns, cached_at; the latest counts) that are fresh, else detect; from_cache says which.
+
+    Null patterns are none.  Of patterns kept at the same time the least of a column order counts, if one is named.
+    """
+    latest = F.col("cached_at") if order is None else F.struct("cached_at", (-F.col(order)).alias("order"))
+    kept = fresh(cache, now, seconds).filter(F.col("patterns").isNotNull()).groupBy("doc_id").agg(F.max_by("patterns", latest).alias("__kept")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(kept, docs[id_col] == kept["__id"], "left")
     return joined.withColumn("from_cache", F.col("__kept").isNotNull()).withColumn("patterns", F.coalesce("__kept", detect)).drop("__kept", "__id")
 

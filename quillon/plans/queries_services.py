@@ -67,10 +67,10 @@ SELECT u.user_id, coalesce(k.patterns, 'detected') AS patterns, k.patterns IS NO
 def pattern_cache(spark, sf_dir):
     """Q8: patterns kept for an hour; events stand for what was kept, the last one for now."""
     e = _table(spark, sf_dir, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
     docs = e.select("user_id").distinct()
-    cache = e.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("patterns"), F.col("ts").alias("cached_at"))
-    return services.with_patterns(docs, cache, F.lit("detected"), now, id_col="user_id")
+    cache = e.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("patterns"), F.col("ts").alias("cached_at"), "event_id")
+    cache = cache.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    return services.with_patterns(docs, cache, F.lit("detected"), F.col("now"), id_col="user_id", order="event_id")
 
 
 @query(f"""WITH {_SESSION}, r AS (SELECT seq, id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status <> 'failed' THEN concat('e', seq) END AS error FROM s)

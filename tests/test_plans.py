@@ -280,3 +280,18 @@ def test_optional_subpackage():
     import __spark_entry__ as entry
 
     assert entry._optional("quillon.missing.queries") is None and entry._optional("quillon.plans.registry") is not None
+
+
+def test_kept_patterns_are_fresh_to_the_fraction_of_a_second(spark, tmp_path):
+    """3600.8 s are over an hour though whole seconds differ by 3600; null patterns are none; of ties the first event counts."""
+    duckdb = pytest.importorskip("duckdb")
+    from quillon.plans.queries_services import QUERIES, SQL
+
+    rows = "(1, 7, '2024-03-01 11:00:00.1', 'view'), (2, 8, '2024-03-01 11:00:00.9', 'click'), (3, 9, '2024-03-01 11:30:00', 'signup'), (4, 9, '2024-03-01 11:40:00', NULL), (5, 10, '2024-03-01 12:00:00.9', 'b'), (6, 10, '2024-03-01 12:00:00.9', 'c'), (7, 11, '2024-03-01 09:00:00', 'x')"
+    spark.sql(f"SELECT CAST(a AS LONG) AS event_id, CAST(b AS LONG) AS user_id, CAST(c AS TIMESTAMP_NTZ) AS ts, d AS event_type FROM VALUES {rows} AS t(a, b, c, d)").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        wanted = sorted(db.execute(SQL["pattern_cache"]).fetchall())
+    got = QUERIES["pattern_cache"](spark, str(tmp_path)).select("user_id", "patterns", "from_cache").collect()
+    assert sorted(map(tuple, got)) == wanted
+    assert wanted[:2] == [(7, "detected", False), (8, "click", True)]
