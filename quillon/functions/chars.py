@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .lines import join_lines, let, split_lines, trim
+from .lines import beyond_ascii, has_any, join_lines, let, split_lines, trim
 from .segments import CODE, protecting
 
 
@@ -26,28 +26,39 @@ def _where(text: Column, test: str, change) -> Column:
     return let(lambda t: F.when(t.rlike(test), change(t)).otherwise(t), text)
 
 
+def _with(text: Column, literals: Sequence[str], change) -> Column:
+    """change where one of some literals occurs."""
+    return let(lambda t: F.when(has_any(t, *literals), change(t)).otherwise(t), text)
+
+
+def _beyond_ascii(text: Column, change) -> Column:
+    """change for texts with other than ASCII characters."""
+    return let(lambda t: F.when(beyond_ascii(t), change(t)).otherwise(t), text)
+
+
 def fix_mojibake(text: Column) -> Column:
     """Broken encodings repaired, the longest first, so that none hides another."""
     one_of = lambda at: "[" + "".join(sorted({re.escape(k[at]) for k in fixed.MOJIBAKE})) + "]"
     broken = one_of(0) + one_of(1)  # two classes, as an alternative for each prefix would be tried at every character
-    return _where(text, broken, lambda t: _replaced(t, sorted(fixed.MOJIBAKE.items(), key=lambda p: (-len(p[0]), p[0]))))
+    return _beyond_ascii(text, lambda s: _where(s, broken, lambda t: _replaced(t, sorted(fixed.MOJIBAKE.items(), key=lambda p: (-len(p[0]), p[0])))))
 
 
 def expand_ligatures(text: Column) -> Column:
-    found = "[" + "".join(fixed.LIGATURES) + "]"
-    return _where(text, found, lambda t: _replaced(t, fixed.LIGATURES.items()))
+    return _beyond_ascii(text, lambda s: _where(s, "[" + "".join(fixed.LIGATURES) + "]", lambda t: _replaced(t, fixed.LIGATURES.items())))
 
 
 def remove_invisible(text: Column) -> Column:
-    return F.translate(text, fixed.INVISIBLE, "")
+    return _beyond_ascii(text, lambda s: _where(s, f"[{fixed.INVISIBLE}]", lambda t: F.translate(t, fixed.INVISIBLE, "")))
 
 
 def fix_ocr_digits(text: Column) -> Column:
     """O between digits becomes 0, from left to right, and l between digits or before one at a word's start becomes 1."""
     zero = r"(?:(?<=[\p{N}.,])|\G(?<=O))O(?=[O\p{N}.,]|\s|$|[\p{P}&&[^.,]])"
     one = r"(?<=[\p{N}.,])l(?=[\p{N}.,])|(?:(?<=\s)|^)l(?=\p{N})"
-    zeros = _where(text, r"[\p{N}.,]O", lambda t: F.regexp_replace(t, zero, "0"))
-    return _where(zeros, r"[\p{N}.,\s]l[\p{N}.,]|^l\p{N}", lambda t: F.regexp_replace(t, one, "1"))
+    # The letter comes first in the tests, as few characters are it.
+    zeros = _where(text, r"O(?<=[\p{N}.,]O)", lambda t: F.regexp_replace(t, zero, "0"))
+    el = lambda t: t.rlike(r"l[\p{N}.,](?<=[\p{N}.,\s]l.)") | (t.startswith("l") & t.rlike(r"^l\p{N}"))
+    return let(lambda t: F.when(el(t), F.regexp_replace(t, one, "1")).otherwise(t), zeros)
 
 
 def _dash_remnants(line: Column) -> Column:
@@ -59,24 +70,27 @@ def normalize_dashes(lines: Column) -> Column:
 
     def one(line):
         x = _sub(_dash_remnants(line), ("--", "—"), ("―", "—"), (r"(?<=\S)—", " —"), (r"—(?=\S)", "— "), (" – ", " — "), ("[‒‑]", "-"), ("  +", " "))
-        return F.when(trim(line).isin("---", "***", "___") | ~line.rlike("[-–—―‒‑]|  "), line).otherwise(_dash_remnants(x))
+        return F.when(~line.rlike("[-–—―‒‑]|  ") | trim(line).isin("---", "***", "___"), line).otherwise(_dash_remnants(x))
 
     return F.transform(lines, one)
 
 
 def remove_decorative_dashes(lines: Column) -> Column:
     """Without lines of long dashes, page numbers between them, and runs of them inside lines."""
-    bare = F.filter(lines, lambda x: ~(trim(x).rlike(r"^[—\s]+$") | x.rlike(r"^\s*—\s*[\divxlcdmIVXLCDM]+\s*—\s*$")))
+    might = lambda x: x.rlike(r"[—\n-\r\u0085\u2028\u2029]")
+    bare = F.filter(lines, lambda x: ~might(x) | ~(trim(x).rlike(r"^[—\s]+$") | x.rlike(r"^\s*—\s*[\divxlcdmIVXLCDM]+\s*—\s*$")))
     return F.transform(bare, lambda x: F.when(x.contains("—"), F.regexp_replace(x, r"(?:—\s*){2,}", "")).otherwise(x))
 
 
 def normalize_quotes(text: Column) -> Column:
-    return F.translate(text, "".join(fixed.QUOTES), "".join(to * len(those) for those, to in fixed.QUOTES.items()))
+    found = lambda t: t.contains("`") | (beyond_ascii(t) & t.rlike("[" + "".join(fixed.QUOTES) + "]"))
+    straight = lambda t: F.translate(t, "".join(fixed.QUOTES), "".join(to * len(those) for those, to in fixed.QUOTES.items()))
+    return let(lambda t: F.when(found(t), straight(t)).otherwise(t), text)
 
 
 def remove_emphasis(text: Column) -> Column:
     pairs = (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"(?<![*\n])\*([^*\n]+)\*(?!\*)", "$1"), (r"(?<![_\n])_([^_\n]+)_(?!_)", "$1")
-    return _where(text, "[*_]", lambda t: _sub(t, *pairs))
+    return _with(text, "*_", lambda t: _sub(t, *pairs))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -88,11 +102,11 @@ def clean_characters(text: Column, removed: Sequence[str] = fixed.REMOVED_CHARAC
 
     def plain(t):
         t = fix_ocr_digits(remove_invisible(expand_ligatures(fix_mojibake(t))))
-        t = _where(t, r"[-–—―‒‑\r\x0B\f\u0085\u2028\u2029]|  ", lambda x: join_lines(remove_decorative_dashes(normalize_dashes(split_lines(x)))))
+        t = _where(t, r"[-–—―‒‑\x0B-\r\u0085\u2028\u2029]|  ", lambda x: join_lines(remove_decorative_dashes(normalize_dashes(split_lines(x)))))
         t = remove_emphasis(normalize_quotes(t))
-        t = _where(t, r"!\[", lambda x: F.regexp_replace(x, r"!\[.*?\]\(.*?\)", ""))
-        t = F.translate(t, "[]", "()")
+        t = _with(t, ["!["], lambda x: F.regexp_replace(x, r"!\[.*?\]\(.*?\)", ""))
+        t = _with(t, "[]", lambda x: F.translate(x, "[]", "()"))
         t = _replaced(t, [(c, "") for c in removed if c not in ("[", "]", "—")])
-        return _where(_where(t, "  ", lambda x: F.regexp_replace(x, "  +", " ")), r"\(\s*\)", lambda x: F.regexp_replace(x, r"\(\s*\)", ""))
+        return _with(_with(t, ["  "], lambda x: F.regexp_replace(x, "  +", " ")), "(", lambda x: F.regexp_replace(x, r"\(\s*\)", ""))
 
     return protecting(text, CODE, plain, "`")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .lines import count_changes, join_lines, let, split_lines, trim
+from .lines import beyond_ascii, count_changes, has_any, join_lines, let, split_lines, trim
 from .segments import DOI_OR_DECIMAL, protecting
 
 
@@ -42,8 +42,15 @@ def is_bibliography(line: Column) -> Column:
 
 
 def clean_orphans(text: Column) -> Column:
-    """What citations leave behind, in this order; a text without the characters that the patterns need is left at once."""
-    return _where(text, r"[(,]|;\s*\)|  ", lambda t: reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), (*fixed.ORPHANS, ("  +", " ")), t))
+    """What citations leave behind, in this order; a text without the characters that the patterns need is left at once.
+
+    Without an opening parenthesis only the patterns that need none are tried, each where it can match.
+    """
+    blanks = " \t\n\x0b\x0c\r"
+    needs = {r",\s*,": (",,", *(f"{b}," for b in blanks)), r"\s+,": tuple(f"{b}," for b in blanks), r";\s*\)": (")",), "  +": ("  ",)}
+    pairs = (*fixed.ORPHANS, ("  +", " "))
+    few = lambda t: reduce(lambda c, p: let(lambda x: F.when(has_any(x, *needs[p[0]]), F.regexp_replace(x, p[0], p[1])).otherwise(x), c), [p for p in pairs if p[0] in needs], t)
+    return let(lambda t: F.when(t.contains("("), reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), pairs, t)).otherwise(few(t)), text)
 
 
 def _one_line(line: Column, patterns: Sequence[str]) -> Column:
@@ -59,17 +66,29 @@ def remove_citations(text: Column, patterns: Sequence[str] = ()) -> Column:
     Bibliography lines stay, decimals and DOIs are never touched, and a document's own patterns come
     before the common ones, which serve where those find nothing.
     """
-    might = r"[(\[]|[²³¹⁰-⁹]|(?i:ibid|op\.?\s*cit|loc\.?\s*cit)"
-    lines = F.transform(split_lines(text), lambda x: F.when(~x.rlike(might) | is_bibliography(x) if not patterns else is_bibliography(x), x).otherwise(_one_line(x, patterns)))
-    out = F.regexp_replace(F.regexp_replace(join_lines(lines), r"\(\s*\)", ""), r"\[\s*\]", "")
-    return let(lambda t, done: F.struct(done.alias("text"), count_changes(t, done).alias("n")), text, clean_orphans(out))
+    return let(lambda t, done: F.struct(done.alias("text"), count_changes(t, done).alias("n")), text, without_citations(text, patterns))
+
+
+def without_citations(text: Column, patterns: Sequence[str] = ()) -> Column:
+    """The text that `remove_citations` leaves, without counting."""
+    # ibid and cit are looked for from one letter on before the words are, as a choice would be tried at every character.
+    words = lambda x: x.rlike("[Ii](?:[Bb][Ii][Dd]|(?<=[Cc][Ii])[Tt])") & x.rlike(r"(?i:ibid|op\.?\s*cit|loc\.?\s*cit)")
+    might = lambda x: has_any(x, "(", "[") | (beyond_ascii(x) & x.rlike("[²³¹⁰-⁹]")) | words(x)
+    lines = F.transform(split_lines(text), lambda x: F.when(~might(x) | is_bibliography(x) if not patterns else is_bibliography(x), x).otherwise(_one_line(x, patterns)))
+    for mark, pattern in (("(", r"\(\s*\)"), ("[", r"\[\s*\]")):
+        lines = let(lambda t, m=mark, p=pattern: F.when(t.contains(m), F.regexp_replace(t, p, "")).otherwise(t), join_lines(lines) if mark == "(" else lines)
+    return clean_orphans(lines)
 
 
 def remove_footnote_markers(text: Column, pattern: str | None = None) -> Column:
     """A struct of the text without markers and their number."""
     if pattern:
         return remove_patterns(text, [pattern, *fixed.FOOTNOTE_MARKERS])
-    return let(lambda t: F.when(t.rlike(r"[¹²³⁰-⁹\[^*†‡§¶‖]"), remove_patterns(t, fixed.FOOTNOTE_MARKERS)).otherwise(F.struct(t.alias("text"), F.lit(0).alias("n"))), text)
+    return let(lambda t: F.when(_marked(t), remove_patterns(t, fixed.FOOTNOTE_MARKERS)).otherwise(F.struct(t.alias("text"), F.lit(0).alias("n"))), text)
+
+
+def _marked(text: Column) -> Column:
+    return has_any(text, *"[^*") | (beyond_ascii(text) & text.rlike("[¹²³⁰-⁹†‡§¶‖]"))
 
 
 def count_citations(text: Column) -> Column:

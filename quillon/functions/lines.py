@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -23,8 +24,30 @@ def let(body: Callable[..., Column], *values: Column) -> Column:
     return F.get(F.transform(F.array(bound), lambda r: body(*[r[f"v{k}"] for k in range(len(values))])), 0)
 
 
+def has_any(text: Column, *literals: str) -> Column:
+    """Whether one of some literals occurs; bytes are compared, so the text isn't decoded as for a pattern."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+
+
+def beyond_ascii(text: Column) -> Column:
+    """Whether a text has other than ASCII characters."""
+    return F.octet_length(text) > F.length(text)
+
+
+def has_other_ends(text: Column) -> Column:
+    """Whether a line end other than the line feed occurs."""
+    return text.rlike(r"[\x0B-\r\u0085\u2028\u2029]")
+
+
+def ends_in(text: Column, marks: str) -> Column:
+    """What the pattern [marks]$ finds, which also fits before a line end that is the last character."""
+    last = reduce(lambda a, b: a | b, [F.endswith(text, F.lit(m)) for m in marks])
+    return last | (text.rlike(NEWLINES) & text.rlike(f"[{marks}]$"))
+
+
 def split_lines(text: Column) -> Column:
-    return F.split(text, NEWLINES, -1)
+    """Most texts have line feeds only, at which is split without a pattern."""
+    return let(lambda t: F.when(has_other_ends(t), F.split(t, NEWLINES, -1)).otherwise(relined(t)), text)
 
 
 def relined(text: Column) -> Column:
@@ -50,7 +73,8 @@ def words(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\s\u0085\p{Z}]+"))
+    """Visible ASCII is named first, as most characters are, and the rest of the class isn't looked at for them."""
+    return F.regexp_count(text, F.lit(r"[!-~[^\s\u0085\p{Z}]]+"))
 
 
 def count_lines(text: Column) -> Column:

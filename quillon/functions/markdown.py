@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from .chars import remove_emphasis
-from .lines import count_words, join_lines, split_lines, trim_all
+from .lines import count_words, has_any, has_other_ends, join_lines, let, split_lines, trim_all
 
 
 def _sub(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -16,13 +16,22 @@ def _sub(text: Column, *pairs: tuple[str, str]) -> Column:
 
 def to_plain(text: Column) -> Column:
     """For counting.  Links are unwrapped before images, so an image leaves its alternative text after `!`."""
-    text = join_lines(F.transform(split_lines(text), lambda x: F.regexp_replace(x, r"^#{1,6}\s+", "")))
-    text = _sub(remove_emphasis(text), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[.*?\]\(.*?\)", ""), (r"`([^`]+)`", "$1"), ("  +", " "))
-    return trim_all(text)
+    return trim_all(_unmarked(text))
+
+
+def _unmarked(text: Column) -> Column:
+    """Each pattern is tried only where a character that it needs occurs."""
+    line = lambda x: F.when(x.startswith("#"), F.regexp_replace(x, r"^#{1,6}\s+", "")).otherwise(x)
+    text = let(lambda t: F.when(t.contains("#") | has_other_ends(t), join_lines(F.transform(split_lines(t), line))).otherwise(t), text)
+    where = lambda t, found, pattern, to: let(lambda x: F.when(has_any(x, found), F.regexp_replace(x, pattern, to)).otherwise(x), t)
+    for found, pattern, to in (("](", r"\[([^\]]+)\]\([^)]+\)", "$1"), ("![", r"!\[.*?\]\(.*?\)", ""), ("`", r"`([^`]+)`", "$1"), ("  ", "  +", " ")):
+        text = where(remove_emphasis(text) if found == "](" else text, found, pattern, to)
+    return text
 
 
 def count_semantic_words(text: Column) -> Column:
-    return count_words(to_plain(text))
+    """Blanks at the ends are no words."""
+    return count_words(_unmarked(text))
 
 
 def cleaned_plain(text: Column) -> Column:

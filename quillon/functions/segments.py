@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from .lines import let
+from .lines import beyond_ascii, has_any, let
 
 FENCED = r"```[a-zA-Z0-9]*\n[\s\S]*?```"
 INLINE_CODE = r"`[^`\n]+`"
@@ -40,10 +40,29 @@ def protecting(text: Column, protected: str, change: Callable[[Column], Column],
 
 
 def _protecting(text: Column, protected: str, change: Callable[[Column], Column], trigger: str | None) -> Column:
-    plain = F.transform(F.split(text, f"(?:{protected})", -1), lambda x: change(x))
-    kept = F.regexp_extract_all(text, F.lit(f"({protected})"), F.lit(0))
+    parts = F.split(text, _choice(text, protected, "(?:{})"), -1)
+    kept = F.regexp_extract_all(text, _choice(text, protected, "({})"), F.lit(0))
+    if trigger:  # one part without a trigger, so change is in the plan once
+        on = _triggered(text, trigger)
+        parts, kept = F.when(on, parts).otherwise(F.array(text)), F.when(on, kept).otherwise(F.array().cast("array<string>"))
+    plain = F.transform(parts, lambda x: change(x))
     done = F.array_join(F.zip_with(plain, kept, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    return F.when(text.rlike(trigger), done).otherwise(change(text)) if trigger else done
+    return F.when(text.isNotNull(), done)
+
+
+def _triggered(text: Column, trigger: str) -> Column:
+    """text.rlike(trigger); the characters of the common ones are looked for without decoding the text."""
+    if trigger not in (TRIGGER, "`", "[|`]"):
+        return text.rlike(trigger)
+    found = has_any(text, *[c for c in "|`" if c in trigger])
+    return found | (beyond_ascii(text) & text.rlike(trigger)) if trigger == TRIGGER else found
+
+
+def _choice(text: Column, protected: str, form: str) -> Column:
+    """A shield without the formulas for texts that have none of their characters; they are the costly part of it."""
+    if not protected.endswith(f"|{MATH}"):
+        return F.lit(form.format(protected))
+    return F.when(beyond_ascii(text) & text.rlike(f"[{_SUPER}{_SUB}{_GREEK}]"), form.format(protected)).otherwise(form.format(protected.removesuffix(f"|{MATH}")))
 
 
 def extracted(text: Column, protected: str) -> Column:

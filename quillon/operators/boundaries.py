@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed
-from ..functions.lines import floor_share, let, trim, window_of, with_index
+from ..functions.lines import floor_share, has_any, let, trim, window_of, with_index
 
 LEAST_LINES, LEAST_CONFIDENCE, EVIDENCE_LINES = 50, 0.6, 50
 SECTION = "array<struct<type:string,start:int,end:int,confidence:double,entries:int>>"
@@ -331,7 +331,8 @@ def headerless_lists(lines: Column) -> Column:
 
 def notes_sections(lines: Column) -> Column:
     """Structs (start, end) from each notes heading to the line before the next closing heading, or the last line."""
-    kind = lambda x: F.when(trim(x).rlike(fixed.NOTES_START), 1).when(trim(x).rlike(fixed.NOTES_END), 2)
+    might = lambda x: has_any(x, "#", "NOTES")
+    kind = lambda x: F.when(~might(x), None).when(trim(x).rlike(fixed.NOTES_START), 1).when(trim(x).rlike(fixed.NOTES_END), 2)
     marks = _first_of(lines, F.lit(0), F.size(lines), kind, "int")
     type_ = "array<struct<start:int,end:int>>"
     none = F.lit(None).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed
-from ..functions.lines import count_words, join_lines, let, trim, trim_all, with_index, words
+from ..functions.lines import count_words, ends_in, has_any, join_lines, let, trim, trim_all, with_index
 from ..functions.metadata import formatted, title_header
 from ..functions.segments import code_ranges, in_any
 
@@ -38,7 +38,7 @@ def _chapter_title(t: Column) -> Column:
 
 
 def _headings(lines: Column, title) -> Column:
-    found = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.when(trim(x).startswith("#"), title(trim(x))).alias("title")))
+    found = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.when(x.contains("#") & trim(x).startswith("#"), title(trim(x))).alias("title")))
     return F.filter(found, lambda h: h["title"].isNotNull())
 
 
@@ -99,7 +99,7 @@ def mark_chapters(lines: Column, style: str) -> Column:
             part = F.get(F.filter(parts_, lambda p: p["line"] == i), 0)
             chapter = F.get(F.filter(in_parts, lambda c: c["line"] == i), 0)
             marker = F.when(part.isNotNull(), part_marker(style, part["title"])).when(chapter.isNotNull(), chapter_marker(style, chapter["title"], chapter["part"]))
-            return F.when(trim(x).startswith("#") & marker.isNotNull() & ~in_any(code, i), F.array(marker, F.lit(""), x)).otherwise(F.array(x))
+            return F.when(x.contains("#") & trim(x).startswith("#") & marker.isNotNull() & ~in_any(code, i), F.array(marker, F.lit(""), x)).otherwise(F.array(x))
 
         return F.when(F.size(in_parts) > 0, F.flatten(F.transform(lines, line))).otherwise(lines)
 
@@ -123,11 +123,19 @@ def assemble_simple(text: Column, meta: Column, metadata_format: str = "yaml") -
 
 def is_poetry(paragraph: Column) -> Column:
     """Three lines or more without headings, short on average, of which over 60 percent end no sentence."""
-    lines = F.filter(F.transform(F.split(paragraph, "\n", -1), trim), lambda x: x != "")
+    return let(_is_verse, _filled(paragraph))
+
+
+def _filled(paragraph: Column) -> Column:
+    """The trimmed lines that aren't blank."""
+    return F.filter(F.transform(F.split(paragraph, "\n", -1), trim), lambda x: x != "")
+
+
+def _is_verse(lines: Column) -> Column:
     n = F.size(lines)
-    total = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.size(words(x)))
-    loose = F.size(F.filter(lines, lambda x: ~x.rlike(r"[.!?]$")))
-    return (n >= 3) & ~F.exists(lines, lambda x: x.startswith("#")) & (total / n < 12) & (loose / n > 0.6)
+    total = F.aggregate(lines, F.lit(0), lambda acc, x: acc + count_words(x))
+    loose = F.size(F.filter(lines, lambda x: ~ends_in(x, ".!?")))
+    return (n >= 3) & ~F.exists(lines, lambda x: x.startswith("#")) & (loose / n > 0.6) & (total / n < 12)
 
 
 def reflow(text: Column) -> Column:
@@ -137,7 +145,7 @@ def reflow(text: Column) -> Column:
         return let(lambda lines: joined(p, lines), F.filter(F.transform(F.split(p, "\n", -1), trim), lambda x: x != ""))
 
     def joined(p, lines):
-        open_ = F.size(F.filter(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~x.rlike(r"[.!?\"']$")))
+        open_ = F.size(F.filter(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~ends_in(x, ".!?\"'")))
         verse = is_poetry(p)
         return F.struct(F.when(verse, p).otherwise(F.array_join(lines, " ")).alias("text"), F.when(verse, 0).otherwise(open_).alias("n"))
 
@@ -146,6 +154,12 @@ def reflow(text: Column) -> Column:
     return let(made, F.transform(F.split(text, "\n\n", -1), paragraph))
 
 
+def reflowed(text: Column) -> Column:
+    """The text that `reflow` makes, without counting breaks."""
+    joined = lambda p: let(lambda lines: F.when(_is_verse(lines), p).otherwise(F.array_join(lines, " ")), _filled(p))
+    return F.array_join(F.transform(F.split(text, "\n\n", -1), joined), "\n\n")
+
+
 def count_paragraphs(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n\n", -1), lambda p: trim_all(p) != ""))
 
@@ -164,11 +178,14 @@ def accepted_rewrite(before: Column, after: Column, least: float = 0.98, most: f
 
 def content_flags(text: Column) -> Column:
     """A struct of what kind of content a text shows, and its primary kind."""
-    low = F.lower(text)
-    has = lambda *w: low.rlike("|".join(w))
+    return let(_content_flags, text, F.lower(text))
+
+
+def _content_flags(text: Column, low: Column) -> Column:
+    has = lambda *w: has_any(low, *w)
     code = has("func ", "def ", "class ", "import ", "```")
     math = has("equation", "theorem", "proof") | (text.contains("=") & text.contains("x"))
-    academic = has("abstract", "methodology", "bibliography", r"et al\.")
+    academic = has("abstract", "methodology", "bibliography", "et al.")
     dialogue = has('"said', "she said", "he said", "asked,")
     poetry = has("stanza", "verse", "rhyme")
     children = (low.contains("picture") & low.contains("story")) | has("bedtime", "fairy tale")

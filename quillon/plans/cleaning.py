@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.chars import clean_characters
-from ..functions.citations import remove_citations, remove_footnote_markers
+from ..functions.citations import remove_footnote_markers, without_citations
 from ..functions.estimates import reduction, tokens
 from ..functions.lines import join_lines, let, relined, split_lines
 from ..functions.markdown import count_semantic_words
@@ -30,7 +30,7 @@ from ..operators import boundaries as b
 from ..operators.mining import without_running
 from ..operators.removal import drop_matching, remove_range, remove_range_except, remove_ranges, strict_page_numbers
 from ..operators.services import disabled_steps
-from ..operators.structure import assemble, chapters, content_flags, long_paragraphs, parts, reflow, strip_metadata
+from ..operators.structure import assemble, chapters, content_flags, long_paragraphs, parts, reflowed as reflowed_text, strip_metadata
 from ..operators.validation import boundary_reason, review, step_anomaly, verify_content
 from ..sources.providers import Provider, rewritten
 from .config import STEPS, Settings
@@ -158,7 +158,7 @@ def _on_text(df: DataFrame, step: int, change: Callable[[Column], Column], confi
 
 
 def citations(df: DataFrame, s: Settings) -> DataFrame:
-    return _on_text(df, 10, lambda t: protecting(t, shield(), lambda x: remove_citations(x)["text"], TRIGGER))
+    return _on_text(df, 10, lambda t: protecting(t, shield(), without_citations, TRIGGER))
 
 
 def footnotes(df: DataFrame, s: Settings) -> DataFrame:
@@ -177,8 +177,8 @@ def characters(df: DataFrame, s: Settings) -> DataFrame:
 
 def reflowed(df: DataFrame, s: Settings, rewriter: Provider | None = None) -> DataFrame:
     """Headings become paragraphs of their own first, as joined to their text they'd be lost to step 15."""
-    apart = lambda x: F.regexp_replace(x, r"(?m)^(#{1,6}\s.*)$", "\n$1\n")
-    joined = lambda t: protecting(t, shield(math=False), lambda x: reflow(apart(x))["text"], "[|`]")
+    apart = lambda x: F.when(x.contains("#"), F.regexp_replace(x, r"(?m)^(#{1,6}\s.*)$", "\n$1\n")).otherwise(x)
+    joined = lambda t: protecting(t, shield(math=False), lambda x: reflowed_text(apart(x)), "[|`]")
     if rewriter is None:
         return _on_text(df, 13, joined, 0.9)
     df = rewritten(df.withColumn("__text", join_lines(F.col("lines"))), rewriter, "__text", "__new")

@@ -3,6 +3,7 @@
 import random
 import re
 import unicodedata
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -295,3 +296,41 @@ def test_kept_patterns_are_fresh_to_the_fraction_of_a_second(spark, tmp_path):
     got = QUERIES["pattern_cache"](spark, str(tmp_path)).select("user_id", "patterns", "from_cache").collect()
     assert sorted(map(tuple, got)) == wanted
     assert wanted[:2] == [(7, "detected", False), (8, "click", True)]
+
+
+def test_a_change_between_protected_passages_is_in_the_plan_once(spark):
+    from quillon.functions.segments import TRIGGER, protecting, shield
+
+    calls = []
+
+    def change(x):
+        calls.append(1)
+        return F.upper(x)
+
+    column = protecting(F.col("t"), shield(), change, TRIGGER)
+    assert len(calls) == 1
+    texts = ["plain", "", None, "a `b` c", "where α is E² so\nx", "`", "| a | b |\n| --- | --- |\nx"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", column.alias("r"))
+    assert [r["r"] for r in sorted(d.collect(), key=lambda r: r["k"])] == ["PLAIN", "", None, "A `b` C", "where α is E² SO\nX", "`", "| a | b |\n| --- | --- |\nX"]
+
+
+def test_shortcuts_find_what_the_patterns_find(spark):
+    from quillon.functions.lines import NEWLINES, count_words, ends_in, split_lines
+    from quillon.operators.structure import reflow, reflowed
+
+    rng = random.Random(3)
+    texts = ["", *["".join(rng.choices("aOl1.,!'( )[]ibdct²  \r\n\x0b\tα", k=rng.randrange(1, 40))) for _ in range(800)]]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    pairs = {
+        "words": (count_words(t), F.regexp_count(t, F.lit(r"[^\s\u0085\p{Z}]+"))),
+        "ends": (ends_in(t, ".!'"), t.rlike("[.!']$")),
+        "lines": (split_lines(t), F.split(t, NEWLINES, -1)),
+        "zeros": (t.rlike(r"O(?<=[\p{N}.,]O)"), t.rlike(r"[\p{N}.,]O")),
+        "ones": (t.rlike(r"l[\p{N}.,](?<=[\p{N}.,\s]l.)"), t.rlike(r"[\p{N}.,\s]l[\p{N}.,]")),
+        "citations": (citations.without_citations(t), citations.remove_citations(t)["text"]),
+        "orphans": (citations.clean_orphans(t), reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), (*fixed.ORPHANS, ("  +", " ")), t)),
+        "reflow": (reflowed(t), reflow(t)["text"]),
+    }
+    wrong = d.select(*[F.count_if(~a.eqNullSafe(b)).alias(k) for k, (a, b) in pairs.items()]).first().asDict()
+    assert not any(wrong.values()), wrong
