@@ -36,13 +36,13 @@ def beyond_ascii(text: Column) -> Column:
 
 def has_other_ends(text: Column) -> Column:
     """Whether a line end other than the line feed occurs."""
-    return text.rlike(r"[\x0B-\r\u0085\u2028\u2029]")
+    return has_any(text, "\x0b", "\x0c", "\r") | (beyond_ascii(text) & has_any(text, "\u0085", "\u2028", "\u2029"))
 
 
 def ends_in(text: Column, marks: str) -> Column:
     """What the pattern [marks]$ finds, which also fits before a line end that is the last character."""
     last = reduce(lambda a, b: a | b, [F.endswith(text, F.lit(m)) for m in marks])
-    return last | (text.rlike(NEWLINES) & text.rlike(f"[{marks}]$"))
+    return last | ((text.contains("\n") | has_other_ends(text)) & text.rlike(f"[{marks}]$"))
 
 
 def split_lines(text: Column) -> Column:
@@ -64,6 +64,20 @@ def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
 
+def trim_line(line: Column) -> Column:
+    """`trim` for a value that is at hand: ASCII lines without blanks at the ends are left as they are."""
+    return F.when(_padded(line, " \t"), trim(line)).otherwise(line)
+
+
+def trim_text(text: Column) -> Column:
+    """`trim_all`, as `trim_line`."""
+    return let(lambda t: F.when(_padded(t, " \t\n\r\x0b\x0c"), trim_all(t)).otherwise(t), text)
+
+
+def _padded(text: Column, blanks: str) -> Column:
+    return reduce(lambda a, b: a | b, [test(text, F.lit(c)) for c in blanks for test in (F.startswith, F.endswith)]) | beyond_ascii(text)
+
+
 def trim_all(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS + "\n\r\x0b\x0c\u0085\u2028\u2029"))
 
@@ -102,6 +116,34 @@ def with_index(lines: Column) -> Column:
     return F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
 
 
+#: Up to so many different lines are looked up by comparison.
+FEW_LINES = 256
+
+
+def once_each(lines: Column, change: Callable[[Column], Column]) -> Column:
+    """F.transform(lines, change) for lines that aren't null; where a document repeats few lines, each is changed once.
+
+    With more different lines than `FEW_LINES`, or fewer repetitions, each line is changed where it stands.
+    """
+
+    def placed(x, few):
+        back = lambda made: F.when(F.size(few) < F.size(x), F.transform(x, lambda line: F.get(made, F.array_position(few, line).cast("int") - 1))).otherwise(made)
+        return let(back, F.transform(few, change))
+
+    few = lambda x, u: F.when((F.size(u) <= FEW_LINES) & (F.size(u) * 2 <= F.size(x)), u).otherwise(x)
+    return let(lambda x: let(lambda f: placed(x, f), let(lambda u: few(x, u), F.array_distinct(x))), lines)
+
+
+def kept(lines: Column, test: Callable[[Column], Column]) -> Column:
+    """F.filter(lines, test), where each different line is tested once as in `once_each`."""
+    return let(lambda x: let(lambda on: F.filter(x, lambda _, i: F.get(on, i)), once_each(x, test)), lines)
+
+
+def count_words_in(lines: Column, of: Callable[[Column], Column] = count_words) -> Column:
+    """The words of joined lines, as line ends are between words."""
+    return F.aggregate(once_each(lines, of), F.lit(0), lambda acc, n: acc + n)
+
+
 def window_of(lines: Column, start: Column, size: Column | int) -> Column:
     """At most size lines from start (from 0) on."""
     size = F.lit(size) if isinstance(size, int) else size

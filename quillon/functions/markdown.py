@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .chars import remove_emphasis
+from .chars import may_pair, remove_emphasis
 from .lines import count_words, has_any, has_other_ends, join_lines, let, split_lines, trim_all
 
 
@@ -34,6 +34,13 @@ def count_semantic_words(text: Column) -> Column:
     return count_words(_unmarked(text))
 
 
+def count_semantic_words_in(lines: Column, text: Column, words: Column) -> Column:
+    """`count_semantic_words` of a text whose lines and words are known: without marks of other kinds, the heading marks are what doesn't count."""
+    marked = lambda t: may_pair(t, "*") | may_pair(t, "_") | has_any(t, "](", "`")
+    headings_ = F.size(F.filter(lines, lambda x: x.startswith("#") & x.rlike(r"^#{1,6}\s+")))
+    return let(lambda t: F.when(marked(t), count_semantic_words(t)).otherwise(words - headings_), text)
+
+
 def cleaned_plain(text: Column) -> Column:
     """A cleaned document without its metadata block, markers and formatting."""
     return trim_all(

@@ -43,14 +43,15 @@ def _protecting(text: Column, protected: str, change: Callable[[Column], Column]
     parts = F.split(text, _choice(text, protected, "(?:{})"), -1)
     kept = F.regexp_extract_all(text, _choice(text, protected, "({})"), F.lit(0))
     if trigger:  # one part without a trigger, so change is in the plan once
-        on = _triggered(text, trigger)
-        parts, kept = F.when(on, parts).otherwise(F.array(text)), F.when(on, kept).otherwise(F.array().cast("array<string>"))
-    plain = F.transform(parts, lambda x: change(x))
-    done = F.array_join(F.zip_with(plain, kept, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    return F.when(text.isNotNull(), done)
+        on = triggered(text, trigger)
+        split = F.when(on, F.struct(parts.alias("parts"), kept.alias("kept"))).otherwise(F.struct(F.array(text).alias("parts"), F.array().cast("array<string>").alias("kept")))
+    else:
+        split = F.struct(parts.alias("parts"), kept.alias("kept"))
+    changed = lambda s: F.zip_with(F.transform(s["parts"], lambda x: change(x)), s["kept"], lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    return F.when(text.isNotNull(), F.array_join(let(changed, split), ""))
 
 
-def _triggered(text: Column, trigger: str) -> Column:
+def triggered(text: Column, trigger: str) -> Column:
     """text.rlike(trigger); the characters of the common ones are looked for without decoding the text."""
     if trigger not in (TRIGGER, "`", "[|`]"):
         return text.rlike(trigger)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed
-from ..functions.lines import floor_share, has_any, let, trim, window_of, with_index
+from ..functions.lines import floor_share, has_any, let, once_each, trim, window_of, with_index
 
 LEAST_LINES, LEAST_CONFIDENCE, EVIDENCE_LINES = 50, 0.6, 50
 SECTION = "array<struct<type:string,start:int,end:int,confidence:double,entries:int>>"
@@ -55,8 +55,8 @@ def _plus(confidence: Column, count: Column, steps: tuple[tuple[int, float], ...
 
 def _first_of(lines: Column, low: Column, high: Column, kind: Callable[[Column], Column], type_: str) -> Column:
     """Structs (i, k) of the lines from low to before high that have a kind, in order."""
-    part = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.when((i >= low) & (i < high), kind(x)).cast(type_).alias("k")))
-    return F.filter(part, lambda m: m["k"].isNotNull())
+    kinds = once_each(F.slice(lines, low + 1, F.greatest(high - low, F.lit(0))), lambda x: kind(x).cast(type_))
+    return F.filter(F.transform(kinds, lambda k, i: F.struct((i + low).alias("i"), k.alias("k"))), lambda m: m["k"].isNotNull())
 
 
 def _by_order(lines: Column, high: Column, patterns: tuple[tuple[str, float], ...]) -> Column:
@@ -235,8 +235,8 @@ def _front_matter_end(lines: Column) -> Column:
         following = lambda s: F.get(F.filter(with_index(lines), lambda m: (m["i"] > s["i"]) & (m["i"] < F.least(s["i"] + 5, n)) & (trim(m["x"]) != "")), 0)
         return let(lambda h, e, s: let(lambda f: ended(marks, h, e, s, f), following(s)), hits, last, stop)
 
-    kinds = lambda m: F.struct(m["i"].alias("i"), F.filter(_indicator(m["x"]), lambda w: w.isNotNull()).alias("w"))
-    marks = F.filter(F.transform(with_index(F.slice(lines, 1, F.greatest(high, F.lit(0)))), kinds), lambda m: F.size(m["w"]) > 0)
+    kinds = once_each(F.slice(lines, 1, F.greatest(high, F.lit(0))), lambda x: F.filter(_indicator(x), lambda w: w.isNotNull()))
+    marks = F.filter(F.transform(kinds, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda m: F.size(m["w"]) > 0)
     return _enough(lines, F.coalesce(let(by_main, _by_order(lines, high, fixed.MAIN_STARTS)), let(by_marks, marks)))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.lines import let, trim
+from ..functions.lines import let, trim, trim_line
 
 
 def line_view(docs: DataFrame, id_col: str = "doc_id", lines_col: str = "lines") -> DataFrame:
@@ -61,7 +61,7 @@ def running_in(lines: Column, least: int = 3) -> Column:
 
 
 def _running_in(lines: Column, least: int) -> Column:
-    short = F.filter(F.transform(lines, lambda x, i: F.struct(trim(x).alias("t"), i.alias("i"))), lambda m: F.length(m["t"]).between(3, 80))
+    short = F.filter(F.transform(lines, lambda x, i: F.struct(trim_line(x).alias("t"), i.alias("i"))), lambda m: F.length(m["t"]).between(3, 80))
     return let(lambda m: _even_runs(m, F.size(lines), least), let(lambda m: _often(m, least), F.array_sort(short)))
 
 

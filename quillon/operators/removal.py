@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed
-from ..functions.lines import let, trim
+from ..functions.lines import kept, let, trim
 from ..functions.segments import in_any
 
 
@@ -34,7 +34,7 @@ def matches_any(line: Column, patterns: Sequence[str]) -> Column:
 
 def drop_matching(lines: Column, patterns: Sequence[str] = fixed.PAGE_NUMBERS) -> Column:
     patterns = valid_patterns(patterns)
-    return F.filter(lines, lambda x: ~matches_any(x, patterns)) if patterns else lines
+    return kept(lines, lambda x: ~matches_any(x, patterns)) if patterns else lines
 
 
 def strict_page_numbers() -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed
-from ..functions.lines import count_words, ends_in, has_any, join_lines, let, trim, trim_all, with_index
+from ..functions.lines import count_words, count_words_in, ends_in, has_any, join_lines, let, trim, trim_all, trim_line, trim_text, with_index
 from ..functions.metadata import formatted, title_header
 from ..functions.segments import code_ranges, in_any
 
@@ -111,7 +111,7 @@ def assemble(text: Column, meta: Column, metadata_format: str = "yaml", chapter_
     """Title, metadata, a rule, the marked text, a rule and the end marker."""
     from ..functions.lines import split_lines
 
-    body = join_lines(mark_chapters(split_lines(trim_all(text)), chapter_style))
+    body = join_lines(mark_chapters(split_lines(trim_text(text)), chapter_style))
     end = end_marker(end_style, meta["title"], meta["author"])
     tail = F.when(end == "", F.lit("")).otherwise(F.concat(F.lit("---\n\n"), end, F.lit("\n")))
     return F.concat(title_header(meta["title"], meta["subtitle"], meta["author"]), F.lit("\n\n"), formatted(meta, metadata_format), F.lit("\n\n---\n\n"), body, F.lit("\n\n"), tail)
@@ -128,12 +128,12 @@ def is_poetry(paragraph: Column) -> Column:
 
 def _filled(paragraph: Column) -> Column:
     """The trimmed lines that aren't blank."""
-    return F.filter(F.transform(F.split(paragraph, "\n", -1), trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(paragraph, "\n", -1), trim_line), lambda x: x != "")
 
 
 def _is_verse(lines: Column) -> Column:
     n = F.size(lines)
-    total = F.aggregate(lines, F.lit(0), lambda acc, x: acc + count_words(x))
+    total = count_words_in(lines)
     loose = F.size(F.filter(lines, lambda x: ~ends_in(x, ".!?")))
     return (n >= 3) & ~F.exists(lines, lambda x: x.startswith("#")) & (loose / n > 0.6) & (total / n < 12)
 
@@ -228,4 +228,4 @@ def _metadata_length(text: Column, lines: Column) -> Column:
 
 def strip_metadata(text: Column) -> Column:
     rest = lambda t, n: F.regexp_replace(trim_all(F.substring(t, n + 1, F.length(t))), r"^---\s*\n", "")
-    return let(lambda whole, t: let(lambda n: F.when(n > 0, rest(t, n)).otherwise(whole), existing_metadata(t)), text, trim_all(text))
+    return let(lambda whole, t: let(lambda n: F.when(n > 0, rest(t, n)).otherwise(whole), existing_metadata(t)), text, trim_text(text))

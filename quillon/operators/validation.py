@@ -184,7 +184,11 @@ def step_anomaly(step: int, before: Column, after: Column, changes: Column, dete
 
 def review(original: Column, cleaned: Column, heavy: Column) -> Column:
     """A struct (score, severity) from the words that are left; heavy kinds of text may lose more."""
-    a, b = count_words(original), count_words(cleaned)
+    return review_counts(count_words(original), count_words(cleaned), heavy)
+
+
+def review_counts(a: Column, b: Column, heavy: Column) -> Column:
+    """`review` from the words before and after."""
     ratio = b / F.greatest(a, F.lit(1))
     critical, warning = F.when(heavy, 0.35).otherwise(0.5), F.when(heavy, 0.6).otherwise(0.8)
     score = F.when(b < 10, 0.1).when(ratio < critical, 0.4).when(ratio < warning, 0.6).otherwise(0.7)

@@ -18,11 +18,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.chars import clean_characters
+from ..functions.chars import clean_character_lines
 from ..functions.citations import remove_footnote_markers, without_citations
 from ..functions.estimates import reduction, tokens
-from ..functions.lines import join_lines, let, relined, split_lines
-from ..functions.markdown import count_semantic_words
+from ..functions.lines import count_words, count_words_in, join_lines, let, relined, split_lines
+from ..functions.markdown import count_semantic_words_in
 from ..functions.metadata import FIELDS, blank, merged
 from ..functions.replies import metadata as metadata_reply
 from ..functions.segments import TRIGGER, protecting, shield
@@ -31,7 +31,7 @@ from ..operators.mining import without_running
 from ..operators.removal import drop_matching, remove_range, remove_range_except, remove_ranges, strict_page_numbers
 from ..operators.services import disabled_steps
 from ..operators.structure import assemble, chapters, content_flags, long_paragraphs, parts, reflowed as reflowed_text, strip_metadata
-from ..operators.validation import boundary_reason, review, step_anomaly, verify_content
+from ..operators.validation import boundary_reason, review_counts, step_anomaly, verify_content
 from ..sources.providers import Provider, rewritten
 from .config import STEPS, Settings
 
@@ -172,7 +172,7 @@ def footnotes(df: DataFrame, s: Settings) -> DataFrame:
 
 
 def characters(df: DataFrame, s: Settings) -> DataFrame:
-    return _on_text(df, 12, lambda t: protecting(t, shield(code=False), clean_characters, TRIGGER))
+    return _logged(df, 12, clean_character_lines(F.col("lines"), shield(code=False), TRIGGER))
 
 
 def reflowed(df: DataFrame, s: Settings, rewriter: Provider | None = None) -> DataFrame:
@@ -227,8 +227,10 @@ def clean(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     """doc_id, title, text, original_words, cleaned_words, reduction_pct, tokens, primary_type, score, severity, confidence, audit."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     proposals = [c for c in (*PROPOSALS.values(), LISTS, NOTES, METADATA) if c in docs.columns]
-    df = docs.select(F.col(id_col).alias("doc_id"), (F.concat(F.lit("Document "), F.col(id_col).cast("string")) if title is None else title).alias("title"), text.alias("original"), split_lines(text).alias("lines"), F.array().cast(AUDIT).alias("audit"), *proposals)
-    df = df.withColumn("flags", content_flags(F.col("original")))
+    df = docs.select(F.col(id_col).alias("doc_id"), (F.concat(F.lit("Document "), F.col(id_col).cast("string")) if title is None else title).alias("title"), split_lines(text).alias("lines"), F.array().cast(AUDIT).alias("audit"), *proposals)
+    lines = F.col("lines")
+    df = df.withColumns({"flags": content_flags(join_lines(F.array_distinct(lines))), "__words": count_words_in(lines)})  # no word of the flags spans lines
+    df = df.withColumn("before", count_semantic_words_in(lines, join_lines(lines), F.col("__words")))
     if settings.by_content:
         df = df.withColumn("off", disabled_steps(F.col("flags.primary_type")))
     for step in settings.enabled():
@@ -236,12 +238,13 @@ def clean(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
             df = FUNCTIONS[step](df, settings, *([rewriter] if step in (13, 14) else []))
     out = df.withColumn("text", join_lines(F.col("lines")))
     heavy = F.lit(settings.heavy) | F.col("flags.is_academic")
-    judged = out.withColumn("review", review(F.col("original"), F.col("text"), heavy))
+    out = out.withColumn("__left", count_words(F.col("text")))
+    judged = out.withColumn("review", review_counts(F.col("__words"), F.col("__left"), heavy))
     known = F.filter(F.transform(F.filter("audit", lambda a: a["step"].between(3, 15)), lambda a: a["confidence"]), lambda c: c.isNotNull())
-    judged = judged.withColumns({"known": known, "before": count_semantic_words(F.col("original")), "after": count_semantic_words(F.col("text"))})
+    judged = judged.withColumns({"known": known, "after": count_semantic_words_in(F.col("lines"), F.col("text"), F.col("__left"))})
     mean = F.when(F.size("known") > 0, F.aggregate("known", F.lit(0.0), lambda acc, c: acc + c) / F.size("known"))
     judged = _noted(judged, 16, F.col("review.score"))
-    return judged.select("doc_id", "title", "text", F.col("before").alias("original_words"), F.col("after").alias("cleaned_words"), reduction(F.col("before"), F.col("after")).alias("reduction_pct"), tokens(F.col("text")).alias("tokens"), F.col("flags.primary_type").alias("primary_type"), F.col("review.score").alias("score"), F.col("review.severity").alias("severity"), mean.alias("confidence"), "audit")
+    return judged.select("doc_id", "title", "text", F.col("before").alias("original_words"), F.col("after").alias("cleaned_words"), reduction(F.col("before"), F.col("after")).alias("reduction_pct"), tokens(F.col("text"), F.col("__left")).alias("tokens"), F.col("flags.primary_type").alias("primary_type"), F.col("review.score").alias("score"), F.col("review.severity").alias("severity"), mean.alias("confidence"), "audit")
 
 
 def audit_rows(cleaned: DataFrame) -> DataFrame:

@@ -334,3 +334,63 @@ def test_shortcuts_find_what_the_patterns_find(spark):
     }
     wrong = d.select(*[F.count_if(~a.eqNullSafe(b)).alias(k) for k, (a, b) in pairs.items()]).first().asDict()
     assert not any(wrong.values()), wrong
+
+
+def test_repeated_lines_are_worked_on_once(spark):
+    from quillon.functions.lines import FEW_LINES, once_each
+
+    repeated, short, long = ["a", "b", "", "a"] * 5, ["a", "a", "b"], [str(k % (FEW_LINES + 1)) for k in range(3 * FEW_LINES)]
+    d = spark.createDataFrame([(0, repeated), (1, short), (2, long), (3, []), (4, None)], "k int, x array<string>")
+    drawn = [r["r"] for r in d.select("k", once_each(F.col("x"), lambda line: F.concat(line, F.lit("|"), F.rand(1).cast("string"))).alias("r")).orderBy("k").collect()]
+    assert [x and [v.split("|")[0] for v in x] for x in drawn] == [repeated, short, long, [], None]
+    assert len(set(drawn[0])) == 3 and len(set(drawn[1])) == 3 and len(set(drawn[2])) == len(long)
+
+
+def test_line_by_line_equals_the_whole_text(spark):
+    from quillon.functions.lines import count_words, count_words_in, has_other_ends, join_lines, kept, relined, split_lines, trim, trim_all, trim_line, trim_text
+    from quillon.functions.markdown import count_semantic_words, count_semantic_words_in
+    from quillon.functions.segments import CODE, TRIGGER, protecting, shield
+    from quillon.operators.boundaries import _first_of
+    from quillon.operators.removal import matches_any
+    from quillon.operators.structure import content_flags
+
+    rng = random.Random(5)
+    pieces = ["a word", "O1", "1O", "l2", ".l,", "—", " -", "--", "- ", "  ", "―", "\u2011", " – ", "xiv", "12", "ﬁ", "â€œ", "Ã©", "\u200b", "“", "´", "(", ")", " ", "\t", "\u00a0", "#", "# x", "Ω", "Theorem", "def "]
+    marks = ["*", "**", "_", "__", "`", "[", "](", "![", "|", "²", "***", "\r", "\u0085"]
+    texts = ["", "\n", "—\n—", "(\n)", "( \n\n)", "*** <!-- END", "*a*", "a*b*c", "**a\nb**", "— x —"]
+    for k in range(900):
+        own = ["".join(rng.choices(pieces + marks * (k % 3 == 0), k=rng.randrange(0, 5))) for _ in range(rng.randrange(1, 5))]
+        texts.append("\n".join(rng.choices(own, k=rng.choice((1, 4, 20)))))
+    t, x = F.col("t"), split_lines(F.col("t"))
+
+    def chain(t):
+        t = chars.fix_ocr_digits(reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), [*sorted(fixed.MOJIBAKE.items(), key=lambda p: (-len(p[0]), p[0])), *fixed.LIGATURES.items(), *((c, "") for c in fixed.INVISIBLE)], t))
+        t = chars.normalize_quotes(join_lines(chars.remove_decorative_dashes(chars.normalize_dashes(split_lines(t)))))
+        t = F.translate(F.regexp_replace(emphasis(t), r"!\[.*?\]\(.*?\)", ""), "[]", "()")
+        t = F.replace(F.replace(t, F.lit("\\*"), F.lit("")), F.lit("_"), F.lit(""))
+        return F.regexp_replace(F.regexp_replace(t, "  +", " "), r"\(\s*\)", "")
+
+    def emphasis(t):
+        pairs = (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"(?<![*\n])\*([^*\n]+)\*(?!\*)", "$1"), (r"(?<![_\n])_([^_\n]+)_(?!_)", "$1")
+        return reduce(lambda c, p: F.regexp_replace(c, *p), pairs, t)
+
+    cleaned_ = protecting(t, shield(code=False), lambda p: protecting(p, CODE, chain, "`"), TRIGGER)
+    within = F.filter(F.transform(x, lambda v, i: F.struct(i.alias("i"), F.when((i >= 1) & (i < 9) & v.contains("a"), F.length(v)).alias("k"))), lambda m: m["k"].isNotNull())
+    pairs = {
+        "ends": (has_other_ends(t), t.rlike(r"[\x0B-\r\u0085\u2028\u2029]")),
+        "trimmed": (F.transform(x, trim_line), F.transform(x, trim)),
+        "trimmed text": (trim_text(t), trim_all(t)),
+        "emphasis": (chars.remove_emphasis(t), emphasis(t)),
+        "characters": (chars.clean_characters(t), protecting(t, CODE, chain, "`")),
+        "character lines": (chars.clean_character_lines(x, shield(code=False), TRIGGER), relined(F.when(has_other_ends(t), F.lit(None)).otherwise(cleaned_))),
+        "words": (count_words_in(x), count_words(t)),
+        "semantic words": (count_semantic_words_in(x, join_lines(x), count_words(t)), count_semantic_words(t)),
+        "flags": (content_flags(join_lines(F.array_distinct(x))), content_flags(t)),
+        "kept": (kept(x, lambda v: ~matches_any(v, fixed.PAGE_NUMBERS)), F.filter(x, lambda v: ~matches_any(v, fixed.PAGE_NUMBERS))),
+        "first of": (_first_of(x, F.lit(1), F.lit(9), lambda v: F.when(v.contains("a"), F.length(v)), "int"), within),
+    }
+    d = spark.createDataFrame([(v,) for v in texts], "t string")
+    for name, (a, b) in pairs.items():
+        rows = [(r["t"], r["a"], r["b"]) for r in d.select("t", a.alias("a"), b.alias("b")).collect()]
+        wrong = [r for r in rows if r[1] != r[2] and not (name == "character lines" and r[2] is None)]
+        assert not wrong, (name, wrong[:3])
