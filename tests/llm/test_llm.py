@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -697,6 +699,21 @@ def test_spread_join(spark, monkeypatch):
     assert got.count() == 500 and got.filter("t = 't1'").count() == 400 and got.columns == ["k", "id", "t"]
 
 
+def test_checkpoints_leave_no_shuffle_files(spark):
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    there = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    before, rows = there(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    twice = [common.checkpointed(rows), common.checkpointed(rows)]
+    for _ in range(100):  # Spark deletes them in the background
+        if not there() - before:
+            break
+        time.sleep(0.1)
+    assert not there() - before and spark.conf.get(name) == setting
+    assert all(t.columns == ["k", "count"] and t.agg(F.sum("count")).first()[0] == 1000 for t in [rows, *twice])
+
+
 def test_near_groups_of_odd_tables(spark, odd, empty):
     assert near_groups.near_groups(odd).count() == len(ODD) and near_groups.keep_one(empty).count() == 0 and near_groups.keep_one(odd).columns == odd.columns
 
